@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.drift import changes, header_items, union_schema
+from gridloom.operators.harmonise import harmonised
 from gridloom.operators.intervals import periods_and_gaps
+from gridloom.operators.times import estimated_zones, parsed, resolved
 from gridloom.sources.tables import epoch_millis, table
 
 
@@ -31,8 +34,74 @@ union all select src_table, entity_id, 'gap' as kind, end_ms, nxt from n where n
 """
 
 
+def _headers(spark: SparkSession, d: str) -> DataFrame:
+    variables = header_items(table(spark, d, "file_variables"), "V", "var_name", "full_name", "dtype")
+    return variables.unionByName(header_items(table(spark, d, "file_coordinates"), "C", "coord_name"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each change between the header of a file and the one before it in its aggregation."""
+    return changes(table(spark, d, "file_inputs").select("agg_id", "file_index", "file_id"), _headers(spark, d))
+
+
+def p1_union(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table of variables and coordinates of each aggregation."""
+    return union_schema(table(spark, d, "file_inputs").select("agg_id", "file_index", "file_id"), _headers(spark, d))
+
+
+def _stamps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The parsed texts of both tables, with the instant that a file's place in its aggregation asks for; and the estimated zone of each collection."""
+    sites = table(spark, d, "archive_sites").groupBy("collection_id").agg(F.max("time_zone").alias("site_zone"), F.max("day_first").alias("site_first"))
+    files = table(spark, d, "file_inputs").select(F.lit("file_inputs").alias("src_table"), F.col("input_id").alias("rec_id"), "collection_id", F.col("start_time").alias("stamp"), "calendar_name", "agg_id", (F.col("first_row_index").cast("long") * F.col("time_step_ms")).alias("_ahead"), epoch_millis(F.col("received_at")).alias("received"))
+    records = table(spark, d, "variable_records").select(F.lit("variable_records").alias("src_table"), F.col("record_no").alias("rec_id"), "collection_id", F.col("time_stamp").alias("stamp"))
+    texts = files.unionByName(records, allowMissingColumns=True).join(sites, "collection_id", "left")
+    stamps = parsed(texts, "stamp", "calendar_name", "site_first")
+    sure = F.coalesce("_fixed", F.when(F.col("_offset").isNotNull(), F.col("_local") - F.col("_offset") * 60_000))
+    anchors = stamps.where("agg_id is not null").groupBy("agg_id").agg(F.percentile_approx(sure - F.col("_ahead"), 0.5, 1000).alias("_anchor"))
+    placed = stamps.where("agg_id is not null").join(anchors, "agg_id", "left").withColumn("expected", F.col("_anchor") + F.col("_ahead"))
+    candidates = [r.time_zone for r in table(spark, d, "archive_sites").select("time_zone").distinct().collect() if r.time_zone]
+    return stamps, estimated_zones(placed, "collection_id", candidates, "expected", "received").withColumnRenamed("zone", "estimated_zone")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The UTC instant of each text that determines one. A text without zone is read in the zone estimated for its collection; the home zone that archive_sites states checks the estimate and wins where it differs."""
+    stamps, zones = _stamps(spark, d)
+    joined = stamps.join(zones.select("collection_id", "estimated_zone"), "collection_id", "left").withColumn("_home", F.coalesce("site_zone", "estimated_zone"))
+    return resolved(joined, "_home", "utc_ms").where("utc_ms is not null").select("src_table", "rec_id", "utc_ms").distinct()
+
+
+def p2_zones(spark: SparkSession, d: str) -> DataFrame:
+    """The zone estimated for each collection from its files' order and arrival, beside the one stated."""
+    _, zones = _stamps(spark, d)
+    return table(spark, d, "archive_sites").select("collection_id", "time_zone").join(zones, "collection_id", "left")
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    """All recorded values in the form that ``harmonised`` takes."""
+    category = lambda c: F.regexp_replace(F.lower(c), r"[\s_]+", " ")
+    none = F.lit(None).cast("double")
+    v = table(spark, d, "file_variables").select(F.lit("file_variables").alias("src_table"), F.col("variable_id").alias("rec_id"), F.lit("valid_max").alias("field_name"), F.col("valid_max").alias("value"), none.alias("other"), "units", F.col("description").alias("text"), F.lit("").alias("hint"), F.col("collection_id").alias("source"), category(F.col("full_name")).alias("category"))
+    m = table(spark, d, "variable_metadata").select(F.lit("variable_metadata").alias("src_table"), F.col("metadata_id").alias("rec_id"), F.lit("valid_max").alias("field_name"), F.col("valid_max").cast("double").alias("value"), none.alias("other"), "units", F.col("metadata").alias("text"), F.lit("").alias("hint"), F.col("collection_id").alias("source"), category(F.regexp_extract("metadata", r"long_name: ([^;]+)", 1)).alias("category"))
+    a = table(spark, d, "file_axes").select("axis_id", "units", "long_name", "ctype", "collection_id", "axis_name", "minval", "maxval")
+    both = F.array(F.struct(F.lit("minval").alias("field_name"), F.col("minval").alias("value"), F.col("maxval").alias("other")), F.struct(F.lit("maxval").alias("field_name"), F.col("maxval").alias("value"), F.col("minval").alias("other")))
+    a = a.select(F.lit("file_axes").alias("src_table"), F.col("axis_id").alias("rec_id"), F.inline(both), "units", F.col("long_name").alias("text"), F.coalesce("ctype", F.lit("")).alias("hint"), F.col("collection_id").alias("source"), F.lower("axis_name").alias("category"))
+    return v.unionByName(m).unionByName(a)
+
+
+def p4_units(spark: SparkSession, d: str) -> DataFrame:
+    """Every value with the unit named or predicted for it, its confidence, whether it is converted or left for review, and its converted value."""
+    return harmonised(_values(spark, d), table(spark, d, "common_units")).select("src_table", "rec_id", "field_name", "quantity", "factor", "offset", "named_by", "confidence", "route", "common_value", "common_steps")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each value whose unit is named and is not the common unit of its quantity, in steps of the common unit."""
+    rows = harmonised(_values(spark, d), table(spark, d, "common_units"))
+    other = (F.abs(F.col("factor") - 1) > 1e-9) | (F.abs(F.col("offset")) > 1e-9)
+    return rows.where(F.col("named_by").isin("column", "text") & other & F.col("common_steps").isNotNull()).select("src_table", "rec_id", "field_name", "common_steps").distinct()
+
+
 def queries():
-    return {"p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_union": p1_union, "p2_found": p2_found, "p2_zones": p2_zones, "p4_found": p4_found, "p4_units": p4_units, "p5_found": p5_found}
 
 
 def oracle_sql():
