@@ -1,0 +1,91 @@
+"""Percentiles of very large columns by bisection over value intervals, and summaries of them that merge."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from gridloom.operators.blocks import join_same
+from gridloom.sources.tables import shared_checkpoints
+
+#: Mantissa bits of the intervals of a summary: an interval is at most 2**-BITS of its values wide.
+BITS = 10
+#: Bits by which each further pass narrows an interval, that is bisections done at once.
+STEP = 12
+#: Most open intervals that are sent to all tasks; beyond, they are joined by key.
+SENT = 50_000
+
+
+def ordered_code(x: Column) -> Column:
+    """A 64-bit number that orders as the finite double ``x`` does, 0 and -0 alike: exponent and mantissa of its magnitude, negated bit by bit for negative values."""
+    a = F.abs(x.cast("double"))
+    guess = F.greatest(F.floor(F.log2(a)), F.lit(-1022))
+    power = F.pow(F.lit(2.0), guess)
+    e = F.when((a < power) & (guess > -1022), guess - 1).when(a / 2 >= power, guess + 1).otherwise(guess)
+    m = a / F.pow(F.lit(2.0), e)
+    unit = F.lit(1 << 52)
+    magnitude = F.when(a == 0, F.lit(0)).when(m < 1, F.floor(m * unit)).otherwise((e + 1023) * unit + F.floor((m - 1) * unit)).cast("long")
+    return F.when(x < 0, -magnitude - 1).otherwise(magnitude)
+
+
+def summary(df: DataFrame, keys: list[str], value: str, bits: int = BITS) -> DataFrame:
+    """The mergeable form ``(*keys, bucket, n, lo, hi)``: how many values each interval of a fixed grid holds, and their extremes.
+
+    The grid is the same for all data, so summaries of separate days, files or batches merge by addition (``merge``). Null, NaN and
+    infinite values are left out; a null key is a group of its own. Counts are combined before they are shuffled.
+    """
+    x = F.col(value).cast("double")
+    kept = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 1.7976931348623157e308))
+    bucket = F.shiftright(ordered_code(x), 52 - bits)
+    return kept.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+
+
+def merge(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One summary of several on the same grid, or of one over fewer keys."""
+    return reduce(DataFrame.unionByName, [p.select(*keys, "bucket", "n", "lo", "hi") for p in parts]).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def located(counts: DataFrame, keys: list[str], percents: list[int]) -> DataFrame:
+    """``(*keys, pct, n, bucket, rank, lo, hi)``: the interval that holds each percentile of a summary, and the rank within it.
+
+    The percentile p of n values is the value of rank ceil(n p / 100), at least 1. Without further passes lo and hi bound it, with a
+    relative error of at most 2**-BITS.
+    """
+    upto = Window.partitionBy(*keys).orderBy("bucket")
+    placed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    asked = placed.withColumn("pct", F.explode(F.array(*[F.lit(int(p)) for p in percents])))
+    rank = F.greatest(F.floor((F.col("total") * F.col("pct") + 99) / 100), F.lit(1))
+    asked = asked.withColumn("rank", rank).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+    return asked.select(*keys, "pct", F.col("total").alias("n"), "bucket", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], counts: DataFrame | None = None, bits: int = BITS) -> DataFrame:
+    """``(*keys, pct, n, value)``: exact percentiles of each group.
+
+    Exact bisection: each group and percentile has an interval of values; a pass counts the rows below the midpoints of its open
+    intervals (``STEP`` bisections at once) and keeps the part that holds the target rank, until it holds one value only. The first
+    pass is ``counts``, a summary of the same rows and keys, computed here if not given. Later passes read only rows that lie in an
+    open interval, and pre-aggregate them before the shuffle. Ties are one value. A group without finite values gives no rows.
+    """
+    shared_checkpoints(df.sparkSession)
+    found = located(summary(df, keys, value, bits) if counts is None else counts, keys, percents).checkpoint()
+    done = [found.where("lo = hi")]
+    open_, shift = found.where("lo < hi"), 52 - bits
+    while shift > 0:
+        wanted = open_.select(*keys, "bucket").distinct()
+        n_open = wanted.count()
+        if not n_open:
+            break
+        narrower = max(0, shift - STEP)
+        x = F.col(value).cast("double")
+        rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 1.7976931348623157e308)).select(*keys, x.alias("_x"), ordered_code(x).alias("_code")).withColumn("bucket", F.shiftright("_code", shift))
+        inside = join_same(rows, F.broadcast(wanted) if n_open <= SENT else wanted, [*keys, "bucket"], "left_semi")
+        parts = inside.groupBy(*keys, "bucket", F.shiftright("_code", narrower).alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("p_lo"), F.max("_x").alias("p_hi"))
+        parts = parts.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy("part")))
+        hit = join_same(open_.drop("lo", "hi"), parts, [*keys, "bucket"]).where("rank <= upto and rank > upto - c")
+        hit = hit.select(*keys, "pct", "n", F.col("part").alias("bucket"), (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("p_lo").alias("lo"), F.col("p_hi").alias("hi")).checkpoint()
+        done.append(hit.where("lo = hi"))
+        open_, shift = hit.where("lo < hi"), narrower
+    return reduce(DataFrame.unionByName, [*done, open_]).select(*keys, "pct", "n", F.col("lo").alias("value"))
