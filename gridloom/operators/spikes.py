@@ -14,7 +14,9 @@ from gridloom.functions.units import parse_unit
 #: Rows of one source per block, and rows that a block sees of its neighbours.
 BLOCK_ROWS, HALO_ROWS = 4096, 160
 #: Half width of the rolling median, equal readings that make a run stuck, and the scores beyond which a reading is a jump.
-HALF, STUCK, NEAR, FAR, RAIN = 4, 10, 5.0, 10.5, 180.0
+HALF, STUCK, NEAR, FAR, RAIN = 4, 10, 5.0, 11.3, 180.0
+#: A reading this far from the rolling median is a jump already at the second distance from the line, as at the ends of a series.
+CLEAR = (14.0, 8.5)
 #: The variables' kinds; a kind sets the physical bounds.
 TEMPERATURE, PRESSURE, POSITIVE, SHARE, RESTING, BURSTS = ["tas", "tos"], ["ps"], ["huss", "pr"], ["hur", "siconc"], ["pr", "siconc"], ["pr"]
 
@@ -58,7 +60,7 @@ def jumps(x: np.ndarray, seg: np.ndarray, n: int, still: np.ndarray, bursts: np.
 
     A Hampel filter: the distance from the rolling median of nine readings, in units of the median absolute difference of successive
     readings. Candidates beyond ``NEAR`` must also lie beyond ``FAR`` noise deviations from the line between their nearest readings
-    that are no candidates, so that season, swells and changes of level pass; of ``bursts`` (rain) only those beyond ``RAIN`` are
+    that are no candidates (less if clear of the median), so that season, swells and changes of level pass; of ``bursts`` (rain) only those beyond ``RAIN`` are
     jumps. ``still`` marks stuck readings, which say nothing about noise.
     """
     if not len(x):
@@ -91,7 +93,7 @@ def jumps(x: np.ndarray, seg: np.ndarray, n: int, still: np.ndarray, bursts: np.
     fine = np.where(np.isnan(fine), noise, fine)
     with np.errstate(divide="ignore", invalid="ignore"):
         far = np.nan_to_num(np.abs(x - line) / fine[seg])
-    return np.where(bursts[seg], near > RAIN, ~good & (far > FAR))
+    return np.where(bursts[seg], near > RAIN, ~good & ((far > FAR) | (near > CLEAR[0]) & (far > CLEAR[1])))
 
 
 def _judge(t: pa.Table) -> pa.Table:
