@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most columns (cells) whose Gram matrix is formed; beyond, only record counts up to the same bound can be handled.
 MOST = 4096
@@ -25,7 +26,7 @@ def vectors(df: DataFrame, row: str, cells: list[str], value: str) -> tuple[Data
     if len(names) > MOST:
         raise ValueError(f"more than {MOST} complete cells; coarsen the grid or split the domain first")
     spark = df.sparkSession
-    schema = full.select(*cells).schema.add("col", "int")
+    schema = T.StructType([*full.select(*cells).schema.fields, T.StructField("col", T.IntegerType())])
     columns = spark.createDataFrame([(*r, k) for k, r in enumerate(sorted(names, key=lambda r: tuple(map(str, r))))], schema)
     placed = df.join(F.broadcast(columns), cells).groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", F.col(value).cast("double").alias("v")))), lambda s: s.v).alias("vec"))
     return placed, columns, len(names)

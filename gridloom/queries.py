@@ -15,8 +15,8 @@ from gridloom.operators.cube import Cube, Span
 from gridloom.operators.linalg import Eof, rescaled_vectors
 from gridloom.operators.regrid import gaussian_axis, regridded, uniform_axis
 from gridloom.plans.request import capabilities, execute
-from gridloom.sources.catalog import Catalog, shared_folder
-from gridloom.sources.tables import table
+from gridloom.sources.catalog import Catalog
+from gridloom.sources.tables import shared_folder, table
 from gridloom.streaming.windows import drained, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,9 +50,9 @@ def events(spark: SparkSession, d: str) -> Cube:
     return Cube(df, ("t", "x"), ("member",), ("time",))
 
 
-def shown(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of summation doesn't show."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def shown(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles rounded, so that the order of summation doesn't show; ``nudge`` is added first where values lie halfway between two results."""
+    return df.select(*[F.round(F.col(c) + nudge, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None = None, base: bool = True):
@@ -238,10 +238,10 @@ def _bt(s, d):
     return shown(C.combined("diff", [c, C.reduced(c, "ave", "t")]).cells())
 
 
-@query("broadcast_diff_xy", "+ m as (select member, t, avg(value) as v from cube group by all) select c.member, c.t, c.y, c.x, time, lat, lon, round(v - value, 6) as value from cube c join m on c.member = m.member and c.t = m.t")
+@query("broadcast_diff_xy", "+ m as (select member, t, avg(value) as v from cube group by all) select c.member, c.t, c.y, c.x, time, lat, lon, round(v - value + 1e-9, 6) as value from cube c join m on c.member = m.member and c.t = m.t")
 def _bxy(s, d):
     c = cells(s, d)
-    return shown(C.combined("diff", [C.reduced(c, "ave", "xy"), c]).cells())
+    return shown(C.combined("diff", [C.reduced(c, "ave", "xy"), c]).cells(), 6, 1e-9)
 
 
 # along time
@@ -252,14 +252,14 @@ low as (select c.member, c.t, c.y, c.x, c.value as raw, case when l.m is null th
 """
 
 
-@query("lowpass_6month", f"{_LOW} select member, t, y, x, round(value, 5) as value from low")
+@query("lowpass_6month", f"{_LOW} select member, t, y, x, round(value + 1e-9, 5) as value from low")
 def _low(s, d):
-    return shown(C.lowpass(cells(s, d), 6).cells(), 5)
+    return shown(C.lowpass(cells(s, d), 6).cells(), 5, 1e-9)
 
 
-@query("highpass_6month", f"{_LOW} select member, t, y, x, round(raw - value, 5) as value from low")
+@query("highpass_6month", f"{_LOW} select member, t, y, x, round(raw - value + 1e-9, 5) as value from low")
 def _high(s, d):
-    return shown(C.highpass(cells(s, d), 6).cells(), 5)
+    return shown(C.highpass(cells(s, d), 6).cells(), 5, 1e-9)
 
 
 @query("sliding_3_2", """+ s as (select member, t, y, x, row_number() over w as k, avg(value) over (partition by member, y, x order by t rows between current row and 2 following) as v from cube window w as (partition by member, y, x order by t))
@@ -414,4 +414,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    # a rounded negative number may be -0 there, which is 0 here
+    return {k: f"select * replace (value + 0.0 as value) from ({q})" if q.rfind("as value") > q.rfind("select") else q for k, q in SQL.items()}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,16 +16,6 @@ from gridloom.operators.cube import Cube
 from gridloom.operators.drift import file_schemas
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that all executors share (``spark.checkpoint.dir``); a temporary one only in a single process."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/gridloom-{uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="gridloom-")
-
-
 @dataclass
 class Catalog:
     """Collections by id. The entries are metadata only: one small JSON text each, kept by the driver."""

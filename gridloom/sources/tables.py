@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,23 @@ def shared_checkpoints(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the one that all executors share (``spark.checkpoint.dir``); a temporary one only in a single process."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/gridloom-{uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="gridloom-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, computed once: written as Parquet into the shared folder and read back, with its size known to the optimizer. For large intermediate tables, as a checkpoint isn't compressed."""
+    path = f"{shared_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def epoch_millis(t: Column) -> Column:
     """Epoch milliseconds of a timestamp without zone, read as UTC whatever the session's zone; finer digits are cut off (floor)."""
     days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
