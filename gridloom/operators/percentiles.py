@@ -2,44 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.blocks import join_same
-from gridloom.sources.tables import shared_checkpoints
+from gridloom.sources.tables import shared_checkpoints, written
 
-#: Mantissa bits of the intervals of a summary: an interval is at most 2**-BITS of its values wide.
-BITS = 10
-#: Bits by which each further pass narrows an interval, that is bisections done at once.
-STEP = 12
+#: Intervals of a summary per unit of the natural logarithm, so that one is at most a 1024th of its values wide.
+GRID = 1024
+#: Parts into which each further pass cuts an interval, that is twelve bisections at once.
+PARTS = 1 << 12
 #: Most open intervals that are sent to all tasks; beyond, they are joined by key.
 SENT = 50_000
 
 
-def ordered_code(x: Column) -> Column:
-    """A 64-bit number that orders as the finite double ``x`` does, 0 and -0 alike: exponent and mantissa of its magnitude, negated bit by bit for negative values."""
-    a = F.abs(x.cast("double"))
-    guess = F.greatest(F.floor(F.log2(a)), F.lit(-1022))
-    power = F.pow(F.lit(2.0), guess)
-    e = F.when((a < power) & (guess > -1022), guess - 1).when(a / 2 >= power, guess + 1).otherwise(guess)
-    m = a / F.pow(F.lit(2.0), e)
-    unit = F.lit(1 << 52)
-    magnitude = F.when(a == 0, F.lit(0)).when(m < 1, F.floor(m * unit)).otherwise((e + 1023) * unit + F.floor((m - 1) * unit)).cast("long")
-    return F.when(x < 0, -magnitude - 1).otherwise(magnitude)
+def interval_of(x: Column, grid: int = GRID) -> Column:
+    """The number of the interval of a fixed grid that the finite double ``x`` lies in: it doesn't decrease along x, and 0 is one of its own. The logarithm is the exactly specified one, so all machines agree."""
+    step = F.floor((F.ln(F.abs(x)) + 746) * grid) + 1
+    return F.when(x > 0, step).when(x < 0, -step).otherwise(0).cast("int")
 
 
-def summary(df: DataFrame, keys: list[str], value: str, bits: int = BITS) -> DataFrame:
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 1.7976931348623157e308)
+
+
+def summary(df: DataFrame, keys: list[str], value: str, grid: int = GRID) -> DataFrame:
     """The mergeable form ``(*keys, bucket, n, lo, hi)``: how many values each interval of a fixed grid holds, and their extremes.
 
     The grid is the same for all data, so summaries of separate days, files or batches merge by addition (``merge``). Null, NaN and
     infinite values are left out; a null key is a group of its own. Counts are combined before they are shuffled.
     """
-    x = F.col(value).cast("double")
-    kept = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 1.7976931348623157e308))
-    bucket = F.shiftright(ordered_code(x), 52 - bits)
-    return kept.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    x = F.col("_x")
+    kept = df.select(*keys, F.col(value).cast("double").alias("_x")).where(_finite(x))
+    return kept.groupBy(*keys, interval_of(x, grid).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
 
 
 def merge(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -51,7 +49,7 @@ def located(counts: DataFrame, keys: list[str], percents: list[int]) -> DataFram
     """``(*keys, pct, n, bucket, rank, lo, hi)``: the interval that holds each percentile of a summary, and the rank within it.
 
     The percentile p of n values is the value of rank ceil(n p / 100), at least 1. Without further passes lo and hi bound it, with a
-    relative error of at most 2**-BITS.
+    relative error of at most 1 / GRID.
     """
     upto = Window.partitionBy(*keys).orderBy("bucket")
     placed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
@@ -61,31 +59,47 @@ def located(counts: DataFrame, keys: list[str], percents: list[int]) -> DataFram
     return asked.select(*keys, "pct", F.col("total").alias("n"), "bucket", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], counts: DataFrame | None = None, bits: int = BITS) -> DataFrame:
+def _within(df: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose keys are among ``intervals``, which is sent to all tasks if its count allows."""
+    return join_same(df, F.broadcast(intervals) if intervals.count() <= SENT else intervals, keys, "left_semi")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], fine: list[str] | None = None, regroup: Callable[[DataFrame], DataFrame] | None = None, grid: int = GRID) -> DataFrame:
     """``(*keys, pct, n, value)``: exact percentiles of each group.
 
     Exact bisection: each group and percentile has an interval of values; a pass counts the rows below the midpoints of its open
-    intervals (``STEP`` bisections at once) and keeps the part that holds the target rank, until it holds one value only. The first
-    pass is ``counts``, a summary of the same rows and keys, computed here if not given. Later passes read only rows that lie in an
-    open interval, and pre-aggregate them before the shuffle. Ties are one value. A group without finite values gives no rows.
+    intervals (twelve bisections at once) and keeps the part that holds the target rank, until it holds one value only. The first
+    pass is a summary. The second reads only rows that lie in an open interval, further ones only what that gave; intervals that
+    hold one value were counted already. Ties are one value, and so are 0 and -0. A group without finite values gives no rows.
+
+    Several groupings at once: the summary is made for the columns ``fine``, and ``regroup`` turns rows with these into rows with
+    ``keys``, one for each group that a row belongs to, keeping other columns.
     """
     shared_checkpoints(df.sparkSession)
-    found = located(summary(df, keys, value, bits) if counts is None else counts, keys, percents).checkpoint()
-    done = [found.where("lo = hi")]
-    open_, shift = found.where("lo < hi"), 52 - bits
-    while shift > 0:
+    fine, regroup = fine or keys, regroup or (lambda x: x)
+    base = written(summary(df, fine, value, grid))
+    found = located(merge([regroup(base)], keys), keys, percents).checkpoint()
+    done, open_ = [found.where("lo = hi")], found.where("lo < hi")
+    if open_.limit(1).count():
         wanted = open_.select(*keys, "bucket").distinct()
-        n_open = wanted.count()
-        if not n_open:
-            break
-        narrower = max(0, shift - STEP)
-        x = F.col(value).cast("double")
-        rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 1.7976931348623157e308)).select(*keys, x.alias("_x"), ordered_code(x).alias("_code")).withColumn("bucket", F.shiftright("_code", shift))
-        inside = join_same(rows, F.broadcast(wanted) if n_open <= SENT else wanted, [*keys, "bucket"], "left_semi")
-        parts = inside.groupBy(*keys, "bucket", F.shiftright("_code", narrower).alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("p_lo"), F.max("_x").alias("p_hi"))
-        parts = parts.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy("part")))
-        hit = join_same(open_.drop("lo", "hi"), parts, [*keys, "bucket"]).where("rank <= upto and rank > upto - c")
-        hit = hit.select(*keys, "pct", "n", F.col("part").alias("bucket"), (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("p_lo").alias("lo"), F.col("p_hi").alias("hi")).checkpoint()
-        done.append(hit.where("lo = hi"))
-        open_, shift = hit.where("lo < hi"), narrower
-    return reduce(DataFrame.unionByName, [*done, open_]).select(*keys, "pct", "n", F.col("lo").alias("value"))
+        named = base.withColumn("_fine", F.struct(*fine))
+        counted = _within(regroup(named.where("lo = hi")), wanted, [*keys, "bucket"]).select(*keys, "bucket", F.col("lo").alias("_x"), F.col("n").alias("_w"))
+        mixed = _within(regroup(named.where("lo < hi")), wanted, [*keys, "bucket"]).select("_fine.*", "bucket").distinct()
+        raw = df.select(*fine, F.col(value).cast("double").alias("_x")).where(_finite(F.col("_x"))).withColumn("bucket", interval_of(F.col("_x"), grid))
+        raw = _within(raw, mixed, ["bucket", *fine]).groupBy(*fine, "bucket", "_x").agg(F.count(F.lit(1)).alias("_w"))
+        rows = written(counted.unionByName(_within(regroup(raw), wanted, [*keys, "bucket"]).select(*keys, "bucket", "_x", "_w")))
+        # from here on an interval is known by its bounds; those of one bucket overlap no others
+        rows, open_ = rows.withColumn("_at", F.col("bucket")), open_.withColumn("_at", F.col("bucket"))
+    while open_.limit(1).count():
+        spans = open_.select(*keys, "_at", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
+        inside = join_same(rows, F.broadcast(spans) if spans.count() <= SENT else spans, [*keys, "_at"]).where("_x >= _lo and _x <= _hi")
+        # an interval has one sign, so its width is a double, and not 0
+        part = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS), F.lit(PARTS - 1))
+        part = F.when(F.col("_x") >= F.col("_hi"), PARTS).otherwise(part)
+        parts = inside.groupBy(*keys, "_at", "_lo", "_hi", part.alias("part")).agg(F.sum("_w").alias("c"), F.min("_x").alias("p_lo"), F.max("_x").alias("p_hi"))
+        parts = parts.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "_at", "_lo", "_hi").orderBy("part"))).withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
+        hit = join_same(open_, parts, [*keys, "_at", "lo", "hi"]).where("rank <= upto and rank > upto - c")
+        hit = hit.select(*keys, "pct", "n", "bucket", "_at", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("p_lo").alias("lo"), F.col("p_hi").alias("hi")).checkpoint()
+        done.append(hit.where("lo = hi").drop("_at"))
+        open_ = hit.where("lo < hi")
+    return reduce(DataFrame.unionByName, [x.select(*keys, "pct", "n", "lo") for x in done]).withColumnRenamed("lo", "value")

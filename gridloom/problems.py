@@ -46,9 +46,7 @@ _GROUP = ["group_kind", "group_id", "item", "unit"]
 
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of the valid readings per collection, variable and unit, and per source and element."""
-    cells = _readings(spark, d)
-    counts = merge([_grouped(summary(cells, _FINE, "value"))], _GROUP)
-    return percentiles(_grouped(cells), _GROUP, "value", PERCENTS, counts)
+    return percentiles(_readings(spark, d), _GROUP, "value", PERCENTS, _FINE, _grouped)
 
 
 def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
