@@ -27,11 +27,11 @@ class Catalog:
         self.entries[name.lower()] = {"path": path, "axes": list(cube.axes), "tags": list(cube.tags), "coords": list(cube.coords), "value": cube.value, "title": title}
 
     def save(self, name: str, cube: Cube, partition: str | None = None, title: str = "") -> str:
-        """Write a cube as Parquet, optionally partitioned by a column such as a calendar bin, and register it. Rows are clustered by time, so time spans prune row groups."""
+        """Write a cube as Parquet, optionally partitioned by a column such as a calendar bin, and register it. Rows are clustered by time, so time spans prune row groups; a large bin is split over several tasks."""
         path = f"{self.folder}/{name.lower()}"
         df = cube.cells()
         if partition:
-            df.repartition(partition).write.mode("overwrite").partitionBy(partition).parquet(path)
+            df.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(path)
         elif "t" in cube.axes:
             df.sortWithinPartitions("t").write.mode("overwrite").parquet(path)
         else:

@@ -180,7 +180,7 @@ def test_operations_in_a_circle():
 
 def test_request_equals_direct_calls(spark):
     c = cube(spark, [(t, y, 0, float(t * y)) for t in range(4) for y in range(3)])
-    text = '[domain=[{name:"d",lat:{start:1,end:2,system:"indices"}}],variable=[{uri:"collection:/g",name:"q:v"}],operation=[{name:"CDSpark.ave",input:"v",axes:"t",id:"m",domain:"d"},{name:"x.diff2",input:"v,m",id:"out",domain:"d"}]]'
+    text = '[domain=[{name:"d",lat:{start:1,end:2,system:"indices"}}],variable=[{uri:"collection:/g",name:"q:v"}],operation=[{name:"Module.ave",input:"v",axes:"t",id:"m",domain:"d"},{name:"x.diff2",input:"v,m",id:"out",domain:"d"}]]'
     got = R.execute(text, lambda coll, name: c)
     part = C.subset(c, [Span("y", 1, 2)])
     assert list(got) == ["out"] and sorted(got["out"].select("t", "y", "value").collect()) == sorted(C.combined("diff", [part, C.reduced(part, "ave", "t")]).df.select("t", "y", "value").collect())
@@ -210,9 +210,9 @@ def test_ingest_and_catalog_texts(spark, tmp_path):
         spark.createDataFrame([(1,) * len(names)], list(names)).coalesce(1).toPandas().to_parquet(tmp_path / f"{k}.parquet")
     paths = [str(tmp_path / f"{k}.parquet") for k in range(3)]
     assert Catalog(str(tmp_path)).ingest(spark, paths) == {"a-b": paths[:2], "c": paths[2:]}
-    (tmp_path / "x.ag1").write_text("P; title; T\nV; tas; Air; d.tas; desc; 1,2,3; ; time lat lon; K\nF; 60; 12; /a.nc\n")
-    v = aggregation_rows(spark, [str(tmp_path / "x.ag1")], "V").first()
-    assert (v.name, v.resolution, v.units) == ("tas", None, "K") and aggregation_rows(spark, [str(tmp_path / "x.ag1")], "F").first().path == "/a.nc"
+    (tmp_path / "x.txt").write_text("P; title; T\nV; tas; Air; d.tas; desc; 1,2,3; ; time lat lon; K\nF; 60; 12; /a.nc\n")
+    v = aggregation_rows(spark, [str(tmp_path / "x.txt")], "V").first()
+    assert (v.name, v.resolution, v.units) == ("tas", None, "K") and aggregation_rows(spark, [str(tmp_path / "x.txt")], "F").first().path == "/a.nc"
     (tmp_path / "list.csv").write_text("# c\nid1, .*nc, Title, /data\n")
     assert [tuple(r) for r in collection_list(spark, [str(tmp_path / "list.csv")]).collect()] == [("id1", ".*nc", "Title", "/data")]
 
