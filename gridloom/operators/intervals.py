@@ -23,15 +23,15 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block
     start, are ignored; repeated ones count once. A null key is a group of its own. An empty table gives no rows.
     """
     once = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).where("_s < _e").distinct()
-    events = once.select(*keys, F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("_s").alias("t")), F.struct(F.lit("e").alias("side"), F.col("_e").alias("t")))).alias("x"))
-    events = events.select(*keys, "x.side", "x.t")
-    events = ranked(events, [*keys, "side"], "t", F.floor(F.col("t") / F.lit(block)), "k")
-    starts = events.where("side = 's'").select(*keys, (F.col("k") - 1).alias("k"), F.col("t").alias("s"))
-    ends = events.where("side = 'e'").select(*keys, "k", F.col("t").alias("e"))
-    edges = join_same(starts, ends, [*keys, "k"], "full").where("s is null or e is null or s > e")
-    edges = neighbour(edges, keys, ["k"], F.floor(F.col("k") / F.lit(RANKS)), ["e"], "_next", following=True)
+    bound = lambda side, c: F.struct(F.lit(side).alias("_side"), F.col(c).alias("_t"))
+    events = once.select(*keys, F.inline(F.array(bound("s", "_s"), bound("e", "_e"))))
+    events = ranked(events, [*keys, "_side"], "_t", F.floor(F.col("_t") / F.lit(block)), "_k")
+    starts = events.where("_side = 's'").select(*keys, (F.col("_k") - 1).alias("_k"), F.col("_t").alias("_s"))
+    ends = events.where("_side = 'e'").select(*keys, "_k", F.col("_t").alias("_e"))
+    edges = join_same(starts, ends, [*keys, "_k"], "full").where("_s is null or _e is null or _s > _e")
+    edges = neighbour(edges, keys, ["_k"], F.floor(F.col("_k") / F.lit(RANKS)), ["_e"], "_next", following=True)
     found = F.array(
-        F.struct(F.lit("period").alias("kind"), F.col("s").alias("start_ms"), F.col("_next.e").alias("end_ms")),
-        F.struct(F.lit("gap").alias("kind"), F.col("e").alias("start_ms"), F.col("s").alias("end_ms")),
+        F.struct(F.lit("period").alias("kind"), F.col("_s").alias("start_ms"), F.col("_next._e").alias("end_ms")),
+        F.struct(F.lit("gap").alias("kind"), F.col("_e").alias("start_ms"), F.col("_s").alias("end_ms")),
     )
     return edges.select(*keys, F.inline(found)).where("start_ms is not null and end_ms is not null")

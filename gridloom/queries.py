@@ -279,10 +279,10 @@ def _asof(s, d):
 @query("time_convert_linear", """+ m as (select member, t, avg(value) as v from cube group by all), p as (select * from m where t % 3 = 0 and v is not null),
 l as (select m.member, m.t, p.t as pt, p.v as pv from m asof left join p on m.member = p.member and m.t >= p.t),
 r as (select m.member, m.t, p.t as qt, p.v as qv from m asof left join p on m.member = p.member and m.t <= p.t)
-select l.member, cast(l.t as double) as t, round(case when pt is null then qv when qt is null or pt = qt then pv else pv + (qv - pv) * (l.t - pt) / (qt - pt) end, 5) as value from l join r on l.member = r.member and l.t = r.t""")
+select l.member, cast(l.t as double) as t, round(case when pt is null then qv when qt is null or pt = qt then pv else pv + (qv - pv) * (l.t - pt) / (qt - pt) end + 1e-9, 5) as value from l join r on l.member = r.member and l.t = r.t""")
 def _convert(s, d):
     means = C.reduced(cells(s, d), "ave", "xy").df.select("member", "t", "value")
-    return shown(C.converted(means.where("t % 3 = 0"), means.select("member", "t"), ["member"], "t", "value"), 5)
+    return shown(C.converted(means.where("t % 3 = 0"), means.select("member", "t"), ["member"], "t", "value"), 5, 1e-9)
 
 
 @query("append_time", "select member, t, y, x, time, lat, lon, round(value, 6) as value from cube where t < 40 union all select member, cast(t as integer), y, x, time, lat, lon, round(value, 6) as value from cube where t >= 40")

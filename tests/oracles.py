@@ -74,6 +74,8 @@ def utc_ms(text, calendar, zone, day_first):
             continue
         try:
             t = datetime.strptime(s, form)
+            if "%j" in form and t.year != int(s[:4]):
+                return None
             break
         except ValueError:
             pass
