@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def _judge(t: pa.Table) -> pa.Table:
     limit = np.array([bounds(v, u) for v, u in zip(variable, units)], dtype=np.float64).astype(np.float32).reshape(-1, 3)
     resting, bursts = np.isin(variable, RESTING), np.isin(variable, BURSTS)
     data = t.column("data").combine_chunks()
-    counts = np.nan_to_num(pa.compute.list_value_length(data).to_numpy(zero_copy_only=False)).astype(np.int64)
+    counts = np.nan_to_num(pc.list_value_length(data).to_numpy(zero_copy_only=False)).astype(np.int64)
     x = data.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
     row = np.repeat(np.arange(t.num_rows), counts)
     cell = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -149,7 +150,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.ones(t.num_rows, bool)
         for c, v in zip(("source", "element", "block"), last):
             col = t.column(c)
-            same &= (pa.compute.is_null(col) if v is None else pa.compute.fill_null(pa.compute.equal(col, v), False)).to_numpy()
+            same &= (pc.is_null(col) if v is None else pc.fill_null(pc.equal(col, v), False)).to_numpy()
         return t.num_rows - int(same.sum())
 
     for b in batches:
