@@ -29,6 +29,8 @@ class Cube:
     coords: tuple[str, ...] = ()
     value: str = "value"
     more: tuple[str, ...] = field(default=())
+    #: Coordinates of axes, where known: spans of values then resolve without reading data.
+    axis_values: dict = field(default_factory=dict)
 
     @property
     def keys(self) -> list[str]:
@@ -224,11 +226,11 @@ def subset(cube: Cube, spans: list[Span]) -> Cube:
                 df = df.where(F.pmod(c - F.lit(float(start)), F.lit(360.0)) <= float(end) - float(start))
                 continue
             inside = c.between(float(start), float(end))
-            bounds = df.agg(F.max(inside.cast("int")).alias("any"), F.min(F.when(c > float(start), c)).alias("next")).first()
-            if bounds["any"] or bounds["next"] is None:
-                df = df.where(inside)
+            if known := cube.axis_values.get(s.axis):
+                hit, following = any(float(start) <= v <= float(end) for v in known), min((v for v in known if v > float(start)), default=None)
             else:
-                df = df.where(c == bounds["next"])
+                hit, following = df.agg(F.max(inside.cast("int")), F.min(F.when(c > float(start), c))).first()
+            df = df.where(inside if hit or following is None else c == following)
         else:
             raise ValueError(f"no coordinate system: {s.system}")
     return replace(cube, df=df)

@@ -31,7 +31,7 @@ CUBE_SQL = """with cube as (
            case when l_discount = 0 then null else l_quantity end as v
     from lineitem join supplier on l_suppkey = s_suppkey) group by all)"""
 
-LATS, LONS = uniform_axis(-86.4, 7.2, 25), uniform_axis(0.0, 90.0, 4)
+LATS, LONS = [k * 7.2 - 86.4 for k in range(25)], uniform_axis(0.0, 90.0, 4)
 
 
 def cells(spark: SparkSession, d: str) -> Cube:
@@ -41,7 +41,7 @@ def cells(spark: SparkSession, d: str) -> Cube:
     time = F.make_timestamp_ntz(F.year(ship), F.month(ship), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     flat = joined.select(F.col("l_returnflag").alias("member"), ((F.year(ship) - 1995) * 12 + F.month(ship) - 1).alias("t"), time.alias("time"), F.col("s_nationkey").cast("int").alias("y"), (F.col("l_suppkey") % 4).cast("int").alias("x"), F.when(F.col("l_discount") != 0, F.col("l_quantity")).alias("v"))
     df = flat.groupBy("member", "t", "time", "y", "x").agg(F.avg("v").alias("value")).withColumns({"lat": F.col("y") * F.lit(7.2) - F.lit(86.4), "lon": F.col("x") * F.lit(90.0)})
-    return Cube(df, ("t", "y", "x"), ("member",), ("time", "lat", "lon"))
+    return Cube(df, ("t", "y", "x"), ("member",), ("time", "lat", "lon"), axis_values={"y": LATS, "x": LONS})
 
 
 def events(spark: SparkSession, d: str) -> Cube:
