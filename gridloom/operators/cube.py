@@ -153,8 +153,8 @@ ELEMENTWISE: dict[str, Callable[[Column, Column], Column]] = {
 def combined(op: str, cubes: list[Cube]) -> Cube:
     """``op`` of the cubes, cell by cell in the order given.
 
-    Cubes join on the keys that both have: an axis that one lacks counts as length 1 and is broadcast, in either direction. Keys
-    that neither contains the other are incommensurate. Cells absent from a cube drop out.
+    Cubes join on the keys that both have: an axis that one lacks counts as length 1 and is broadcast, in either direction; so is
+    the one cell of a cube without keys. Keys that neither contains the other are incommensurate. Cells absent from a cube drop out.
     """
     if len(cubes) < 2:
         raise ValueError("two or more inputs are needed")
@@ -166,7 +166,10 @@ def combined(op: str, cubes: list[Cube]) -> Cube:
         common = [k for k in wide.keys if k in a.keys and k in b.keys]
         left = a.df.select(*a.keys, *(a.coords if wide is a else ()), F.col(a.value).alias("_a"))
         right = b.df.select(*b.keys, *(b.coords if wide is b else ()), F.col(b.value).alias("_b"))
-        joined = left.join(right, common) if common else left.crossJoin(F.broadcast(right.limit(1)))  # without keys one side is a single cell
+        if common:
+            joined = left.join(right, common)
+        else:  # one side is fully reduced, a single cell
+            joined = left.crossJoin(F.broadcast(right)) if wide is a else right.crossJoin(F.broadcast(left))
         return Cube(joined.select(*wide.keys, *wide.coords, ELEMENTWISE[op](F.col("_a"), F.col("_b")).alias("value")), wide.axes, wide.tags, wide.coords)
 
     return fold(two, cubes)

@@ -66,6 +66,17 @@ def test_order_of_operands_survives_broadcasting(spark):
         C.combined("sum", [C.reduced(c, "ave", "t"), C.reduced(c, "ave", "x")])
 
 
+def test_a_single_cell_is_broadcast_in_either_order(spark):
+    c = C.member(cube(spark, [(0, 0, 0, 1.0), (0, 0, 1, None), (1, 0, 0, 4.0), (1, 1, 0, 7.0)]), "m")
+    mean = C.reduced(c, "ave", "txy")
+    assert mean.keys == []
+    assert values(C.combined("diff", [mean, c])) == {(0, 0, 0): 3.0, (0, 0, 1): None, (1, 0, 0): 0.0, (1, 1, 0): -3.0}
+    assert values(C.combined("diff", [c, mean])) == {(0, 0, 0): -3.0, (0, 0, 1): None, (1, 0, 0): 0.0, (1, 1, 0): 3.0}
+    assert values(C.combined("div", [mean, mean])) == {(): 1.0}
+    got = R.execute('[variable=[{uri:"collection:/g",name:"q:v1"}],operation=[{name:"c.ave",input:"v1",axes:"txy",id:"v1ave"},{name:"c.eDiff",input:"v1ave,v1",id:"out"}]]', lambda coll, name: c)
+    assert sorted((r.t, r.y, r.x, r.value) for r in got["out"].where("value is not null").collect()) == [(0, 0, 0, 3.0), (1, 0, 0, 0.0), (1, 1, 0, -3.0)]
+
+
 def test_elementwise_missing_and_zero(spark):
     a, b = cube(spark, [(0, 0, 0, 1.0), (0, 0, 1, None), (0, 1, 0, 2.0)]), cube(spark, [(0, 0, 0, 0.0), (0, 0, 1, 5.0), (0, 1, 0, 4.0)])
     assert values(C.combined("div", [a, b])) == {("m", 0, 0, 0): None, ("m", 0, 0, 1): None, ("m", 0, 1, 0): 0.5}
