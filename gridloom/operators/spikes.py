@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.units import parse_unit
+from gridloom.sources.tables import shared_checkpoints
 
-#: Rows of one source per block, and rows that a block sees of its neighbours.
+#: Rows of one source and element per block, and readings of each cell that a block sees before and after its own.
 BLOCK_ROWS, HALO_ROWS = 4096, 160
+#: Parts that a block too large is cut into at once, and tables of cuts up to which they are broadcast.
+CUTS, FEW = 64, 50_000
 #: Half width of the rolling median, equal readings that make a run stuck, and the scores beyond which a reading is a jump.
 HALF, STUCK, NEAR, FAR, RAIN = 4, 10, 5.0, 11.3, 180.0
 #: A reading this far from the rolling median is a jump already at the second distance from the line, as at the ends of a series.
@@ -97,37 +101,53 @@ def jumps(x: np.ndarray, seg: np.ndarray, n: int, still: np.ndarray, bursts: np.
     return np.where(bursts[seg], near > RAIN, ~good & ((far > FAR) | (near > CLEAR[0]) & (far > CLEAR[1])))
 
 
-def _judge(t: pa.Table) -> pa.Table:
-    """The bad readings of whole groups; rows come in order of group."""
+def _series(t: pa.Table) -> dict[str, np.ndarray]:
+    """The readings of whole groups that are not missing, in order of group, cell, time and value; rows come in order of group.
+
+    Rows that are not ``core`` bring readings from other blocks, with a cell and a time each.
+    """
     keys = [t.column(c).combine_chunks() for c in ("source", "element", "block")]
     codes = [k.dictionary_encode().indices.to_numpy() if pa.types.is_string(k.type) else k.to_numpy() for k in keys]
     start = np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)] if t.num_rows else np.zeros(0, bool)
     group = np.cumsum(start) - 1
+    core = t.column("core").to_numpy()
     heads = np.flatnonzero(start)
+    own = np.minimum.reduceat(np.where(core, np.arange(t.num_rows), t.num_rows - 1), heads) if len(heads) else heads
     names = t.column("element").combine_chunks().take(pa.array(heads)).to_pylist()
-    units = t.column("unit").combine_chunks().take(pa.array(heads)).to_pylist()
+    units = t.column("unit").combine_chunks().take(pa.array(own)).to_pylist()
     variable = [(n or "").split("-")[0] for n in names]
     limit = np.array([bounds(v, u) for v, u in zip(variable, units)], dtype=np.float64).astype(np.float32).reshape(-1, 3)
-    resting, bursts = np.isin(variable, RESTING), np.isin(variable, BURSTS)
     data = t.column("data").combine_chunks()
     counts = np.nan_to_num(pc.list_value_length(data).to_numpy(zero_copy_only=False)).astype(np.int64)
     x = data.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
     row = np.repeat(np.arange(t.num_rows), counts)
     cell = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
     missing = t.column("missing").to_numpy().astype(np.float32)
-    time, record, core = t.column("t").to_numpy(), t.column("record_id").to_numpy(), t.column("core").to_numpy()
+    time = t.column("t").to_numpy()[row]
+    if not core.all():
+        far = ~core[row]
+        cell[far] = t.column("cells").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        time[far] = t.column("times").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     keep = ~np.isnan(x) & (x != missing[row])
-    x, row, cell = x[keep], row[keep], cell[keep]
-    order = np.lexsort((x, time[row], cell, group[row]))
-    x, row, cell = x[order], row[order], cell[order]
+    x, row, cell, time = x[keep], row[keep], cell[keep], time[keep]
+    order = np.lexsort((x, time, cell, group[row]))
+    x, row, cell, time = x[order], row[order], cell[order], time[order]
     g = group[row]
     # repeated deliveries, equal in time and value, stand once in a series
-    fresh = np.r_[True, (x[1:] != x[:-1]) | (time[row[1:]] != time[row[:-1]]) | (cell[1:] != cell[:-1]) | (g[1:] != g[:-1])] if len(x) else np.zeros(0, bool)
+    fresh = np.r_[True, (x[1:] != x[:-1]) | (time[1:] != time[:-1]) | (cell[1:] != cell[:-1]) | (g[1:] != g[:-1])] if len(x) else np.zeros(0, bool)
+    lim = limit[g]
+    impossible = np.isinf(x) | (x <= lim[:, 0]) | (x < lim[:, 1]) | (x > lim[:, 2])
+    return {"heads": heads, "variable": np.array(variable, dtype=str), "core": core, "x": x, "row": row, "cell": cell, "time": time, "g": g, "fresh": fresh, "impossible": impossible}
+
+
+def _judge(t: pa.Table) -> pa.Table:
+    """The bad readings of whole groups; rows come in order of group."""
+    s = _series(t)
+    row, cell, fresh = s["row"], s["cell"], s["fresh"]
+    resting, bursts = np.isin(s["variable"], RESTING), np.isin(s["variable"], BURSTS)
     once = np.cumsum(fresh) - 1
-    sx, sg, sc = x[fresh], g[fresh], cell[fresh]
+    sx, sg, sc, impossible = s["x"][fresh], s["g"][fresh], cell[fresh], s["impossible"][fresh]
     seg = np.cumsum(np.r_[True, (sc[1:] != sc[:-1]) | (sg[1:] != sg[:-1])]) - 1 if len(sx) else sg
-    lim = limit[sg]
-    impossible = np.isinf(sx) | (sx <= lim[:, 0]) | (sx < lim[:, 1]) | (sx > lim[:, 2])
     stuck = (_run_lengths(sx, seg) >= STUCK) & ~resting[sg]
     v = ~impossible
     n = int(seg[-1]) + 1 if len(seg) else 0
@@ -135,13 +155,66 @@ def _judge(t: pa.Table) -> pa.Table:
     burst[seg] = bursts[sg]
     jump = np.zeros(len(sx), bool)
     jump[v] = jumps(sx[v].astype(np.float64), seg[v], n, stuck[v], burst)
-    hit = np.flatnonzero((impossible | stuck | jump)[once] & core[row])
+    hit = np.flatnonzero((impossible | stuck | jump)[once] & s["core"][row])
     why = np.select([impossible, stuck], ["impossible", "stuck"], "jump")[once][hit]
+    record = t.column("record_id").to_numpy()
     return pa.table({"record_id": pa.array(record[row[hit]], pa.int64()), "element_key": t.column("element").combine_chunks().take(pa.array(row[hit])), "cell_no": pa.array(cell[hit], pa.int64()), "reason": pa.array(why, pa.string())})
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole groups at a time: the last group of what has been read waits for the rest of its rows."""
+def _nearest(seg: np.ndarray, plausible: np.ndarray, halo: int, last: bool) -> np.ndarray:
+    """Which readings, in order of segment and time, a neighbouring block must see: of each segment's last (or first) ones so many that
+    a run of equal readings is known as stuck, and ``halo`` plausible ones, among which medians and lines are taken."""
+    if last:
+        return _nearest(seg[::-1], plausible[::-1], halo, False)[::-1]
+    if not len(seg):
+        return np.zeros(0, bool)
+    first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+    size = np.diff(np.r_[first, len(seg)])
+    nth = np.arange(len(seg)) - np.repeat(first, size)
+    before = np.cumsum(plausible) - plausible
+    return (nth < STUCK - 1) | (plausible & (before - np.repeat(before[first], size) < halo))
+
+
+def _edges(t: pa.Table, halo: int) -> pa.Table:
+    """Two rows per group: what the blocks after it (side 1) and before it (side -1) must see of its cells."""
+    s = _series(t)
+    x, cell, time, g, plausible = (v[s["fresh"]] for v in (s["x"], s["cell"], s["time"], s["g"], ~s["impossible"]))
+    seg = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]) | (g[1:] != g[:-1])]) if len(x) else g
+    n, out = len(s["heads"]), []
+    for side in (1, -1):
+        keep = _nearest(seg, plausible, halo, side == 1)
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(g[keep], minlength=n))], pa.int32())
+        lists = {c: pa.ListArray.from_arrays(ends, pa.array(v[keep], kind)) for c, v, kind in (("cells", cell, pa.int32()), ("times", time, pa.int64()), ("data", x, pa.float32()), ("plausible", plausible, pa.bool_()))}
+        block = t.column("block").combine_chunks().take(pa.array(s["heads"]))
+        same = {c: t.column(c).combine_chunks().take(pa.array(s["heads"])) for c in ("source", "element")}
+        out.append(pa.table({**same, "block": block, "side": pa.array([side] * n, pa.int32()), **lists}))
+    return pa.concat_tables(out)
+
+
+def _carried(batches: Iterator[pa.RecordBatch], halo: int) -> Iterator[pa.RecordBatch]:
+    """From edges in order of source, element and side, and outwards from the first (side 1) or last block: for each block the readings that it must see, from as many blocks as they lie in."""
+    key, held = None, []
+    for b in batches:
+        out = []
+        columns = [b.column(c).to_pylist() for c in ("source", "element", "side", "block")]
+        lists = [b.column(c) for c in ("cells", "times", "data", "plausible")]
+        for k, (source, element, side, block) in enumerate(zip(*columns)):
+            fresh = [c[k].values.to_numpy(zero_copy_only=False) for c in lists]
+            if (source, element, side) != key:
+                key, held = (source, element, side), fresh
+                continue
+            out.append((source, element, block, *held[:3]))
+            cell, time, x, plausible = (np.concatenate(v) for v in zip(held, fresh))
+            order = np.lexsort((x, time, cell))
+            keep = order[_nearest(cell[order], plausible[order], halo, side == 1)]
+            held = [cell[keep], time[keep], x[keep], plausible[keep]]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float32()))
+        names = ("source", "element", "block", "cells", "times", "data")
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """``work`` on whole groups at a time: the last group of what has been read waits for the rest of its rows."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
@@ -160,30 +233,84 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             at = cut(t)
             if at:
-                yield from _judge(t.slice(0, at)).to_batches()
+                yield from work(t.slice(0, at)).to_batches()
                 held = t.slice(at).combine_chunks().to_batches()
                 rows = t.num_rows - at
     if rows:
-        yield from _judge(pa.Table.from_batches(held)).to_batches()
+        yield from work(pa.Table.from_batches(held)).to_batches()
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _whole(batches, _judge)
+
+
+_GROUP = ["source", "element", "block"]
+
+
+def _few(df: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(df) if count <= FEW else df
+
+
+def _blocks(rows: DataFrame, block_rows: int) -> DataFrame | None:
+    """``rows`` with ``block``, which doesn't decrease along t, and ``split``, whether its source and element have several; None if none has.
+
+    Blocks are cut at quantiles of t, so that they hold about equally many rows however uneven the times are, and again while one is
+    too large; rows of one time stay together.
+    """
+    whole = lambda df: df.withColumn("block", F.lit(0).cast("long"))
+    keys, levels, most = whole(rows.select("source", "element", "t")), [], block_rows
+
+    def within(df: DataFrame, level: DataFrame, how: str) -> DataFrame:
+        place = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("t"))), F.lit(0))
+        return df.join(level, _GROUP, how).withColumn("block", F.col("block") * CUTS + F.when(F.col("cuts").isNull(), 0).otherwise(place))
+
+    while True:
+        sizes = keys.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).where((F.col("n") > most) & (F.col("t0") < F.col("t1"))).checkpoint()
+        count = sizes.count()
+        if not count:
+            break
+        quantiles = F.percentile_approx("t", [k / CUTS for k in range(1, CUTS)], 1000)
+        large = keys.join(_few(sizes, count), _GROUP).groupBy(*_GROUP, "n", "t0").agg(quantiles.alias("q"))
+        parts = F.least(F.ceil(F.col("n") / F.lit(block_rows)), F.lit(CUTS)).cast("int")
+        large = large.withColumn("q", F.transform(F.sequence(F.lit(1), parts - 1), lambda k: F.element_at("q", F.round(k * CUTS / parts).cast("int"))))
+        # where a quantile is the first time, that time alone makes the first part
+        cuts = F.array_sort(F.array_distinct(F.transform("q", lambda c: F.greatest(c, F.col("t0") + 1))))
+        level = _few(large.select(*_GROUP, cuts.alias("cuts")).checkpoint(), count)
+        levels.append(level)
+        keys, most = within(keys, level, "inner").select("source", "element", "t", "block"), 2 * block_rows
+    if not levels:
+        return None
+    out = whole(rows).withColumn("split", F.lit(False))
+    for level in levels:
+        out = within(out, level, "left").withColumn("split", F.col("split") | F.col("cuts").isNotNull()).drop("cuts")
+    return out
+
+
+def _grouped(df: DataFrame) -> DataFrame:
+    return df.repartition(*_GROUP).sortWithinPartitions(F.xxhash64(*_GROUP), *_GROUP)
 
 
 def bad_readings(df: DataFrame, unit: Column, block_rows: int = BLOCK_ROWS, halo_rows: int = HALO_ROWS) -> DataFrame:
     """``(record_id, element_key, cell_no, reason)`` of each bad reading of ``df`` (record_id, source_id, t in ms, element_key, spec struct<missing, data>, and what ``unit`` needs).
 
-    Each source is cut into blocks of about ``block_rows`` rows along time, and a block also sees ``halo_rows`` of its neighbours, so
-    a source with a third of all rows spreads over the cluster. Readings that are null, NaN or the declared missing value are never
+    Each element of a source is cut into blocks of about ``block_rows`` rows along time, so a source with a third of all rows spreads
+    over the cluster. A block also sees, of each cell, the ``halo_rows`` plausible readings and the nine readings of any kind next to it
+    on either side, however far off they lie and whatever number of blocks lies between: runs of equal readings, medians and lines are
+    those of the uncut series, and the noise is that of the block and what it sees. Readings that are null, NaN or the declared missing value are never
     bad. Rows with a null time or source form a series of their own, in order of record_id for a null time. Reasons: impossible, stuck, jump.
     """
+    shared_checkpoints(df.sparkSession)
     rows = df.select("record_id", F.coalesce("source_id", F.lit("")).alias("source"), F.coalesce("t", F.lit(-(1 << 52))).alias("t"), F.coalesce("element_key", F.lit("")).alias("element"), unit.alias("unit"), F.coalesce("spec.missing", F.lit(float("nan"))).cast("float").alias("missing"), F.coalesce("spec.data", F.array().cast("array<float>")).alias("data"))
-    stats = df.groupBy(F.coalesce("source_id", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    parts = F.ceil(F.col("n") / F.lit(block_rows))
-    stats = stats.select("source", "t0", parts.alias("parts"), (F.floor((F.col("t1") - F.col("t0")) / parts) + 1).alias("width"))
-    placed = rows.join(stats, "source").withColumn("ahead", F.greatest(F.col("t") - F.col("t0"), F.lit(0)))
-    own = F.least(F.floor(F.col("ahead") / F.col("width")), F.col("parts") - 1)
-    halo = F.ceil(F.col("width") * F.lit(halo_rows / block_rows))
-    inside = F.col("ahead") - own * F.col("width")
-    seen = F.filter(F.array(own, F.when((own > 0) & (inside < halo), own - 1), F.when((own < F.col("parts") - 1) & (inside >= F.col("width") - halo), own + 1)), lambda b: b.isNotNull())
-    spread = placed.withColumn("own", own).select("record_id", "source", "t", "element", "unit", "missing", "data", "own", F.explode(seen).alias("block"))
-    spread = spread.withColumn("core", F.col("block") == F.col("own")).drop("own")
-    ready = spread.repartition("source", "element", "block").sortWithinPartitions(F.xxhash64("source", "element", "block"), "source", "element", "block")
-    return ready.mapInArrow(_judged, "record_id bigint, element_key string, cell_no bigint, reason string")
+    placed = _blocks(rows, block_rows)
+    own = (rows.withColumn("block", F.lit(0).cast("long")) if placed is None else placed.drop("split")).withColumn("core", F.lit(True))
+    if placed is not None:
+        cut = placed.where("split").drop("split").withColumn("core", F.lit(True))
+        lists = "cells array<int>, times array<bigint>, data array<float>"
+        edges = _grouped(cut).mapInArrow(partial(_whole, work=partial(_edges, halo=halo_rows)), f"source string, element string, block bigint, side int, {lists}, plausible array<boolean>")
+        line = ["source", "element", "side"]
+        edges = edges.repartition(*line).sortWithinPartitions(*line, F.col("block") * F.col("side"))
+        halo = edges.mapInArrow(partial(_carried, halo=halo_rows), f"source string, element string, block bigint, {lists}")
+        halo = halo.withColumns({"record_id": F.lit(-1).cast("long"), "t": F.lit(0).cast("long"), "missing": F.lit(float("nan")).cast("float"), "core": F.lit(False)})
+        # lists of core rows are empty, not null: with nulls Spark's Arrow writer takes time in the square of a batch
+        own = own.withColumns({"cells": F.array().cast("array<int>"), "times": F.array().cast("array<bigint>")}).unionByName(halo.withColumn("unit", F.lit(None).cast("string")))
+    return _grouped(own).mapInArrow(_judged, "record_id bigint, element_key string, cell_no bigint, reason string")

@@ -122,6 +122,42 @@ def test_bad_readings(spark):
     assert spikes.bad_readings(frame(spark, series).limit(0), F.col("unit")).count() == 0
 
 
+def test_blocks_of_uneven_times_judge_as_the_whole_series(spark):
+    rng = np.random.default_rng(5)
+    n = 1200
+    x = 280 + 5 * np.sin(np.arange(n) / 40) + rng.normal(0, 0.5, n).round(2)
+    outage = np.arange(n) * 60_000
+    outage[600:] += 10**10
+    outage[-1] = 10**13  # one stray late slice
+    slower = np.r_[np.arange(700) * 1000, 700_000 + np.arange(500) * 3600_000]
+    want = set()
+    for a in range(95, n - 20, 110):  # runs of ten that lie everywhere against the borders of blocks
+        x[a : a + 10] = 277.25
+        want |= {(k, 0, "stuck") for k in range(a, a + 10)}
+    x[60], x[640] = 330, 330
+    want |= {(60, 0, "jump"), (640, 0, "jump")}
+    rare = np.full(n, -999.0)  # a cell with a reading in every 60th slice, the last twelve equal
+    rare[::60] = 281 + 0.01 * (np.arange(0, n, 60) // 60 % 7)
+    rare[480::60] = 282.5
+    want |= {(k, 1, "stuck") for k in range(480, n, 60)}
+    below = np.where(np.arange(n) % 2 == 0, -5.0, 281 + 0.01 * (np.arange(n) % 7))  # every other reading is impossible
+    want |= {(k, 2, "impossible") for k in range(0, n, 2)}
+    for t in (slower, outage):
+        data = [(k, "s", int(t[k]), "tas-v0", (-999.0, [float(x[k]), float(rare[k]), float(below[k])]), "K") for k in range(n)]
+        data += [(5000 + k, "s", int(t[k]), "ps-v0", (-999.0, [1e5 + k % 13]), "Pa") for k in range(0, n, 7)]
+        df = spark.createDataFrame(data, "record_id bigint, source_id string, t bigint, element_key string, spec struct<missing:float,data:array<float>>, unit string")
+        for block, halo in ((4096, 160), (50, 40), (7, 30)):
+            assert {(r.record_id, r.cell_no, r.reason) for r in spikes.bad_readings(df, F.col("unit"), block, halo).collect()} == want
+    sizes = [r["count"] for r in spikes._blocks(df.selectExpr("source_id source", "element_key element", "t"), 50).groupBy("source", "element", "block").count().collect()]
+    assert max(sizes) <= 100 and sum(sizes) == len(data)
+
+
+def test_blocks_keep_one_time_together(spark):
+    data = [("s", "tas-v0", 5)] * 300 + [("s", "tas-v0", 6 + k) for k in range(5)] + [("s", "ps-v0", 5)] * 300
+    out = spikes._blocks(spark.createDataFrame(data, "source string, element string, t bigint"), 20).groupBy("element", "block", "split").agg(F.min("t").alias("a"), F.max("t").alias("z"), F.count("t").alias("n")).collect()
+    assert sorted((r.element, r.a, r.z, r.n, r.split) for r in out) == [("ps-v0", 5, 5, 300, False), ("tas-v0", 5, 5, 300, True), ("tas-v0", 6, 10, 5, True)]
+
+
 def test_nine_equal_readings_of_repeats_are_not_stuck(spark):
     x = [[280 + (k * 37 % 11) / 10] for k in range(40)]
     for k in range(10, 19):
