@@ -146,9 +146,49 @@ def changes(files: DataFrame, items: DataFrame) -> DataFrame:
     return plain.unionByName(altered).distinct()
 
 
+def _families(links: list, together: list | None) -> list[tuple[str, str]]:
+    """``(name, root)`` of the names in ``links`` (n, old, new), most frequent links first; names that stand in one list of ``together`` stay apart."""
+    family: dict[str, set[str]] = {}
+    for n, old, new in sorted(links, key=lambda x: (-x[0], x[1], x[2])):
+        a, b = family.setdefault(old, {old}), family.setdefault(new, {new})
+        if a is not b and not any(a & set(names) and b & set(names) for names in together or []):
+            a |= b
+            family.update(dict.fromkeys(b, a))
+    return [(name, min(names)) for name, names in family.items()]
+
+
+def _indexed(files: DataFrame, items: DataFrame) -> DataFrame:
+    return items.join(files.where("agg_id is not null").groupBy("agg_id", "file_id").agg(F.min("file_index").alias("file_index")), "file_id")
+
+
+def canonical_names(files: DataFrame, items: DataFrame) -> DataFrame:
+    """``(agg_id, kind, item_name, name)``: for each name that takes part in a renaming, the latest one of the names linked with it.
+
+    The links are those that ``changes`` reports, followed over any number of files and back to an earlier name. Names that stand side
+    by side in a file are different items and stay apart. Of each aggregation this is the ``renamed`` of ``read_union``.
+    """
+    shared_checkpoints(files.sparkSession)
+    moves = _moves(successive_files(files), items).where("change = 'renamed' and cur.item_name != prev.item_name")
+    links = moves.groupBy("agg_id", "kind", F.col("prev.item_name").alias("old"), F.col("cur.item_name").alias("new")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    groups = links.groupBy("agg_id", "kind").agg(F.collect_list(F.struct("n", "old", "new")).alias("links"))
+    named = groups.select("agg_id", "kind", F.explode(F.array_distinct(F.concat("links.old", "links.new"))).alias("item_name"))
+    placed = _indexed(files, items).join(named, ["agg_id", "kind", "item_name"])
+    together = placed.groupBy("agg_id", "kind", "file_id").agg(F.sort_array(F.collect_set("item_name")).alias("names")).where(F.size("names") > 1)
+    together = together.groupBy("agg_id", "kind").agg(F.collect_set("names").alias("together"))
+    families = F.udf(lambda links, together: _families(links, together), "array<struct<item_name: string, root: string>>")
+    roots = groups.join(together, ["agg_id", "kind"], "left").select("agg_id", "kind", F.inline(families("links", "together")))
+    order = F.struct("file_index", "file_id", "item_name")
+    latest = placed.join(roots, ["agg_id", "kind", "item_name"]).groupBy("agg_id", "kind", "root").agg(F.max_by("item_name", order).alias("name"))
+    return roots.join(latest, ["agg_id", "kind", "root"]).select("agg_id", "kind", "item_name", "name")
+
+
 def union_schema(files: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per aggregation and item: the consistent table ``(agg_id, kind, item_name, dtype, dims, shape, n_files, first_index, last_index)`` with the joined type and the dims and shape last known."""
-    placed = items.join(files.where("agg_id is not null").groupBy("agg_id", "file_id").agg(F.min("file_index").alias("file_index")), "file_id")
+    """One row per aggregation and item: the consistent table ``(agg_id, kind, item_name, dtype, dims, shape, n_files, first_index, last_index, old_names)`` with the joined type and the dims and shape last known.
+
+    A renamed item is one row over all its files, under its latest name, and ``old_names`` lists the others.
+    """
+    placed = _indexed(files, items).join(canonical_names(files, items), ["agg_id", "kind", "item_name"], "left")
+    placed = placed.withColumnRenamed("item_name", "_own").withColumn("item_name", F.coalesce("name", "_own"))
     order = F.struct("file_index", "file_id")
     return (
         placed.groupBy("agg_id", "kind", "item_name")
@@ -159,8 +199,9 @@ def union_schema(files: DataFrame, items: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_files"),
             F.min("file_index").alias("first_index"),
             F.max("file_index").alias("last_index"),
+            F.sort_array(F.collect_set(F.when(F.col("_own") != F.col("item_name"), F.col("_own")))).alias("old_names"),
         )
-        .select("agg_id", "kind", "item_name", promoted(F.sort_array("_types")).alias("dtype"), F.array_join("dims", " ").alias("dims"), F.array_join(F.col("shape").cast("array<string>"), " ").alias("shape"), "n_files", "first_index", "last_index")
+        .select("agg_id", "kind", "item_name", promoted(F.sort_array("_types")).alias("dtype"), F.array_join("dims", " ").alias("dims"), F.array_join(F.col("shape").cast("array<string>"), " ").alias("shape"), "n_files", "first_index", "last_index", "old_names")
     )
 
 

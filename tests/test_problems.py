@@ -65,6 +65,26 @@ def test_union_of_files(spark, tmp_path):
     assert rows(df.select("a", "b", "c")) == sorted([(1.0, "x", None), (2.0, None, None), (1.5, None, 7), (3.0, "y", None)], key=repr)
 
 
+def test_union_follows_renames(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    names = {0: "clt", 1: "cldfrac", 2: "cldfrac", 3: "clt", 4: "CLT", 6: "cldfrac"}  # there and back, on to a third, and again after a gap
+    files = [("a", i, 10 + i) for i in range(7)] + [("b", i, 30 + i) for i in range(3)]
+    v = [(10 + i, n, "Total cloud_cover", f"{i + 1},4", "time,lat", "int" if i % 2 else "float") for i, n in names.items()]
+    v += [(10 + i, "tas", "Temp", "1", "time", "float") for i in range(7)]
+    # in b, one file holds both names: they are two variables there
+    v += [(30, "x", "Wind", "1", "time", "short"), (31, "y", "wind", "2", "time", "int"), (32, "x", "wind", "3", "time", "short"), (32, "y", "wind", "3", "time", "int")]
+    fdf = spark.createDataFrame(files, "agg_id string, file_index int, file_id bigint")
+    items = drift.header_items(spark.createDataFrame(v, "file_id bigint, var_name string, full_name string, shape string, dims string, dtype string"), "V", "var_name", "full_name", "dtype")
+    got = {(r.agg_id, r.item_name): (r.dtype, r.shape, r.n_files, r.first_index, r.last_index, r.old_names) for r in drift.union_schema(fdf, items).collect()}
+    assert got == {("a", "cldfrac"): ("double", "7 4", 6, 0, 6, ["CLT", "clt"]), ("a", "tas"): ("float", "1", 7, 0, 6, []), ("b", "x"): ("short", "3", 2, 0, 2, []), ("b", "y"): ("int", "3", 2, 1, 2, [])}
+    renamed = {r.item_name: r.name for r in drift.canonical_names(fdf, items).where("agg_id = 'a'").collect()}
+    for i, n in names.items():
+        pq.write_table(pa.table({n: pa.array([i], pa.int32() if i % 2 else pa.float32())}), tmp_path / f"{i}.parquet")
+    whole = drift.read_union(spark, [str(tmp_path / f"{i}.parquet") for i in names], renamed)
+    assert dict(whole.dtypes) == {"cldfrac": "double"} and rows(whole) == [(float(i),) for i in names]
+
+
 # 2 times
 STAMPS = [
     ("2018-03-25 02:30", None), ("2018-10-28 02:30", None), ("2018-10-28T02:30:00Z", None), ("2018-07-01", None), ("03/04/2018 05:06", None), ("11/03/2018 12:00 AM", None), ("11/03/2018 12:05 PM", None),
