@@ -116,16 +116,16 @@ def _stamps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The UTC instant of each text that determines one. A text without zone is read in the zone estimated for its collection; the home zone that archive_sites states checks the estimate and wins where it differs."""
+    """The UTC instant of each text that determines one. A text without zone is read in the home zone that archive_sites states for its collection; the estimated zone serves only collections without a stated one."""
     stamps, zones = _stamps(spark, d)
     joined = stamps.join(zones.select("collection_id", "estimated_zone"), "collection_id", "left").withColumn("_home", F.coalesce("site_zone", "estimated_zone"))
     return resolved(joined, "_home", "utc_ms").where("utc_ms is not null").select("src_table", "rec_id", "utc_ms").distinct()
 
 
 def p2_zones(spark: SparkSession, d: str) -> DataFrame:
-    """The zone estimated for each collection from its files' order and arrival, beside the one stated."""
+    """The zone estimated for each collection from its files' order and arrival, beside the one stated, and whether they differ; null where there is no estimate."""
     _, zones = _stamps(spark, d)
-    return table(spark, d, "archive_sites").select("collection_id", "time_zone").join(zones, "collection_id", "left")
+    return table(spark, d, "archive_sites").select("collection_id", "time_zone").join(zones, "collection_id", "left").withColumn("differs", F.col("estimated_zone") != F.col("time_zone"))
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from oracles import header_changes, utc_ms
 from pyspark.sql import functions as F
 
+from gridloom import problems
 from gridloom.functions.units import parse_unit, resolve_unit
 from gridloom.operators import drift, harmonise, intervals, percentiles, spikes, times
 
@@ -116,6 +117,11 @@ def test_zone_is_found_from_order_and_arrival(spark):
     assert times.estimated_zones(times.parsed(df.limit(0), "s", "c", "f"), "g", ["UTC"], "expected", "received").count() == 0
 
 
+def test_zones_flag_where_the_estimate_differs(spark):
+    out = problems.p2_zones(spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == 24 and all(r.differs == (None if r.estimated_zone is None else r.estimated_zone != r.time_zone) for r in out)
+
+
 # 3 spikes
 def frame(spark, series, missing=-999.0, source="s", element="tas-v0", unit="K"):
     data = [(k, source, k * 3600_000, element, (missing, [float(x) for x in row] if row is not None else None), unit) for k, row in enumerate(series)]
