@@ -195,7 +195,11 @@ class Judge:
 
 
 def segments_of(texts: list[str], judge: Judge) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
-    """For each text ``(language, confidence, segments)``; language None if no line has one; segments (first line, language, confidence) cover the text from line 1."""
+    """For each text ``(language, confidence, segments)``; language None if no line has words; segments (first line, language, confidence) cover the text from line 1.
+
+    Clear lines alone set the borders of segments; the words of weak lines count for the segment that they are in. Where no line is
+    clear, the language with the highest score over all words is taken.
+    """
     owner, number, lines = [], [], []
     for d, text in enumerate(texts):
         for k, line in enumerate(text.split("\n")):
@@ -211,8 +215,22 @@ def segments_of(texts: list[str], judge: Judge) -> list[tuple[str | None, float,
     sure_line = margin >= np.where(words <= FEW, SURE, MARGIN) if len(lines) else margin
     waiting: list[tuple[int, int]] = []  # weak lines since the last clear one: number, row of scores
     last = -1
+
+    def settle(d: int, rest: list[tuple[int, int]]) -> None:
+        """The words of weak lines go to the last segment of text d, or all to one language if it has none."""
+        if not rest:
+            return
+        at = [rr for _, rr in rest]
+        n = float(words[at].sum())
+        if not out[d][1]:
+            mean = (scores[at] * words[at][:, None]).sum(0) / n
+            b = int(mean.argmax())
+            out[d][1].append([rest[0][0], b, float(np.ptp(np.sort(mean)[-2:])) * n, n])
+        out[d][0][out[d][1][-1][1]] += n
+
     for row, (d, k, b, m, w, clear) in enumerate(zip(owner, number, best.tolist(), margin.tolist(), words.tolist(), sure_line.tolist())):
         if d != last:
+            settle(last, waiting)
             waiting, last = [], d
         if not w:
             continue
@@ -221,17 +239,23 @@ def segments_of(texts: list[str], judge: Judge) -> list[tuple[str | None, float,
             continue
         out[d][0][b] += w
         runs = out[d][1]
-        if not runs or runs[-1][1] != b:
+        if runs and runs[-1][1] == b:
+            settle(d, waiting)
+        else:
             # weak lines right before a change, such as misread headings, go to the side that they resemble more
             start = k
             for kk, rr in reversed(waiting if runs else []):
                 if scores[rr, b] <= scores[rr, runs[-1][1]]:
                     break
                 start = kk
+            if runs:
+                settle(d, [x for x in waiting if x[0] < start])
             runs.append([start, b, 0.0, 0.0])
+            settle(d, [x for x in waiting if x[0] >= start or len(runs) == 1])
         runs[-1][2] += m * w
         runs[-1][3] += w
         waiting = []
+    settle(last, waiting)
     result = []
     for count, runs in out:
         if not count:

@@ -141,6 +141,25 @@ def test_held_out_lines():
     assert all(len(f[2]) == 1 for f in found)
 
 
+class Scored:
+    """A judge whose lines give their scores and words themselves: language, margin, words."""
+
+    def lines(self, texts):
+        parts = [t.split() for t in texts]
+        scores = np.zeros((len(parts), len(langid.LANGUAGES)), np.float32)
+        for k, (_, lang, margin, _) in enumerate(parts):
+            scores[k, langid.LANGUAGES.index(lang)] = float(margin)
+        return scores, np.array([float(p[3]) for p in parts], np.float32)
+
+
+def test_weak_lines_count_for_the_language():
+    head = "a\nb\nc\n"
+    texts = ["line nl 0.3 1", "line de 0.05 9\nline fr 0.06 2", "line fr 0.9 20\nline de 0.9 15\nline de 0.05 9\nline de 0.9 1", "line de 0.05 4\nline de 0.9 8\nline fr 0.9 10\nline en 0.01 1", "", "line nl 0.3 0"]
+    found = langid.segments_of([head + t for t in texts], Scored())
+    assert [f[0] for f in found] == ["nl", "de", "de", "de", None, None]
+    assert [[s[:2] for s in f[2]] for f in found] == [[(1, "nl")], [(1, "de")], [(1, "fr"), (5, "de")], [(1, "de"), (6, "fr")], [], []]
+
+
 @pytest.mark.parametrize("line,out", [("", False), ("RHC 21 C 255/05 · 2/3", False), ("— 9 —", False), ("[…] ████████ [***]", False), ("([2009] QHC 185)", False), ("Elcor / Quinkel / Ostmar-Holis", False), ("* * *", False), ("JUDGMENT", True), ("1. The court finds so.", True), ("En droit", True)])
 def test_lines_without_language(line, out):
     assert langid.speaks(line) is out
