@@ -317,9 +317,17 @@ def _rescale(s, d):
 
 
 def _zonal_eof(s: SparkSession, d: str, scale: bool = False) -> Eof:
+    """The EOFs of the nations' monthly means, over the months in which every nation of the data has a value; incomplete months are left out."""
     means = C.reduced(cells(s, d), "ave", "x").df.groupBy("t", "y").agg(F.avg("value").alias("value"))
-    whole = means.where("value is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n = 25").select("t")
-    return Eof.fit(means.join(whole, "t", "left_semi"), "t", ["y"], "value", modes=5, scale=scale)
+    return Eof.fit(_complete(means), "t", ["y"], "value", modes=5, scale=scale)
+
+
+def _complete(means: DataFrame) -> DataFrame:
+    """The steps ``t`` of ``means`` in which each ``y`` that has a value anywhere has one."""
+    known = means.where("value is not null")
+    all_ = known.agg(F.count_distinct("y").alias("all"))
+    whole = known.groupBy("t").agg(F.count_distinct("y").alias("n")).crossJoin(F.broadcast(all_)).where(F.col("n") == F.col("all")).select("t")
+    return means.join(whole, "t", "left_semi")
 
 
 @query("svd_cells")

@@ -11,6 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridloom import queries as Q
 from gridloom.functions.calendar import calendar_bin, season_months
 from gridloom.operators import cube as C
 from gridloom.operators import regrid
@@ -175,6 +176,11 @@ def test_eof_against_numpy(spark):
     assert related[0, 0] == pytest.approx(np.corrcoef(x[:, 0], [pcs[t, 0] for t in range(20)])[0, 1])
 
 
+def test_complete_months_by_the_nations_of_the_data(spark):
+    df = spark.createDataFrame([(0, 1, 1.0), (0, 4, 2.0), (1, 1, 3.0), (2, 1, 1.0), (2, 4, None), (3, 1, 1.0), (3, 4, 0.0), (3, 9, None)], "t int, y int, value double")
+    assert sorted({r.t for r in Q._complete(df).collect()}) == [0, 3]
+
+
 def test_grammar():
     out = R.parse('[domain=[{"name":"d0","lat":{"start":-1.5,"end":5,"system":"values"},tags:[1,2,true]}],variable={"uri":"collection:/g","name":"a:v1,b:v2"};operation=[]]')
     assert out["domain"][0] == {"name": "d0", "lat": {"start": -1.5, "end": 5, "system": "values"}, "tags": [1, 2, True]}
