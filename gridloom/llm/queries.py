@@ -1,4 +1,4 @@
-"""The queries of the training-data problems 7 to 9 over the documents of a folder."""
+"""The queries of the training-data problems 6 to 9; 7 to 9 run over the documents of a folder."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.bpe import token_counts, token_ids
 from gridloom.llm.langid import languages
 from gridloom.llm.packing import packed
+from gridloom.llm.percentile_queries import P6_SQL, p6_bounds, p6_percentiles
 
 #: Capacity of a container in tokens.
 CAPACITY = 4096
@@ -42,8 +43,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {"p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_languages": p9_languages}
+    return {"p6_percentiles": p6_percentiles, "p6_bounds": p6_bounds, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 def oracle_sql():
-    return {}
+    return {"p6_percentiles": P6_SQL}
