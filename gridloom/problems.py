@@ -1,4 +1,4 @@
-"""The queries of the training-data problems 1 to 6 over the tables of a folder, and their SQL where SQL can say the same."""
+"""The queries of the training-data problems 1 to 5 over the tables of a folder, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gridloom.operators.drift import changes, header_items, union_schema
 from gridloom.operators.harmonise import harmonised
 from gridloom.operators.intervals import periods_and_gaps
-from gridloom.operators.percentiles import located, merge, percentiles, summary
 from gridloom.operators.spikes import bad_readings
 from gridloom.operators.times import estimated_zones, parsed, resolved
 from gridloom.sources.tables import epoch_millis, table
@@ -21,56 +20,6 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return periods_and_gaps(slices.unionByName(covers), ["src_table", "entity_id"], "s", "e").select("src_table", "entity_id", "kind", "start_ms", "end_ms")
 
 
-#: Percentiles that the p6 queries give.
-PERCENTS = [5, 25, 50, 75, 95]
-_FINE = ["collection_id", "source_id", "element_key", "unit"]
-
-
-def _readings(spark: SparkSession, d: str) -> DataFrame:
-    """Every valid reading of ``cdrecords``: not null, NaN, infinite or the declared missing value."""
-    records = table(spark, d, "cdrecords").select("collection_id", "source_id", F.explode("elements").alias("element_key", "spec"), "metadata", "received_at")
-    unit = F.try_element_at("metadata", F.concat(F.lit("units."), F.col("element_key")))
-    cells = records.select("collection_id", "source_id", "element_key", unit.alias("unit"), F.to_date(F.date_trunc("month", "received_at")).alias("batch"), F.col("spec.missing").alias("missing"), F.explode("spec.data").alias("value"))
-    return cells.where("value is not null and not isnan(value) and (missing is null or value != missing)").drop("missing")
-
-
-def _grouped(fine: DataFrame) -> DataFrame:
-    """Rows with the fine keys, once for their collection and variable and once for their source and element."""
-    variable = F.element_at(F.split("element_key", "-"), 1)
-    both = F.array(F.struct(F.lit("collection").alias("group_kind"), F.col("collection_id").alias("group_id"), variable.alias("item")), F.struct(F.lit("source").alias("group_kind"), F.col("source_id").alias("group_id"), F.col("element_key").alias("item")))
-    return fine.select("*", F.inline(both)).drop("collection_id", "source_id", "element_key")
-
-
-_GROUP = ["group_kind", "group_id", "item", "unit"]
-
-
-def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact percentiles of the valid readings per collection, variable and unit, and per source and element."""
-    return percentiles(_readings(spark, d), _GROUP, "value", PERCENTS, _FINE, _grouped)
-
-
-def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """Bounds of the same percentiles out of summaries made for each month of arrival and merged afterwards."""
-    months = summary(_readings(spark, d), [*_FINE, "batch"], "value")
-    return located(merge([_grouped(months)], _GROUP), _GROUP, PERCENTS).select(*_GROUP, "pct", "n", "lo", "hi")
-
-
-P6_SQL = """
-with r as (select collection_id, source_id, metadata, unnest(map_entries(elements)) as en from cdrecords),
-c as (select collection_id, source_id, en.key as element_key, metadata['units.' || en.key] as unit, en.value.missing as missing, unnest(en.value.data) as v from r),
-g as (
-  select 'collection' as group_kind, collection_id as group_id, split_part(element_key, '-', 1) as item, unit, v from c
-  where v is not null and not isnan(v) and not isinf(v) and (missing is null or isnan(missing) or v <> missing)
-  union all
-  select 'source', source_id, element_key, unit, v from c
-  where v is not null and not isnan(v) and not isinf(v) and (missing is null or isnan(missing) or v <> missing)),
-k as (select *, row_number() over (partition by group_kind, group_id, item, unit order by v) as rn, count(*) over (partition by group_kind, group_id, item, unit) as n from g)
-select group_kind, group_id, item, unit, cast(pct as integer) as pct, n, cast(v as double) as value
-from k, (values (5), (25), (50), (75), (95)) as p(pct)
-where rn = greatest(1, (n * pct + 99) // 100)
-"""
-
-
 P5_SQL = """
 with iv as (
   select distinct src_table, entity_id, s, e from (
@@ -164,8 +113,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_union": p1_union, "p2_found": p2_found, "p2_zones": p2_zones, "p3_found": p3_found, "p4_found": p4_found, "p4_units": p4_units, "p5_found": p5_found, "p6_percentiles": p6_percentiles, "p6_bounds": p6_bounds}
+    return {"p1_found": p1_found, "p1_union": p1_union, "p2_found": p2_found, "p2_zones": p2_zones, "p3_found": p3_found, "p4_found": p4_found, "p4_units": p4_units, "p5_found": p5_found}
 
 
 def oracle_sql():
-    return {"p5_found": P5_SQL, "p6_percentiles": P6_SQL}
+    return {"p5_found": P5_SQL}
