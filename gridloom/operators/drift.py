@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
+from itertools import zip_longest
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.blocks import neighbour
-from gridloom.sources.tables import shared_checkpoints
+from gridloom.operators.blocks import ranked
+from gridloom.sources.tables import shared_checkpoints, written
 
-#: Files per block when each file of an aggregation is given its predecessor.
+#: Files per block when the headers of an aggregation are folded.
 FILES = 4096
 
 #: Numeric types from narrow to wide; the join of two is the wider one, but an int or long with a float needs a double.
@@ -40,17 +43,21 @@ def promoted(types: Column) -> Column:
 
 
 def extents(text: Column) -> Column:
-    """The numbers of a written list, as whole numbers; null for null, an empty list for a scalar."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)")), lambda x: x.cast("double").cast("long"))
+    """The numbers of a written list, as whole numbers with one space between; null for null, an empty text for a scalar."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)")), lambda x: x.cast("double").cast("long").cast("string")), " ")
 
 
 def dimension_names(text: Column) -> Column:
-    """The names of a written list in lower case; null for null, an empty list for a scalar."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([^\s,;()\[\]]+)"))
+    """The names of a written list in lower case with one space between; null for null, an empty text for a scalar."""
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"([^\s,;()\[\]]+)")), " ")
 
 
 def header_items(df: DataFrame, kind: str, name: str, full_name: str | None = None, dtype: str | None = None) -> DataFrame:
-    """One row per file and item: ``(kind, file_id, item_name, full_norm, dims, shape, dtype)``. Repeated rows merge; a null gives way to a known value. Rows without a file or a name are no items."""
+    """One row per distinct header entry: ``(kind, file_id, item_name, full_norm, dims, shape, dtype)``. Rows without a file or a name are no items.
+
+    Entries of one file and item that still differ are merged where they are used: a null gives way to a known value, and of two
+    known ones the greater text counts. Copies are dropped before the shuffle.
+    """
     text = F.lit(None).cast("string")
     return (
         df.where(F.col("file_id").isNotNull() & F.col(name).isNotNull())
@@ -63,87 +70,260 @@ def header_items(df: DataFrame, kind: str, name: str, full_name: str | None = No
             extents(F.col("shape")).alias("shape"),
             F.lower(F.trim(dtype)).alias("dtype") if dtype else text.alias("dtype"),
         )
-        .groupBy("kind", "file_id", "item_name")
-        .agg(*[F.max(c).alias(c) for c in ("full_norm", "dims", "shape", "dtype")])
+        .distinct()
     )
 
 
-def successive_files(files: DataFrame) -> DataFrame:
-    """``(agg_id, file_id, prev_id, next_id)`` of the distinct files of each aggregation in order of ``file_index``; a null aggregation or file has no order and is left out."""
-    once = files.where("agg_id is not null and file_id is not null").groupBy("agg_id", "file_id").agg(F.min("file_index").alias("file_index"))
-    block = F.floor(F.coalesce(F.col("file_index"), F.lit(-1)) / F.lit(FILES))
-    both = neighbour(once, ["agg_id"], ["file_index", "file_id"], block, ["file_id"], "_p")
-    both = neighbour(both, ["agg_id"], ["file_index", "file_id"], block, ["file_id"], "_n", following=True)
-    return both.select("agg_id", "file_index", "file_id", F.col("_p.file_id").alias("prev_id"), F.col("_n.file_id").alias("next_id"))
-
-
-def _moves(files: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per (aggregation, file, item) that is in the file or in the one before it, with ``cur`` and ``prev`` structs, and its ``change``: kept, added, removed or renamed (then under the new name, with ``old_name``)."""
-    placed = items.join(files, "file_id")
-    body = F.struct("item_name", "full_norm", "dims", "shape", "dtype")
-    here = placed.select("agg_id", F.col("file_id").alias("at"), "prev_id", "kind", "item_name", body.alias("cur"), F.lit(None).cast(placed.select(body.alias("b")).schema["b"].dataType).alias("prev"))
-    there = placed.where("next_id is not null").select("agg_id", F.col("next_id").alias("at"), F.col("file_id").alias("prev_id"), "kind", "item_name", F.lit(None).cast(here.schema["cur"].dataType).alias("cur"), body.alias("prev"))
-    pairs = here.unionByName(there).groupBy("agg_id", "at", "kind", "item_name").agg(F.max("prev_id").alias("prev_id"), F.max("cur").alias("cur"), F.max("prev").alias("prev"))
-    kept = pairs.where("cur is not null and prev is not null").select("agg_id", "at", "prev_id", "kind", F.lit("kept").alias("change"), "cur", "prev")
-    loose = pairs.where("(cur is null or prev is null) and prev_id is not null")
-    # one file's items of one full name: names that leave and names that come are paired in order
-    token = F.when((F.col("kind") == "V") & F.coalesce("cur.full_norm", "prev.full_norm").isNotNull(), F.concat(F.lit("f"), F.coalesce("cur.full_norm", "prev.full_norm"))).otherwise(F.concat(F.lit("n"), F.col("item_name")))
-    matched = (
-        loose.withColumn("token", token)
-        .groupBy("agg_id", "at", "prev_id", "kind", "token")
-        .agg(F.sort_array(F.collect_list("cur")).alias("came"), F.sort_array(F.collect_list("prev")).alias("left"))
-        .select("agg_id", "at", "prev_id", "kind", F.explode(F.arrays_zip("came", "left")).alias("z"))
-        .select("agg_id", "at", "prev_id", "kind", F.when(F.col("z.left").isNull(), "added").when(F.col("z.came").isNull(), "removed").otherwise("renamed").alias("change"), F.col("z.came").alias("cur"), F.col("z.left").alias("prev"))
-    )
-    first = pairs.where("cur is not null and prev is null and prev_id is null").select("agg_id", "at", "prev_id", "kind", F.lit("first").alias("change"), "cur", "prev")
-    return kept.unionByName(matched).unionByName(first)
+#: Columns of the rows that folding a block of files gives: ``tag`` is log, open, head or tail. A value that a block inherits is
+#: named by the item of its first file that inherits it (``*_of``).
+_ROW = ["tag", "agg_id", "block", "file_index", "file_id", "kind", "item_name", "change_type", "before", "after", "full_norm", "dims", "dims_of", "shape", "shape_of", "old_dims", "old_dims_of", "old_shape", "old_shape_of", "dtype", "union_dtype", "root"]
+_ROW_TYPE = "tag string, agg_id string, block bigint, file_index int, file_id bigint, " + ", ".join(f"{c} string" for c in _ROW[5:])
+_LOG = ["agg_id", "block", "file_index", "file_id", "kind", "item_name", "change_type", "before", "after", "union_dtype", "root"]
+_LOG_TYPE = "agg_id string, block bigint, file_index int, file_id bigint, " + ", ".join(f"{c} string" for c in _LOG[4:])
 
 
-def _last_known(moves: DataFrame) -> DataFrame:
-    """``moves`` of items in a file, with the effective ``dims`` and ``shape`` of each: its own, else the last known of the same item, followed back through renames.
+class _Inherited(str):
+    """The value that an item of a block's first file inherits from the block before; the text is the item's name."""
 
-    A row with a null points to the same item one file earlier. Each pass takes over what is known there or doubles the distance,
-    so a run of n nulls takes log2(n) passes; only rows with a null take part.
-    """
-    items = moves.where("cur is not null").select("agg_id", "at", "kind", F.col("cur.item_name").alias("item_name"), F.col("cur.dims").alias("dims"), F.col("cur.shape").alias("shape"), F.when(F.col("prev").isNotNull(), F.struct(F.col("prev_id").alias("at"), F.col("prev.item_name").alias("item_name"))).alias("link")).checkpoint()
-    key = ["agg_id", "kind", "at", "item_name"]
-    holes = items.where("dims is null or shape is null")
-    filled = holes
-    for _ in range(60):
-        if not filled.where("link is not null").limit(1).count():
-            break
-        # what a link leads to: a row with both known, or another hole with its present state
-        known = items.where("dims is not null and shape is not null").select(*key, "dims", "shape", "link").unionByName(filled.select(*key, "dims", "shape", "link"))
-        target = known.select(F.col("agg_id").alias("t_agg"), F.col("kind").alias("t_kind"), F.col("at").alias("t_at"), F.col("item_name").alias("t_name"), F.col("dims").alias("t_dims"), F.col("shape").alias("t_shape"), F.col("link").alias("t_link"))
-        on = (F.col("agg_id") == F.col("t_agg")) & (F.col("kind") == F.col("t_kind")) & (F.col("link.at") == F.col("t_at")) & (F.col("link.item_name") == F.col("t_name"))
-        dims, shape = F.coalesce("dims", "t_dims"), F.coalesce("shape", "t_shape")
-        filled = filled.join(target, on, "left").select(*key, dims.alias("dims"), shape.alias("shape"), F.when(dims.isNull() | shape.isNull(), F.col("t_link")).alias("link")).checkpoint()
-    return items.where("dims is not null and shape is not null").select(*key, "dims", "shape").unionByName(filled.select(*key, "dims", "shape"))
 
+@dataclass
+class _Item:
+    """A header entry as a file shows it, and what is known of the item by then: dims and shape, the join of its types, and the item of the block's first file that it goes back to."""
 
-def changes(files: DataFrame, items: DataFrame) -> DataFrame:
-    """``(file_id, kind, item_name, change_type)``: every change between a file and the file before it in its aggregation.
+    kind: str
+    name: str
+    full: str | None
+    dims: str | None
+    shape: str | None
+    dtype: str | None
+    union: str | None = None
+    root: str | None = None
+
+    def follow(self, before: _Item | None) -> None:
+        """Take over what the item before knows."""
+        self.union = self.dtype
+        if before is not None:
+            self.dims = before.dims if self.dims is None else self.dims
+            self.shape = before.shape if self.shape is None else self.shape
+            self.union, self.root = promote(before.union, self.dtype), before.root
+
+
+Header = dict[tuple[str, str], _Item]
+
+
+def _matched(now: Header, before: Header) -> list[tuple[_Item | None, _Item | None, str]]:
+    """The entries of two successive headers in pairs, each with kept, renamed, added or removed; of one full name, names that leave and names that come are paired in order."""
+    out, came, left = [], {}, {}
+    for k, x in now.items():
+        if k in before:
+            out.append((x, before[k], "kept"))
+        else:
+            came.setdefault((x.kind, x.full) if x.kind == "V" and x.full is not None else k + ("",), []).append(x)
+    for k, x in before.items():
+        if k not in now:
+            left.setdefault((x.kind, x.full) if x.kind == "V" and x.full is not None else k + ("",), []).append(x)
+    for token in came.keys() | left.keys():
+        for x, y in zip_longest(sorted(came.get(token, []), key=lambda i: i.name), sorted(left.get(token, []), key=lambda i: i.name)):
+            out.append((x, y, "added" if y is None else "removed" if x is None else "renamed"))
+    return out
+
+
+def _still(shape: str, dims: str) -> list[str]:
+    """The extents other than that of time."""
+    extent, names = shape.split(), dims.split()
+    return [e for e, n in zip(extent, names) if n != "time"] if len(extent) == len(names) else extent
 
-    ``files`` has agg_id, file_index and file_id; ``items`` comes from ``header_items``. A null shape or dims counts as the last one
-    known of the item; one never known is not compared. No files or no items give no rows. All work is keyed by file, never by
-    aggregation alone, so an aggregation with a third of all files is no hot key.
+
+def _altered(dims: str | None, old_dims: str | None, shape: str | None, old_shape: str | None) -> list[tuple[str, str, str]]:
+    """``(change_type, before, after)`` of dims or shape; what was never known is not compared."""
+    if dims is None or old_dims is None:
+        return []
+    if dims != old_dims:
+        return [("dims", old_dims, dims)]
+    if shape is None or old_shape is None or _still(shape, dims) == _still(old_shape, dims):
+        return []
+    return [("shape", old_shape, shape)]
+
+
+def _stepped(now: Header, before: Header) -> Iterator[tuple[_Item, str, str | None, str | None, tuple | None]]:
+    """One step of the fold: ``(item, change_type, before, after, open)`` for each difference, ordered; ``now`` takes over what was known.
+
+    ``open`` holds the values of a comparison that needs something inherited (then there is no change type yet).
+    """
+    found = []
+    for x, y, how in _matched(now, before):
+        if x is None:
+            found.append((y, "removed", y.name, None, None))
+            continue
+        x.follow(y)
+        if how == "added":
+            found.append((x, "added", None, x.name, None))
+        if how == "renamed":
+            found.append((x, "renamed", y.name, x.name, None))
+        if y is None:
+            continue
+        if x.kind == "V" and x.dtype is not None and y.dtype is not None and x.dtype != y.dtype:
+            found.append((x, "dtype", y.dtype, x.dtype, None))
+        values = (x.dims, y.dims, x.shape, y.shape)
+        if (x.dims, x.shape) != (y.dims, y.shape) or type(x.dims) is not type(y.dims) or type(x.shape) is not type(y.shape):
+            if any(isinstance(v, _Inherited) for v in values):
+                found.append((x, "", None, None, values))
+            else:
+                found += [(x, kind, old, new, None) for kind, old, new in _altered(*values)]
+    return iter(sorted(found, key=lambda f: (f[0].kind, f[0].name, f[1])))
+
+
+class _Rows:
+    """Rows that wait to be sent, as columns."""
+
+    def __init__(self, names: list[str], schema: str):
+        self.names, self.kinds = names, pa.schema([(c.split()[0], {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in schema.split(", ")])
+        self.rows: list[dict] = []
+
+    def add(self, **row) -> None:
+        self.rows.append(row)
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in self.rows], k.type) for c, k in zip(self.names, self.kinds)], schema=self.kinds)
+        self.rows = []
+        return out
+
+
+def _split(v: str | None) -> tuple[str | None, str | None]:
+    """``(value, inherited from)``."""
+    return (None, str(v)) if isinstance(v, _Inherited) else (v, None)
+
+
+def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold the headers of each block's files in order of file; what depends on the blocks before is left open."""
+    out = _Rows(_ROW, _ROW_TYPE)
+    place = file = None
+    before: Header | None = None
+    now: Header = {}
+
+    def end_file() -> None:
+        nonlocal before, now
+        if file is None:
+            return
+        where = {"agg_id": place[0], "block": place[1], "file_index": file[0], "file_id": file[1]}
+        if before is None:
+            out.add(tag="head", **where)  # a block has at least this row
+            for x in now.values():
+                out.add(tag="head", **where, kind=x.kind, item_name=x.name, full_norm=x.full, dims=x.dims, shape=x.shape, dtype=x.dtype)
+                x.dims = _Inherited(x.name) if x.dims is None else x.dims
+                x.shape = _Inherited(x.name) if x.shape is None else x.shape
+                x.union, x.root = x.dtype, x.name
+        else:
+            for x, kind, old, new, values in _stepped(now, before):
+                if values is None:
+                    out.add(tag="log", **where, kind=x.kind, item_name=x.name, change_type=kind, before=old, after=new, union_dtype=x.union, root=x.root)
+                else:
+                    named = {k: v for c, value in zip(("dims", "old_dims", "shape", "old_shape"), values) for k, v in zip((c, f"{c}_of"), _split(value))}
+                    out.add(tag="open", **where, kind=x.kind, item_name=x.name, union_dtype=x.union, root=x.root, **named)
+        before, now = now, {}
+
+    def end_block() -> None:
+        nonlocal before
+        end_file()
+        for x in (before or {}).values():
+            named = {k: v for c, value in (("dims", x.dims), ("shape", x.shape)) for k, v in zip((c, f"{c}_of"), _split(value))}
+            out.add(tag="tail", agg_id=place[0], block=place[1], kind=x.kind, item_name=x.name, full_norm=x.full, dtype=x.dtype, union_dtype=x.union, root=x.root, **named)
+        before = None
+
+    for b in batches:
+        for agg, block, index, id_, kind, name, full, dims, shape, dtype in zip(*(c.to_pylist() for c in b.columns)):
+            if (agg, block) != place:
+                if place is not None:
+                    end_block()
+                place, file = (agg, block), (index, id_)
+            elif file != (index, id_):
+                end_file()
+                file = (index, id_)
+            if kind is None:
+                continue
+            x = now.get((kind, name))
+            if x is None:
+                now[kind, name] = _Item(kind, name, full, dims, shape, dtype)
+            else:  # entries of one item that differ
+                most = lambda a, c: c if a is None else a if c is None else max(a, c)
+                x.full, x.dims, x.shape, x.dtype = most(x.full, full), most(x.dims, dims), most(x.shape, shape), most(x.dtype, dtype)
+        if len(out.rows) > 5000:
+            yield out.batch()
+    if place is not None:
+        end_block()
+    yield out.batch()
+
+
+def _fold_ends(t: pa.Table) -> pa.Table:
+    """Carry what is known along the blocks of one aggregation: the changes at the borders, the open comparisons, and (change ``start``) the joined type that each item inherits."""
+    out = _Rows(_LOG, _LOG_TYPE)
+    blocks: dict[int, dict[str, list[dict]]] = {}
+    for r in t.to_pylist():
+        blocks.setdefault(r["block"], {}).setdefault(r["tag"], []).append(r)
+    before: Header | None = None
+    for block in sorted(blocks):
+        own = blocks[block]
+        item = lambda r: _Item(r["kind"], r["item_name"], r["full_norm"], r["dims"], r["shape"], r["dtype"])
+        heads: Header = {(r["kind"], r["item_name"]): item(r) for r in own["head"] if r["kind"] is not None}
+        where = {c: own["head"][0][c] for c in ("agg_id", "block", "file_index", "file_id")}
+        starts: dict[tuple, str | None] = {}
+        if before is None:
+            for x in heads.values():
+                x.follow(None)
+        else:
+            for x, kind, old, new, _ in _stepped(heads, before):
+                out.add(**where, kind=x.kind, item_name=x.name, change_type=kind, before=old, after=new, union_dtype=x.union)
+            # the joined type at the block's first file; the block's own types are joined to it
+            starts = {k: x.union for k, x in heads.items()}
+        value = lambda r, c, kind: r[c] if r[f"{c}_of"] is None else getattr(heads[kind, r[f"{c}_of"]], c.removeprefix("old_"))
+        for r in own.get("open", []):
+            for kind, old, new in _altered(*(value(r, c, r["kind"]) for c in ("dims", "old_dims", "shape", "old_shape"))):
+                out.add(**{c: r[c] for c in ("agg_id", "block", "file_index", "file_id", "kind", "item_name", "union_dtype", "root")}, change_type=kind, before=old, after=new)
+        for (kind, name), union in starts.items():
+            out.add(agg_id=where["agg_id"], block=block, kind=kind, change_type="start", union_dtype=union, root=name)
+        before = {}
+        for r in own.get("tail", []):
+            x = item({**r, "dims": value(r, "dims", r["kind"]), "shape": value(r, "shape", r["kind"])})
+            x.union = promote(starts.get((r["kind"], r["root"])), r["union_dtype"])
+            before[x.kind, x.name] = x
+    return pa.Table.from_batches([out.batch()])
+
+
+def change_log(files: DataFrame, items: DataFrame) -> DataFrame:
+    """``(agg_id, block, file_index, file_id, kind, item_name, change_type, before, after, union_dtype)``: every difference between a file's header and that of the file before it in its aggregation, in the order (agg_id, file_index, file_id, kind, item_name, change_type).
+
+    ``files`` has agg_id, file_index and file_id; ``items`` comes from ``header_items``. The headers of an aggregation are folded in
+    order of file: the state holds the last known dims and shape of each item, followed through renames, and the join of the types
+    it has had (``union_dtype``, by the promotion lattice). Change types are added, removed, renamed, dims, shape and dtype, with
+    what stood before and after.
+
+    A null shape or dims counts as the last one known of the item; one never known is not compared. A file that appears again in an
+    aggregation counts once, at its first place; a null aggregation or file has no order and is left out. No files or no items give
+    no rows. Aggregations are cut into blocks of files, each folded on its own with what it inherits left as a symbol; a second fold
+    over the ends of the blocks, a few rows each, resolves the symbols, so an aggregation with a third of all files is no hot key.
     """
     shared_checkpoints(files.sparkSession)
-    moves = _moves(successive_files(files), items)
-    state = _last_known(moves)
-    plain = moves.where("change in ('added', 'removed', 'renamed')").select(F.col("at").alias("file_id"), "kind", F.coalesce("cur.item_name", "prev.item_name").alias("item_name"), F.col("change").alias("change_type"))
-    both = moves.where("cur is not null and prev is not null").select("agg_id", "kind", "at", "prev_id", F.col("cur.item_name").alias("item_name"), F.col("prev.item_name").alias("old_name"), F.col("cur.dtype").alias("dtype"), F.col("prev.dtype").alias("old_dtype"))
-    now = both.join(state, ["agg_id", "kind", "at", "item_name"])
-    old = state.select("agg_id", "kind", F.col("at").alias("prev_id"), F.col("item_name").alias("old_name"), F.col("dims").alias("old_dims"), F.col("shape").alias("old_shape"))
-    pair = now.join(old, ["agg_id", "kind", "prev_id", "old_name"])
-    still = lambda shape, dims: F.when(F.size(shape) == F.size(dims), F.filter(shape, lambda _, i: F.element_at(dims, (i + 1).cast("int")) != "time")).otherwise(shape)
-    kinds = F.array(
-        F.when(F.col("dims") != F.col("old_dims"), "dims"),
-        F.when((F.col("dims") == F.col("old_dims")) & (still(F.col("shape"), F.col("dims")) != still(F.col("old_shape"), F.col("old_dims"))), "shape"),
-        F.when((F.col("kind") == "V") & (F.col("dtype") != F.col("old_dtype")), "dtype"),
-    )
-    altered = pair.select(F.col("at").alias("file_id"), "kind", "item_name", F.explode(kinds).alias("change_type")).where("change_type is not null")
-    return plain.unionByName(altered).distinct()
+    once = files.where("agg_id is not null and file_id is not null").groupBy("agg_id", "file_id").agg(F.min("file_index").cast("int").alias("file_index"))
+    placed = once.join(items, "file_id", "left").withColumn("block", F.floor(F.coalesce(F.col("file_index"), F.lit(-1)) / F.lit(FILES)))
+    columns = ["agg_id", "block", "file_index", "file_id", "kind", "item_name", "full_norm", "dims", "shape", "dtype"]
+    ordered = placed.select(*columns).repartition("agg_id", "block").sortWithinPartitions(*columns[:6])
+    folded = written(ordered.mapInArrow(_fold_blocks, _ROW_TYPE))
+    ends = folded.where("tag != 'log'").groupBy("agg_id").applyInArrow(_fold_ends, _LOG_TYPE).checkpoint()
+    log = folded.where("tag = 'log'").select(*_LOG).unionByName(ends.where("change_type != 'start'"))
+    starts = ends.where("change_type = 'start'").select("agg_id", "block", "kind", "root", F.col("union_dtype").alias("_inherited"))
+    log = log.join(starts, ["agg_id", "block", "kind", "root"], "left")
+    return log.withColumn("union_dtype", promoted(F.array("_inherited", "union_dtype"))).select(*[c for c in _LOG if c != "root"])
+
+
+def changes(files: DataFrame, items: DataFrame) -> DataFrame:
+    """``(file_id, kind, item_name, change_type)``: the distinct changes of ``change_log``."""
+    return change_log(files, items).select("file_id", "kind", "item_name", "change_type").distinct()
+
+
+def numbered(log: DataFrame) -> DataFrame:
+    """``log`` (of ``change_log``) with ``log_no``, the place of each change in its aggregation's log, from 1."""
+    order = F.struct("file_index", "file_id", "kind", "item_name", "change_type")
+    return ranked(log.withColumn("_order", order), ["agg_id"], "_order", F.col("block"), "log_no").drop("_order", "block")
 
 
 def _families(links: list, together: list | None) -> list[tuple[str, str]]:
@@ -158,7 +338,9 @@ def _families(links: list, together: list | None) -> list[tuple[str, str]]:
 
 
 def _indexed(files: DataFrame, items: DataFrame) -> DataFrame:
-    return items.join(files.where("agg_id is not null").groupBy("agg_id", "file_id").agg(F.min("file_index").alias("file_index")), "file_id")
+    """One row per file and item, entries that differ merged."""
+    merged = items.groupBy("kind", "file_id", "item_name").agg(*[F.max(c).alias(c) for c in ("full_norm", "dims", "shape", "dtype")])
+    return merged.join(files.where("agg_id is not null").groupBy("agg_id", "file_id").agg(F.min("file_index").alias("file_index")), "file_id")
 
 
 def canonical_names(files: DataFrame, items: DataFrame) -> DataFrame:
@@ -167,9 +349,8 @@ def canonical_names(files: DataFrame, items: DataFrame) -> DataFrame:
     The links are those that ``changes`` reports, followed over any number of files and back to an earlier name. Names that stand side
     by side in a file are different items and stay apart. Of each aggregation this is the ``renamed`` of ``read_union``.
     """
-    shared_checkpoints(files.sparkSession)
-    moves = _moves(successive_files(files), items).where("change = 'renamed' and cur.item_name != prev.item_name")
-    links = moves.groupBy("agg_id", "kind", F.col("prev.item_name").alias("old"), F.col("cur.item_name").alias("new")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    moves = change_log(files, items).where("change_type = 'renamed'")
+    links = moves.groupBy("agg_id", "kind", F.col("before").alias("old"), F.col("item_name").alias("new")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
     groups = links.groupBy("agg_id", "kind").agg(F.collect_list(F.struct("n", "old", "new")).alias("links"))
     named = groups.select("agg_id", "kind", F.explode(F.array_distinct(F.concat("links.old", "links.new"))).alias("item_name"))
     placed = _indexed(files, items).join(named, ["agg_id", "kind", "item_name"])
@@ -201,7 +382,7 @@ def union_schema(files: DataFrame, items: DataFrame) -> DataFrame:
             F.max("file_index").alias("last_index"),
             F.sort_array(F.collect_set(F.when(F.col("_own") != F.col("item_name"), F.col("_own")))).alias("old_names"),
         )
-        .select("agg_id", "kind", "item_name", promoted(F.sort_array("_types")).alias("dtype"), F.array_join("dims", " ").alias("dims"), F.array_join(F.col("shape").cast("array<string>"), " ").alias("shape"), "n_files", "first_index", "last_index", "old_names")
+        .select("agg_id", "kind", "item_name", promoted(F.sort_array("_types")).alias("dtype"), "dims", "shape", "n_files", "first_index", "last_index", "old_names")
     )
 
 

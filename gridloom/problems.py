@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.drift import changes, header_items, union_schema
+from gridloom.operators.drift import change_log, changes, header_items, numbered, union_schema
 from gridloom.operators.harmonise import harmonised
 from gridloom.operators.intervals import periods_and_gaps
 from gridloom.operators.spikes import bad_readings
@@ -45,11 +45,64 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return changes(table(spark, d, "file_inputs").select("agg_id", "file_index", "file_id"), _headers(spark, d))
 
 
+def p1_log(spark: SparkSession, d: str) -> DataFrame:
+    """The same changes as an ordered log of each aggregation, with what stood before and after and the joined type so far."""
+    log = numbered(change_log(table(spark, d, "file_inputs").select("agg_id", "file_index", "file_id"), _headers(spark, d)))
+    return log.select("agg_id", F.col("log_no").cast("bigint").alias("log_no"), "file_index", "file_id", "kind", "item_name", "change_type", "before", "after", "union_dtype")
+
+
 def p1_union(spark: SparkSession, d: str) -> DataFrame:
     """The consistent table of variables and coordinates of each aggregation."""
     return union_schema(table(spark, d, "file_inputs").select("agg_id", "file_index", "file_id"), _headers(spark, d))
 
 
+#: The step by step fold of headers as a recursive query.
+_P1_STEPS = r"""
+with recursive f as (select agg_id, file_id, min(file_index) as file_index from file_inputs where agg_id is not null and file_id is not null group by 1, 2),
+o as (select *, row_number() over (partition by agg_id order by file_index nulls first, file_id) as k from f),
+raw as (
+  select 'V' as kind, file_id, var_name as item, regexp_replace(lower(trim(full_name)), '[\s_]+', ' ', 'g') as full_norm, dims, shape, lower(trim(dtype)) as dtype from file_variables
+  union all select 'C', file_id, coord_name, null, dims, shape, null from file_coordinates),
+it as (
+  select kind, file_id, item, max(full_norm) as full_norm, max(array_to_string(regexp_extract_all(lower(dims), '[^\s,;()\[\]]+'), ' ')) as dims,
+    max(array_to_string([cast(trunc(cast(x as double)) as bigint) for x in regexp_extract_all(shape, '\d+(?:\.\d+)?')], ' ')) as shape, max(dtype) as dtype
+  from raw where file_id is not null and item is not null group by 1, 2, 3),
+p as (select o.agg_id, o.k, o.file_index, it.* from o join it on o.file_id = it.file_id),
+came as (select *, case when kind = 'V' and full_norm is not null then 'f' || full_norm else 'n' || item end as token from p c
+  where k > 1 and not exists (from p b where b.agg_id = c.agg_id and b.k = c.k - 1 and b.kind = c.kind and b.item = c.item)),
+gone as (select b.agg_id, b.k + 1 as k, b.kind, b.item, case when b.kind = 'V' and b.full_norm is not null then 'f' || b.full_norm else 'n' || b.item end as token from p b join o on o.agg_id = b.agg_id and o.k = b.k + 1
+  where not exists (from p c where c.agg_id = b.agg_id and c.k = b.k + 1 and c.kind = b.kind and c.item = b.item)),
+cn as (select *, row_number() over (partition by agg_id, k, kind, token order by item) as n from came),
+gn as (select *, row_number() over (partition by agg_id, k, kind, token order by item) as n from gone),
+loose as (select coalesce(cn.agg_id, gn.agg_id) as agg_id, coalesce(cn.k, gn.k) as k, coalesce(cn.kind, gn.kind) as kind, cn.item, gn.item as old
+  from cn full join gn on cn.agg_id = gn.agg_id and cn.k = gn.k and cn.kind = gn.kind and cn.token = gn.token and cn.n = gn.n),
+link as (select p.*, case when l.item is not null then l.old when p.k > 1 then p.item end as old from p left join loose l on l.agg_id = p.agg_id and l.k = p.k and l.kind = p.kind and l.item = p.item),
+eff as (
+  select agg_id, k, kind, item, dims, shape, dtype as u from link where old is null
+  union all
+  select l.agg_id, l.k, l.kind, l.item, coalesce(l.dims, e.dims), coalesce(l.shape, e.shape),
+    case when e.u is null or l.dtype is null or e.u = l.dtype then coalesce(l.dtype, e.u)
+      when list_position(['bool', 'byte', 'short', 'int', 'long', 'float', 'double'], e.u) is null or list_position(['bool', 'byte', 'short', 'int', 'long', 'float', 'double'], l.dtype) is null then 'string'
+      when 'double' in (e.u, l.dtype) or ('float' in (e.u, l.dtype) and (e.u in ('int', 'long') or l.dtype in ('int', 'long'))) then 'double'
+      when list_position(['bool', 'byte', 'short', 'int', 'long', 'float', 'double'], e.u) > list_position(['bool', 'byte', 'short', 'int', 'long', 'float', 'double'], l.dtype) then e.u else l.dtype end
+  from link l join eff e on e.agg_id = l.agg_id and e.k = l.k - 1 and e.kind = l.kind and e.item = l.old),
+both_ as (select l.agg_id, l.k, l.kind, l.item, l.dtype, b.dtype as old_dtype, e.dims, e.shape, g.dims as old_dims, g.shape as old_shape, e.u,
+    case when len(string_split(e.shape, ' ')) = len(string_split(e.dims, ' ')) then [x[1] for x in list_zip(string_split(e.shape, ' '), string_split(e.dims, ' ')) if x[2] <> 'time'] else string_split(e.shape, ' ') end as still,
+    case when len(string_split(g.shape, ' ')) = len(string_split(e.dims, ' ')) then [x[1] for x in list_zip(string_split(g.shape, ' '), string_split(e.dims, ' ')) if x[2] <> 'time'] else string_split(g.shape, ' ') end as old_still
+  from link l join p b on b.agg_id = l.agg_id and b.k = l.k - 1 and b.kind = l.kind and b.item = l.old
+  join eff e on e.agg_id = l.agg_id and e.k = l.k and e.kind = l.kind and e.item = l.item join eff g on g.agg_id = l.agg_id and g.k = l.k - 1 and g.kind = l.kind and g.item = l.old),
+log as (
+  select agg_id, k, kind, item, 'dims' as change_type, old_dims as before, dims as after, u from both_ where dims <> old_dims
+  union all select agg_id, k, kind, item, 'shape', old_shape, shape, u from both_ where dims = old_dims and still <> old_still
+  union all select agg_id, k, kind, item, 'dtype', old_dtype, dtype, u from both_ where kind = 'V' and dtype <> old_dtype
+  union all select l.agg_id, l.k, l.kind, coalesce(l.item, l.old), case when l.old is null then 'added' when l.item is null then 'removed' else 'renamed' end, l.old, l.item, e.u
+  from loose l join eff e on e.agg_id = l.agg_id and e.kind = l.kind and e.item = coalesce(l.item, l.old) and e.k = case when l.item is null then l.k - 1 else l.k end)
+"""
+P1_SQL = _P1_STEPS + "select distinct o.file_id, kind, item as item_name, change_type from log join o on o.agg_id = log.agg_id and o.k = log.k"
+P1_LOG_SQL = _P1_STEPS + """select log.agg_id, row_number() over (partition by log.agg_id order by file_index, o.file_id, kind, item, change_type) as log_no, cast(file_index as integer) as file_index, o.file_id, kind, item as item_name, change_type, before, after, u as union_dtype
+from log join o on o.agg_id = log.agg_id and o.k = log.k"""
+
+
 def _stamps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The parsed texts of both tables, with the instant that a file's place in its aggregation asks for; and the estimated zone of each collection."""
     sites = table(spark, d, "archive_sites").groupBy("collection_id").agg(F.max("time_zone").alias("site_zone"), F.max("day_first").alias("site_first"))
@@ -113,8 +166,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_union": p1_union, "p2_found": p2_found, "p2_zones": p2_zones, "p3_found": p3_found, "p4_found": p4_found, "p4_units": p4_units, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_log": p1_log, "p1_union": p1_union, "p2_found": p2_found, "p2_zones": p2_zones, "p3_found": p3_found, "p4_found": p4_found, "p4_units": p4_units, "p5_found": p5_found}
 
 
 def oracle_sql():
-    return {"p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p1_log": P1_LOG_SQL, "p5_found": P5_SQL}

@@ -21,7 +21,9 @@ def rows(df):
 
 
 # 1 drift
-def test_header_changes_against_plain_version(spark):
+@pytest.mark.parametrize("block", [4096, 3, 1])
+def test_header_changes_against_plain_version(spark, monkeypatch, block):
+    monkeypatch.setattr(drift, "FILES", block)
     rng = random.Random(4)
     files = [("a", i, 10 + i) for i in range(9)] + [("a", 2, 12)] + [("b", i, 50 + 7 * i) for i in range(4)]
     variables, coordinates = [], []
@@ -41,6 +43,10 @@ def test_header_changes_against_plain_version(spark):
     items = drift.header_items(vdf.unionByName(vdf), "V", "var_name", "full_name", "dtype").unionByName(drift.header_items(cdf, "C", "coord_name"))
     assert set(rows(drift.changes(fdf, items))) == header_changes(files, variables, coordinates)
     assert drift.changes(fdf.limit(0), items).count() == 0
+    log = drift.numbered(drift.change_log(fdf, items)).orderBy("agg_id", "log_no").collect()
+    assert [r.log_no for r in log if r.agg_id == "a"] == list(range(1, sum(r.agg_id == "a" for r in log) + 1))
+    assert [(r.agg_id, r.file_index, r.file_id, r.kind, r.item_name, r.change_type) for r in log] == sorted((r.agg_id, r.file_index, r.file_id, r.kind, r.item_name, r.change_type) for r in log)
+    assert {r.union_dtype for r in log if r.change_type == "dtype"} == {"double"}
     table = {(r.agg_id, r.item_name): r for r in drift.union_schema(fdf, items).collect()}
     assert ("a", "lat") in table and table["a", "lat"].n_files == 9
 
