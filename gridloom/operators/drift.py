@@ -195,9 +195,10 @@ def _split(v: str | None) -> tuple[str | None, str | None]:
 
 
 def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold the headers of each block's files in order of file; what depends on the blocks before is left open."""
+    """Fold the headers of each block's files in order of file; what depends on the blocks before is left open. The first block of an aggregation inherits nothing, and nothing inherits from the last."""
     out = _Rows(_ROW, _ROW_TYPE)
     place = file = None
+    first = last = True
     before: Header | None = None
     now: Header = {}
 
@@ -206,8 +207,11 @@ def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if file is None:
             return
         where = {"agg_id": place[0], "block": place[1], "file_index": file[0], "file_id": file[1]}
-        if before is None:
-            out.add(tag="head", **where)  # a block has at least this row
+        if before is None and first:
+            for x in now.values():
+                x.follow(None)
+        elif before is None:
+            out.add(tag="head", **where)  # such a block has at least this row
             for x in now.values():
                 out.add(tag="head", **where, kind=x.kind, item_name=x.name, full_norm=x.full, dims=x.dims, shape=x.shape, dtype=x.dtype)
                 x.dims = _Inherited(x.name) if x.dims is None else x.dims
@@ -225,17 +229,19 @@ def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def end_block() -> None:
         nonlocal before
         end_file()
-        for x in (before or {}).values():
+        if not last:
+            out.add(tag="tail", agg_id=place[0], block=place[1])
+        for x in (before or {}).values() if not last else ():
             named = {k: v for c, value in (("dims", x.dims), ("shape", x.shape)) for k, v in zip((c, f"{c}_of"), _split(value))}
             out.add(tag="tail", agg_id=place[0], block=place[1], kind=x.kind, item_name=x.name, full_norm=x.full, dtype=x.dtype, union_dtype=x.union, root=x.root, **named)
         before = None
 
     for b in batches:
-        for agg, block, index, id_, kind, name, full, dims, shape, dtype in zip(*(c.to_pylist() for c in b.columns)):
+        for agg, block, index, id_, kind, name, full, dims, shape, dtype, is_first, is_last in zip(*(c.to_pylist() for c in b.columns)):
             if (agg, block) != place:
                 if place is not None:
                     end_block()
-                place, file = (agg, block), (index, id_)
+                place, file, first, last = (agg, block), (index, id_), is_first, is_last
             elif file != (index, id_):
                 end_file()
                 file = (index, id_)
@@ -264,13 +270,10 @@ def _fold_ends(t: pa.Table) -> pa.Table:
     for block in sorted(blocks):
         own = blocks[block]
         item = lambda r: _Item(r["kind"], r["item_name"], r["full_norm"], r["dims"], r["shape"], r["dtype"])
-        heads: Header = {(r["kind"], r["item_name"]): item(r) for r in own["head"] if r["kind"] is not None}
-        where = {c: own["head"][0][c] for c in ("agg_id", "block", "file_index", "file_id")}
+        heads: Header = {(r["kind"], r["item_name"]): item(r) for r in own.get("head", []) if r["kind"] is not None}
         starts: dict[tuple, str | None] = {}
-        if before is None:
-            for x in heads.values():
-                x.follow(None)
-        else:
+        if before is not None:
+            where = {c: own["head"][0][c] for c in ("agg_id", "block", "file_index", "file_id")}
             for x, kind, old, new, _ in _stepped(heads, before):
                 out.add(**where, kind=x.kind, item_name=x.name, change_type=kind, before=old, after=new, union_dtype=x.union)
             # the joined type at the block's first file; the block's own types are joined to it
@@ -280,9 +283,11 @@ def _fold_ends(t: pa.Table) -> pa.Table:
             for kind, old, new in _altered(*(value(r, c, r["kind"]) for c in ("dims", "old_dims", "shape", "old_shape"))):
                 out.add(**{c: r[c] for c in ("agg_id", "block", "file_index", "file_id", "kind", "item_name", "union_dtype", "root")}, change_type=kind, before=old, after=new)
         for (kind, name), union in starts.items():
-            out.add(agg_id=where["agg_id"], block=block, kind=kind, change_type="start", union_dtype=union, root=name)
+            out.add(agg_id=t.column("agg_id")[0].as_py(), block=block, kind=kind, change_type="start", union_dtype=union, root=name)
         before = {}
         for r in own.get("tail", []):
+            if r["kind"] is None:
+                continue
             x = item({**r, "dims": value(r, "dims", r["kind"]), "shape": value(r, "shape", r["kind"])})
             x.union = promote(starts.get((r["kind"], r["root"])), r["union_dtype"])
             before[x.kind, x.name] = x
@@ -304,8 +309,11 @@ def change_log(files: DataFrame, items: DataFrame) -> DataFrame:
     """
     shared_checkpoints(files.sparkSession)
     once = files.where("agg_id is not null and file_id is not null").groupBy("agg_id", "file_id").agg(F.min("file_index").cast("int").alias("file_index"))
-    placed = once.join(items, "file_id", "left").withColumn("block", F.floor(F.coalesce(F.col("file_index"), F.lit(-1)) / F.lit(FILES)))
-    columns = ["agg_id", "block", "file_index", "file_id", "kind", "item_name", "full_norm", "dims", "shape", "dtype"]
+    once = once.withColumn("block", F.floor(F.coalesce(F.col("file_index"), F.lit(-1)) / F.lit(FILES)))
+    ends = once.groupBy("agg_id").agg(F.min("block").alias("_first"), F.max("block").alias("_last"))
+    once = once.join(ends, "agg_id").withColumns({"first": F.col("block") == F.col("_first"), "last": F.col("block") == F.col("_last")})
+    placed = once.join(items, "file_id", "left")
+    columns = ["agg_id", "block", "file_index", "file_id", "kind", "item_name", "full_norm", "dims", "shape", "dtype", "first", "last"]
     ordered = placed.select(*columns).repartition("agg_id", "block").sortWithinPartitions(*columns[:6])
     folded = written(ordered.mapInArrow(_fold_blocks, _ROW_TYPE))
     ends = folded.where("tag != 'log'").groupBy("agg_id").applyInArrow(_fold_ends, _LOG_TYPE).checkpoint()
