@@ -48,3 +48,21 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], block: Column, v
     edges = b.groupBy(*keys, "_block").agg(pick(F.struct(*values), F.struct(*order)).alias("_edge"))
     edges = edges.withColumn("_edge", shift("_edge").over(Window.partitionBy(*keys).orderBy("_block")))
     return join_same(local, edges, [*keys, "_block"]).select(*df.columns, F.coalesce("_near", "_edge").alias(name))
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], block: Column, value: str, name: str, ties: list[str] | None = None, following: bool = False) -> DataFrame:
+    """``df`` with ``name``: the last ``value`` that isn't null at or before each row along ``order`` within equal ``keys`` (the next one at or after it, if ``following``).
+
+    ``block`` must not decrease along ``order``; only the last value of each block is carried over its border. Rows equal in ``order``
+    come by ``ties``, in either direction.
+    """
+    b = df.withColumn("_block", block)
+    direction = (lambda c: F.col(c).desc()) if following else F.col
+    w = Window.partitionBy(*keys, "_block").orderBy(*[direction(c) for c in order], *(ties or []))
+    local = b.withColumn("_near", F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pick = F.min_by if following else F.max_by
+    place = F.when(F.col(value).isNotNull(), F.struct(*order))
+    edges = b.groupBy(*keys, "_block").agg(pick(F.col(value), place).alias("_edge"))
+    before = Window.partitionBy(*keys).orderBy(direction("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_edge", F.last("_edge", True).over(before))
+    return join_same(local, edges, [*keys, "_block"]).select(*df.columns, F.coalesce("_near", "_edge").alias(name))

@@ -10,13 +10,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.calendar import calendar_bin, season_months
+from gridloom.functions.calendar import CYCLIC, GREGORIAN, calendar_bin, parts_of, season_months
+from gridloom.operators.blocks import carried, join_same, ranked
 
 #: Columns that come and go with an axis.
-COORDINATES = {"t": ("time",), "z": ("lev",), "y": ("lat",), "x": ("lon",)}
+COORDINATES = {"t": ("time", "time_end"), "z": ("lev",), "y": ("lat",), "x": ("lon",)}
 
 
 @dataclass(frozen=True)
@@ -31,11 +32,28 @@ class Cube:
     more: tuple[str, ...] = field(default=())
     #: Coordinates of axes, where known: spans of values then resolve without reading data.
     axis_values: dict = field(default_factory=dict)
+    #: Calendar of the times; in a model calendar they are milliseconds since its own 1970-01-01.
+    calendar: str = "gregorian"
+    #: The calendar group whose bins the tag ``bin`` holds.
+    bins: str | None = None
 
     @property
     def keys(self) -> list[str]:
         return [*self.tags, *self.axes]
 
+    @property
+    def moment(self) -> Column:
+        """The middle of each time step where its end is known, else its start."""
+        time = F.col("time")
+        if "time_end" not in self.coords:
+            return time
+        if self.calendar.strip().lower() in GREGORIAN:
+            return time + (F.col("time_end") - time) / 2
+        return F.floor((time + F.col("time_end")) / 2)
+
+    def bin_of(self, group: str, compat: bool = False) -> Column:
+        return calendar_bin(group, self.moment, compat, self.calendar)
+
     def cells(self) -> DataFrame:
         return self.df.select(*self.keys, *self.coords, self.value, *self.more)
 
@@ -51,7 +69,7 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-#: Reductions by name: the column of an aggregate over non-missing values. All give null for a group without any.
+#: Reductions by name: the column of an aggregate over non-missing values. All give null for a group without any. ``sub`` and ``div`` fold from 0 and 1.
 REDUCTIONS: dict[str, Callable[[Column], Column]] = {
     "max": F.max,
     "min": F.min,
@@ -61,6 +79,8 @@ REDUCTIONS: dict[str, Callable[[Column], Column]] = {
     "rmsum": lambda v: F.when(F.sum(v) >= 0, F.sqrt(F.sum(v) / F.nullif(F.count(v) - 1, F.lit(0)))),
     "sqadd": lambda v: F.sum(v * v),
     "mult": lambda v: F.product(v),
+    "sub": lambda v: -F.sum(v),
+    "div": lambda v: _ratio(F.lit(1.0), F.product(v)),
     "stddev": F.stddev_samp,
     "std": F.stddev_pop,
     "var": F.var_pop,
@@ -100,7 +120,9 @@ def reduced(cube: Cube, op: str, axes: str, weights: str | None = None, group: s
     df = cube.df
     tags = out.tags
     if group:
-        df, tags = df.withColumn("bin", calendar_bin(group, F.col("time"), compat)), (*tags, "bin")
+        if "t" not in axes:
+            raise ValueError("calendar groups need the axis t to be reduced")
+        df, tags = df.withColumn("bin", cube.bin_of(group, compat)), (*tags, "bin")
     v = F.col(cube.value)
     if weights and op == "ave":
         w = weights_of(cube, weights, axes)
@@ -109,20 +131,35 @@ def reduced(cube: Cube, op: str, axes: str, weights: str | None = None, group: s
         agg = REDUCTIONS[op](v)
     else:
         raise ValueError(f"no reduction: {op}")
-    return replace(out, df=df.groupBy(*tags, *out.axes, *out.coords).agg(agg.alias(cube.value)), tags=tags)
+    return replace(out, df=df.groupBy(*tags, *out.axes, *out.coords).agg(agg.alias(cube.value)), tags=tags, bins=group)
+
+
+def _with_groups(cube: Cube, axes: str, group: str | None, aggregates: dict[str, Column]) -> DataFrame:
+    """The cells with the aggregates of the group that each is in (the keys without ``axes``, and the calendar bin).
+
+    Groups are aggregated, partial sums before the shuffle, and joined back to the cells; a small table of groups is sent to all
+    tasks by the optimizer, which measures it, so neither a hot group nor a single one makes one task sort all cells.
+    """
+    if not set(axes) <= set("tzyx"):
+        raise ValueError(f"axes must name some of t, z, y, x: {axes!r}")
+    df, by = cube.df, [*cube.tags, *(a for a in cube.axes if a not in axes)]
+    if group:
+        df, by = df.withColumn("_bin", cube.bin_of(group)), [*by, "_bin"]
+    if not by:
+        return df.crossJoin(F.broadcast(df.agg(*[a.alias(n) for n, a in aggregates.items()])))  # one row
+    groups = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggregates.items()])
+    return join_same(df, groups, by).drop("_bin")
 
 
 def broadcast_back(cube: Cube, op: str, axes: str, name: str, weights: str | None = None, group: str | None = None) -> DataFrame:
-    """The cells with the column ``name``: the reduction of the group that each is in. One window over the group's keys, without a join."""
-    rest = [*cube.tags, *(a for a in cube.axes if a not in axes)]
-    by = [*rest, calendar_bin(group, F.col("time"))] if group else rest
-    over = Window.partitionBy(*by)
+    """The cells with the column ``name``: the reduction of the group that each is in."""
     v = F.col(cube.value)
     if op == "ave" and weights:
         w = weights_of(cube, weights, axes)
-        return cube.df.withColumn(name, _ratio(F.sum(v * w).over(over), F.sum(F.when(v.isNotNull(), w)).over(over)))
-    simple = {"ave": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "stddev": F.stddev_samp, "count": F.count}
-    return cube.df.withColumn(name, simple[op](v).over(over))
+        agg = _ratio(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+    else:
+        agg = REDUCTIONS[op](v)
+    return _with_groups(cube, axes, group, {name: agg})
 
 
 def anomaly(cube: Cube, axes: str, group: str | None = None, weights: str | None = None) -> Cube:
@@ -133,10 +170,9 @@ def anomaly(cube: Cube, axes: str, group: str | None = None, weights: str | None
 
 def rescaled(cube: Cube, axes: str = "t") -> Cube:
     """Each value less its cell's mean, divided by its sample deviation; a constant cell gives 0."""
-    over = Window.partitionBy(*cube.tags, *(a for a in cube.axes if a not in axes))
     v = F.col(cube.value)
-    mean, dev = F.avg(v).over(over), F.stddev_samp(v).over(over)
-    return replace(cube, df=cube.df.withColumns({"_m": mean, "_d": dev}).withColumn(cube.value, F.when(F.coalesce("_d", F.lit(0.0)) == 0, F.when(v.isNotNull(), 0.0)).otherwise((v - F.col("_m")) / F.col("_d"))).drop("_m", "_d"))
+    df = _with_groups(cube, axes, None, {"_m": F.avg(v), "_d": F.stddev_samp(v)})
+    return replace(cube, df=df.withColumn(cube.value, F.when(F.coalesce("_d", F.lit(0.0)) == 0, F.when(v.isNotNull(), 0.0)).otherwise((v - F.col("_m")) / F.col("_d"))).drop("_m", "_d"))
 
 
 #: Element-wise operators; all give null if an operand is missing, division also for a zero divisor.
@@ -154,12 +190,21 @@ def combined(op: str, cubes: list[Cube]) -> Cube:
     """``op`` of the cubes, cell by cell in the order given.
 
     Cubes join on the keys that both have: an axis that one lacks counts as length 1 and is broadcast, in either direction; so is
-    the one cell of a cube without keys. Keys that neither contains the other are incommensurate. Cells absent from a cube drop out.
+    the one cell of a cube without keys. If one cube holds the calendar bins of a group, each cell of the other meets the bin that its
+    time is in. Keys that neither contains the other are incommensurate. Cells absent from a cube drop out.
     """
     if len(cubes) < 2:
         raise ValueError("two or more inputs are needed")
 
+    def binned(cube: Cube, other: Cube) -> Cube:
+        """``cube`` with the bins of ``other`` as a further tag, if only ``other`` has such."""
+        if not other.bins or "bin" in cube.tags or "bin" not in other.tags or "t" not in cube.axes:
+            return cube
+        return replace(cube, df=cube.df.withColumn("bin", cube.bin_of(other.bins)), tags=(*cube.tags, "bin"))
+
     def two(a: Cube, b: Cube) -> Cube:
+        added = ("bin" in a.tags) != ("bin" in b.tags)
+        a, b = binned(a, b), binned(b, a)
         if not (set(a.keys) <= set(b.keys) or set(b.keys) <= set(a.keys)):
             raise ValueError(f"incommensurate axes: {a.keys} and {b.keys}")
         wide = a if len(a.keys) >= len(b.keys) else b
@@ -170,11 +215,88 @@ def combined(op: str, cubes: list[Cube]) -> Cube:
             joined = left.join(right, common)
         else:  # one side is fully reduced, a single cell
             joined = left.crossJoin(F.broadcast(right)) if wide is a else right.crossJoin(F.broadcast(left))
-        return Cube(joined.select(*wide.keys, *wide.coords, ELEMENTWISE[op](F.col("_a"), F.col("_b")).alias("value")), wide.axes, wide.tags, wide.coords)
+        tags = tuple(t for t in wide.tags if t != "bin") if added else wide.tags
+        keys = [*tags, *wide.axes]
+        known = {**b.axis_values, **a.axis_values}
+        return Cube(joined.select(*keys, *wide.coords, ELEMENTWISE[op](F.col("_a"), F.col("_b")).alias("value")), wide.axes, tags, wide.coords, axis_values={x: known[x] for x in wide.axes if x in known}, calendar=wide.calendar, bins=None if added else wide.bins)
 
     return fold(two, cubes)
 
 
+def with_scalar(cube: Cube, op: str, number: float) -> Cube:
+    """Each value and a number under ``sum``, ``diff``, ``mult``, ``div``, ``min`` or ``max``; ``const`` sets each value that isn't missing."""
+    v, n = F.col(cube.value), F.lit(float(number))
+    new = F.when(v.isNotNull(), n) if op == "const" else ELEMENTWISE[op](v, n)
+    return replace(cube, df=cube.df.withColumn(cube.value, new))
+
+
+def mapped(cube: Cube, f: Callable[[Column], Column]) -> Cube:
+    """``f`` of each value that isn't missing."""
+    v = F.col(cube.value)
+    return replace(cube, df=cube.df.withColumn(cube.value, F.when(v.isNotNull(), f(v))))
+
+
+def split(cube: Cube, axis: str, at: int) -> tuple[Cube, Cube]:
+    """The cells before index ``at`` of an axis and those from it on, which count from 0 again."""
+    if axis not in cube.axes:
+        raise ValueError(f"no axis {axis}")
+    return replace(cube, df=cube.df.where(F.col(axis) < at)), replace(cube, df=cube.df.where(F.col(axis) >= at).withColumn(axis, F.col(axis) - at))
+
+
+def spawned(spark: SparkSession, shape: dict[str, int], f: Callable[[dict[str, Column]], Column] | float | None) -> Cube:
+    """A cube of the given length along each axis: a constant, all missing (None), or a function of the axis columns."""
+    df = spark.range(1)
+    for axis, n in shape.items():
+        df = df.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else df.withColumn(axis, F.lit(0)).limit(0)
+    value = f({a: F.col(a) for a in shape}) if callable(f) else F.lit(f)
+    return Cube(df.select(*shape, value.cast("double").alias("value")), tuple(shape), ())
+
+
+def sample(cube: Cube, n: int, start: int = 0) -> DataFrame:
+    """The cells number ``start`` to ``start + n - 1`` in the order of their keys."""
+    return cube.cells().orderBy(*cube.keys).offset(start).limit(n)
+
+
+def sorted_values(cube: Cube, descending: bool = False) -> DataFrame:
+    """All cells in order of value, missing ones last, equal ones in order of their keys. The sort is by range, so no task sees all."""
+    v = F.col(cube.value)
+    return cube.cells().orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last(), *cube.keys)
+
+
+def bin_reduced(cube: Cube, op: str, axes: str, by: Column, weights: Column | None = None) -> Cube:
+    """As ``reduced``, with the cells of each group scattered into bins ``by`` (tag ``bin``; a null bin takes no part). With ``weights`` the sum is weighted, and their own sum is the column ``weight``."""
+    out = _without(cube, axes)
+    df = cube.df.withColumn("bin", by).where("bin is not null")
+    v, tags = F.col(cube.value), (*out.tags, "bin")
+    grouped = df.groupBy(*tags, *out.axes, *out.coords)
+    if weights is None:
+        return replace(out, df=grouped.agg(REDUCTIONS[op](v).alias(cube.value)), tags=tags)
+    w = F.when(v.isNotNull(), weights)
+    return replace(out, df=grouped.agg(F.sum(v * w).alias(cube.value), F.sum(w).alias("weight")), tags=tags, more=("weight",))
+
+
+def bin_merged(cube: Cube, binned: Cube, op: str, by: Column) -> Cube:
+    """``op`` of each cell and the value of the bin ``by`` that it lies in, of a cube with the tag ``bin``; cells without such a bin are missing."""
+    own = replace(cube, df=cube.df.withColumn("bin", by))
+    keys = [k for k in binned.keys if k in (*cube.keys, "bin")]
+    other = binned.df.select(*keys, F.col(binned.value).alias("_b"))
+    joined = join_same(own.df, other, keys, "left")
+    return replace(cube, df=joined.withColumn(cube.value, ELEMENTWISE[op](F.col(cube.value), F.col("_b"))).drop("bin", "_b"))
+
+
+def scaled_difference(a: Cube, b: Cube) -> DataFrame:
+    """One row ``(mean, max_scaled_diff)``: the mean of ``a``, and the largest absolute difference of two cells divided by it."""
+    both = join_same(a.df.select(*a.keys, F.col(a.value).alias("_a")), b.df.select(*a.keys, F.col(b.value).alias("_b")), a.keys)
+    return both.agg(F.avg("_a").alias("mean"), _ratio(F.max(F.abs(F.col("_a") - F.col("_b"))), F.avg("_a")).alias("max_scaled_diff"))
+
+
+def zipped(left: DataFrame, right: DataFrame, on: str, prefix: str = "right_") -> DataFrame:
+    """The rows of two tables side by side, the k-th by ``on`` with the k-th; what one has more drops out. Columns of the right get a prefix."""
+    place = lambda df: ranked(df, [], on, F.lit(0), "_k")
+    b = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
+    return place(left).join(ranked(b, [], prefix + on, F.lit(0), "_k"), "_k").drop("_k")
+
+
 def member(cube: Cube, name: str) -> Cube:
     """One member of an ensemble, without the member key."""
     return replace(cube, df=cube.df.where(F.col("member") == name).drop("member"), tags=tuple(t for t in cube.tags if t != "member"))
@@ -202,50 +324,91 @@ class Span:
     end: float | str | None = None
     system: str = "indices"
     season: str | None = None
+    #: Coordinate values to keep, each within a relative distance of 1e-4.
+    levels: tuple[float, ...] = ()
 
 
 def subset(cube: Cube, spans: list[Span]) -> Cube:
     """The cells inside all spans.
 
-    Bounds become plain comparisons that the scan can take over. Longitudes are compared modulo 360, so -30 to 30 wraps. Where no
-    coordinate falls into a span of values, the first one above its start counts. A span over an axis that is absent is an error.
+    Bounds become plain comparisons that the scan can take over. A span of values includes both bounds; where no coordinate falls
+    into it, the first one above its start counts, and none if there is none. Longitudes are shifted by whole circles onto the axis, so
+    -30 to 30 wraps. Time bounds are half open; a single instant picks the step that it falls into (without known ends the last step
+    that begins by then, or the first of all). Where the coordinates of an axis are known, spans resolve without reading data;
+    otherwise the choice is part of the plan, one row that is sent to all tasks. A span over an axis that is absent is an error.
     """
-    df = cube.df
+    df, known = cube.df, dict(cube.axis_values)
     for s in spans:
         if s.axis not in cube.axes:
             raise ValueError(f"no axis {s.axis}")
         start, end = s.start, s.start if s.end is None else s.end
+        table = known.get(s.axis)
+        table = dict(enumerate(table)) if isinstance(table, list) else table
         if s.season:
-            df = df.where(F.month("time").isin(season_months(s.season)))
+            df = df.where(parts_of(cube.moment, cube.calendar)["month"].isin(season_months(s.season)))
+        c = F.col(COORDINATES[s.axis][0])
+        if s.levels:
+            df = df.where(fold(lambda a, b: a | b, [F.abs(c - F.lit(float(x))) <= F.lit(abs(float(x)) * 1e-4) for x in s.levels]))
+            table = table and {k: v for k, v in table.items() if any(abs(v - float(x)) <= abs(float(x)) * 1e-4 for x in s.levels)}
+            known.update({s.axis: table} if table else {})
         if start is None:
             continue
         if s.system == "indices":
             df = df.where(F.col(s.axis).between(int(start), int(end)))
+            known.update({s.axis: {k: v for k, v in table.items() if int(start) <= k <= int(end)}} if table else {})
         elif s.system in ("timestamps", "values") and s.axis == "t":
-            df = df.where((F.col("time") >= F.lit(str(start)).cast("timestamp_ntz")) & (F.col("time") < F.lit(str(end)).cast("timestamp_ntz")))
+            df = _at_times(df, cube, start, s.end)
+        elif s.system == "values" and table:
+            chosen = _chosen(table, float(start), float(end), s.axis == "x")
+            df = df.where(c.between(float(start), float(end))) if s.axis != "x" and len(chosen) > 1 else df.where(F.col(s.axis).isin(list(chosen)))
+            known[s.axis] = chosen
         elif s.system == "values":
-            c = F.col(COORDINATES[s.axis][0])
-            if s.axis == "x":
-                df = df.where(F.pmod(c - F.lit(float(start)), F.lit(360.0)) <= float(end) - float(start))
-                continue
-            inside = c.between(float(start), float(end))
-            if known := cube.axis_values.get(s.axis):
-                hit, following = any(float(start) <= v <= float(end) for v in known), min((v for v in known if v > float(start)), default=None)
-            else:
-                hit, following = df.agg(F.max(inside.cast("int")), F.min(F.when(c > float(start), c))).first()
-            df = df.where(inside if hit or following is None else c == following)
+            df = _at_values(df, c, float(start), float(end), s.axis == "x")
         else:
             raise ValueError(f"no coordinate system: {s.system}")
-    return replace(cube, df=df)
+    return replace(cube, df=df, axis_values={a: v for a, v in known.items() if v})
+
+
+def _at_times(df: DataFrame, cube: Cube, start: float | str, end: float | str | None) -> DataFrame:
+    kind = "timestamp_ntz" if cube.calendar.strip().lower() in GREGORIAN else "long"
+    point = lambda x: F.lit(str(x)).cast("string").cast(kind)
+    time = F.col("time")
+    if end is not None and end != start:
+        return df.where((time >= point(start)) & (time < point(end)))
+    if "time_end" in cube.coords:
+        return df.where((time <= point(start)) & (F.col("time_end") > point(start)))
+    step = df.agg(F.coalesce(F.max(F.when(time <= point(start), time)), F.min(time)).alias("_step"))
+    return df.crossJoin(F.broadcast(step)).where(time == F.col("_step")).drop("_step")
+
+
+def _chosen(table: dict[int, float], start: float, end: float, cyclic: bool) -> dict[int, float]:
+    """The part of an axis table that a span of values picks."""
+    width = (end - start) % 360.0 if cyclic and end < start else end - start
+    inside = {k: v for k, v in table.items() if ((v - start) % 360.0 if cyclic else v - start) <= width and (cyclic or v >= start)}
+    first = min(table.values()) + (start - min(table.values())) % 360.0 if cyclic else start
+    above = {k: v for k, v in table.items() if v > first}
+    return inside or {k: v for k, v in above.items() if v == min(above.values())}
+
+
+def _at_values(df: DataFrame, c: Column, start: float, end: float, cyclic: bool) -> DataFrame:
+    """As ``_chosen`` where the coordinates aren't known: the choice is a row of the plan."""
+    width = (end - start) % 360.0 if cyclic and end < start else end - start
+    within = F.pmod(c - F.lit(start), F.lit(360.0)) <= width if cyclic else c.between(start, end)
+    ends = df.agg(F.max(within.cast("int")).alias("_hit"), F.min(c).alias("_low"))
+    shifted = F.col("_low") + F.pmod(F.lit(start) - F.col("_low"), F.lit(360.0)) if cyclic else F.lit(start)
+    coordinates = df.select(c.alias("_c")).distinct()
+    chosen = coordinates.crossJoin(F.broadcast(ends)).agg(F.max("_hit").alias("_hit"), F.min(F.when(F.col("_c") > shifted, F.col("_c"))).alias("_next"))
+    return df.crossJoin(F.broadcast(chosen)).where(F.when(F.col("_hit") == 1, within).otherwise(c == F.col("_next"))).drop("_hit", "_next")
 
 
 def complete_seasons(cube: Cube, season: str) -> Cube:
     """Cells in the season, of those season-years only in which every month of it occurs; a season that crosses the year's end belongs to the year it ends in."""
     months = season_months(season)
     late = months[: months.index(1)] if 1 in months and months[0] != 1 else []
-    df = cube.df.where(F.month("time").isin(months)).withColumn("_sy", F.year("time") + F.when(F.month("time").isin(late), 1).otherwise(0) if late else F.year("time"))
-    whole = df.groupBy("_sy").agg(F.count_distinct(F.month("time")).alias("_n")).where(F.col("_n") == len(months)).select("_sy")
-    return replace(cube, df=df.join(whole, "_sy", "left_semi").drop("_sy"))
+    p = parts_of(cube.moment, cube.calendar)
+    df = cube.df.withColumn("_m", p["month"]).where(F.col("_m").isin(months)).withColumn("_sy", p["year"] + F.when(F.col("_m").isin(late), 1).otherwise(0) if late else p["year"])
+    whole = df.groupBy("_sy").agg(F.count_distinct("_m").alias("_n")).where(F.col("_n") == len(months)).select("_sy")
+    return replace(cube, df=df.join(whole, "_sy", "left_semi").drop("_sy", "_m"))
 
 
 def masked(cube: Cube, rings: list[list[tuple[float, float]]]) -> Cube:
@@ -261,44 +424,80 @@ def masked(cube: Cube, rings: list[list[tuple[float, float]]]) -> Cube:
     return replace(cube, df=cube.df.where(crossings % 2 == 1))
 
 
-def lowpass(cube: Cube, n: int) -> Cube:
-    """Means of ``n`` consecutive steps, joined by straight lines between the middles of their bins and flat beyond the first and last.
+def applied_mask(cube: Cube, mask: DataFrame, axes: list[str], flag: str = "mask") -> Cube:
+    """Cells whose entry in ``mask`` (``axes``, ``flag``) is 0 become missing; cells without an entry, too. Entries are one each."""
+    joined = join_same(cube.df, mask.select(*axes, F.col(flag).alias("_mask")), axes, "left")
+    return replace(cube, df=joined.withColumn(cube.value, F.when(F.col("_mask") != 0, F.col(cube.value))).drop("_mask"))
+
+
+def _along(cube: Cube, group: int | str) -> tuple[Column, Column, Column, Column]:
+    """Where a step begins, ends and has its middle along time, as numbers, and its bin: of ``group`` steps, or a calendar group's."""
+    if isinstance(group, int):
+        t = F.col("t").cast("double")
+        return t, t + 1, t + 0.5, F.floor(F.col("t") / group)
+    number = lambda c: c.cast("double") if cube.calendar.strip().lower() not in GREGORIAN else F.unix_micros(c.cast("timestamp")) / 1000.0
+    start = number(F.col("time"))
+    end = number(F.col("time_end")) if "time_end" in cube.coords else start
+    return start, end, (start + end) / 2, cube.bin_of(group)
+
 
-    Each cell's series is one window partition; bins are looked up by last and next non-null value, so no range join is needed.
+def lowpass(cube: Cube, group: int | str) -> Cube:
+    """Means of successive bins, joined by straight lines between the middles of the bins and evaluated at the middle of each step; flat before the first and after the last middle.
+
+    A bin is ``group`` steps of index ``t``, or a non-cyclic calendar group such as 6-month or season. Its middle lies between the
+    start of its first and the end of its last step. Bins without values are skipped. Each cell joins its own bin, which knows the bins on
+    either side, so only bins are ordered, never steps.
     """
+    if isinstance(group, str) and (group.replace(" ", "").lower() in CYCLIC or group.replace(" ", "").lower().endswith("ofyear")):
+        raise ValueError(f"a cycle has no course in time: {group}")
     rest = [*cube.tags, *(a for a in cube.axes if a != "t")]
-    v = F.col(cube.value)
-    df = cube.df.withColumn("_g", F.floor(F.col("t") / n))
-    per_bin = Window.partitionBy(*rest, "_g")
-    seen = F.when(v.isNotNull(), F.col("t"))
-    df = df.withColumns({"_v": F.avg(v).over(per_bin), "_m": (F.min(seen).over(per_bin) + F.max(seen).over(per_bin) + 1) / 2})
-    points = df.where(F.col("_v").isNotNull()).groupBy(*rest, "_g").agg(F.first("_v").alias("_v"), F.first("_m").alias("_m"))
-    along = Window.partitionBy(*rest).orderBy("_m")
-    points = points.withColumns({"_nv": F.lead("_v").over(along), "_nm": F.lead("_m").over(along)})
-    marks = points.select(*rest, F.col("_m").alias("_at"), F.struct("_m", "_v", "_nm", "_nv").alias("_p"), F.lit(None).cast("int").alias("t"))
-    cells = cube.df.select(*rest, F.col("t").cast("double").alias("_at"), F.lit(None).cast(marks.schema["_p"].dataType).alias("_p"), "t")
-    w = Window.partitionBy(*rest).orderBy("_at", F.col("t").isNull().desc())
-    both = cells.unionByName(marks).withColumns({"_before": F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    b, a = F.col("_before"), F.col("_after")
-    line = F.when(b.isNull(), a["_v"]).when(b["_nm"].isNull() | (b["_m"] == F.col("t")), b["_v"]).otherwise(b["_v"] + (b["_nv"] - b["_v"]) * (F.col("t") - b["_m"]) / (b["_nm"] - b["_m"]))
-    return Cube(both.where(F.col("t").isNotNull()).select(*rest, "t", line.alias("value")), cube.axes, cube.tags)
-
-
-def highpass(cube: Cube, n: int) -> Cube:
+    start, end, middle, bin_ = _along(cube, group)
+    df = cube.df.withColumns({"_at": middle, "_g": bin_, "_s": start, "_e": end})
+    bins = df.groupBy(*rest, "_g").agg(F.avg(cube.value).alias("_v"), ((F.min("_s") + F.max("_e")) / 2).alias("_m"))
+    point = F.when(F.col("_v").isNotNull(), F.struct(F.col("_m").alias("m"), F.col("_v").alias("v")))
+    ahead, behind = Window.partitionBy(*rest).orderBy("_g"), Window.partitionBy(*rest).orderBy(F.col("_g").desc())
+    before = lambda w: F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.withColumn("_p", point).withColumns({"_l": before(ahead), "_r": before(behind)}).select(*rest, "_g", "_p", "_l", "_r")
+    both = join_same(df, bins, [*rest, "_g"])
+    here, at = F.col("_p"), F.col("_at")
+    left = F.when(here.isNotNull() & (at >= here["m"]), here).otherwise(F.col("_l"))
+    right = F.when(here.isNotNull() & (at < here["m"]), here).otherwise(F.col("_r"))
+    value = _between(at, left, right)
+    return replace(cube, df=both.withColumn(cube.value, value).drop("_at", "_g", "_s", "_e", "_p", "_l", "_r"))
+
+
+def _between(at: Column, left: Column, right: Column) -> Column:
+    """The value at ``at`` on the line from the point ``left`` to ``right`` (structs m, v); flat where one is null."""
+    return F.when(left.isNull(), right["v"]).when(right.isNull() | (left["m"] == right["m"]), left["v"]).otherwise(left["v"] + (right["v"] - left["v"]) * (at - left["m"]) / (right["m"] - left["m"]))
+
+
+def highpass(cube: Cube, group: int | str) -> Cube:
     """Each value less its lowpass."""
-    return combined("diff", [replace(cube, coords=()), lowpass(cube, n)])
+    kept = replace(cube, df=cube.df.withColumn("_raw", F.col(cube.value)))
+    low = lowpass(kept, group)
+    return replace(cube, df=low.df.withColumn(cube.value, F.col("_raw") - F.col(cube.value)).drop("_raw"))
+
+
+#: Steps per block when the steps of a series are numbered.
+STEPS = 1 << 16
 
 
 def sliding(cube: Cube, size: int, step: int) -> Cube:
-    """Means of ``size`` successive steps from every ``step``-th step on, labelled by the first; the last window may be shorter."""
+    """Means of ``size`` successive steps from every ``step``-th step on, labelled by the first; the last windows may be shorter.
+
+    Each row goes to the windows that it is in, and these are aggregated, so a long series spreads over many tasks.
+    """
     rest = [*cube.tags, *(a for a in cube.axes if a != "t")]
-    w = Window.partitionBy(*rest).orderBy("t")
-    df = cube.df.withColumns({"_n": F.row_number().over(w), "_v": F.avg(cube.value).over(w.rowsBetween(0, size - 1))})
-    return Cube(df.where((F.col("_n") - 1) % step == 0).select(*rest, "t", F.col("_v").alias("value")), cube.axes, cube.tags)
+    placed = ranked(cube.df.select(*rest, "t", cube.value), rest, "t", F.floor(F.col("t") / STEPS), "_n")
+    last = F.floor((F.col("_n") - 1) / step)
+    first = F.greatest(F.ceil((F.col("_n") - size) / F.lit(step)), F.lit(0))
+    rows = placed.where(first <= last).withColumn("_w", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    out = rows.groupBy(*rest, "_w").agg(F.min("t").alias("t"), F.avg(cube.value).alias("value"))
+    return Cube(out.select(*rest, "t", "value"), cube.axes, cube.tags)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: str, name: str, bucket: Column | None = None) -> DataFrame:
-    """``left`` with ``name``: the right ``value`` of the latest row with equal keys at or before ``on``; null before the first.
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: str, name: str, bucket: Column | None = None, clamp: bool = False) -> DataFrame:
+    """``left`` with ``name``: the right ``value`` of the latest row with equal keys at or before ``on``; before the first one null, or the first one's with ``clamp``.
 
     Both sides run through one window. With ``bucket``, a column that does not decrease along ``on``, a hot key is split into its
     buckets, and the last value of each earlier bucket is carried over.
@@ -306,28 +505,29 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: st
     cols = [c for c in left.columns if c not in keys and c != on]
     a = left.select(*keys, on, F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
     b = right.select(*keys, on, F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    both = a.unionByName(b).withColumn("_b", bucket if bucket is not None else F.lit(0))
-    w = Window.partitionBy(*keys, "_b").orderBy(on, "_side", "_v")
-    both = both.withColumn("_hit", F.last(F.when(F.col("_side") == 0, F.struct("_v")), True).over(w))
-    if bucket is not None:
-        ends = both.where("_side = 0").groupBy(*keys, "_b").agg(F.max_by(F.struct("_v"), F.struct(on, "_v")).alias("_end"))
-        spans = both.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "left")
-        spans = spans.withColumn("_carry", F.last("_end", True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-        both = both.join(spans.select(*keys, "_b", "_carry"), [*keys, "_b"], "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
-    return both.where("_side = 1").select(*[F.col(k) for k in keys], F.col(on), *[F.col("_row")[c].alias(c) for c in cols], F.col("_hit._v").alias(name))
-
-
-def converted(source: DataFrame, targets: DataFrame, keys: list[str], on: str, value: str) -> DataFrame:
-    """Values of ``source`` at the positions ``on`` (numbers) of ``targets``: linear between the bracketing points, the nearest beyond them."""
+    both = a.unionByName(b).withColumn("_p", F.when(F.col("_side") == 0, F.struct("_v")))
+    block = bucket if bucket is not None else F.lit(0)
+    both = carried(both, keys, [on, "_side", "_v"], block, "_p", "_hit")
+    hit = F.col("_hit._v")
+    if clamp:
+        first = right.groupBy(*keys).agg(F.min_by(F.struct(F.col(value).alias("_v")), F.struct(on, value)).alias("_first"))
+        both = join_same(both, first, keys, "left")
+        hit = F.when(F.col("_hit").isNotNull(), hit).otherwise(F.col("_first._v"))
+    return both.where("_side = 1").select(*[F.col(k) for k in keys], F.col(on), *[F.col("_row")[c].alias(c) for c in cols], hit.alias(name))
+
+
+def converted(source: DataFrame, targets: DataFrame, keys: list[str], on: str, value: str, width: float = 65536.0) -> DataFrame:
+    """Values of ``source`` at the positions ``on`` (numbers) of ``targets``: linear between the bracketing points, the nearest beyond them.
+
+    Series are cut into blocks of ``width`` along ``on``; the nearest points are carried over the borders.
+    """
     at = F.col(on).cast("double")
-    a = targets.select(*keys, at.alias(on), F.lit(None).cast("struct<p:double,v:double>").alias("_p"), F.lit(1).alias("_side"))
-    b = source.where(F.col(value).isNotNull()).select(*keys, at.alias(on), F.struct(at.alias("p"), F.col(value).cast("double").alias("v")).alias("_p"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(on)
-    both = a.unionByName(b)
-    both = both.withColumns({"_l": F.last("_p", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "_r": F.first("_p", True).over(w.rangeBetween(0, Window.unboundedFollowing))})
-    left, right = F.col("_l"), F.col("_r")
-    v = F.when(left.isNull(), right["v"]).when(right.isNull() | (left["p"] == right["p"]), left["v"]).otherwise(left["v"] + (right["v"] - left["v"]) * (F.col(on) - left["p"]) / (right["p"] - left["p"]))
-    return both.where("_side = 1").select(*keys, on, v.alias("value"))
+    a = targets.select(*keys, at.alias(on), F.lit(None).cast("struct<m:double,v:double>").alias("_p"), F.lit(1).alias("_side"))
+    b = source.where(F.col(value).isNotNull()).select(*keys, at.alias(on), F.struct(at.alias("m"), F.col(value).cast("double").alias("v")).alias("_p"), F.lit(0).alias("_side"))
+    block = F.floor(at / F.lit(width))
+    both = carried(a.unionByName(b), keys, [on], block, "_p", "_l", ties=["_side"])
+    both = carried(both, keys, [on], block, "_p", "_r", ties=["_side"], following=True)
+    return both.where("_side = 1").select(*keys, on, _between(F.col(on), F.col("_l"), F.col("_r")).alias("value"))
 
 
 def correlations(cube: Cube) -> DataFrame:

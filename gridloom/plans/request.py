@@ -1,16 +1,13 @@
-"""Requests in the declarative form ``[domain=[{...}],variable=[{...}],operation=[{...}]]``: parsing, binding, planning to one lazy DataFrame."""
+"""Requests in the declarative form ``[domain=[{...}],variable=[{...}],operation=[{...}]]``: parsing and binding."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import DataFrame
-
-from gridloom.operators import cube as C
-from gridloom.operators.cube import Cube, Span
+from gridloom.operators.cube import Span
 
 _TOKEN = re.compile(r"""\s*(?:(?P<p>[\[\]{},;:=])|"(?P<s>[^"]*)"|'(?P<q>[^']*)'|(?P<w>[^\s\[\]{},;:="']+))""")
 
@@ -97,20 +94,60 @@ def parse(text: str) -> dict[str, list[dict]]:
 
 
 AXES = [("y", r"lat"), ("x", r"lon"), ("z", r"p?lev"), ("t", r"tim")]
+#: Forms of dates in requests beside ISO texts.
+DATES = ["%Y", "%Y-%m", "%Y/%m/%d", "%m/%d/%Y", "%d %B %Y", "%d %b %Y", "%B %d, %Y", "%B %d %Y", "%b %d, %Y", "%b %d %Y", "%B %Y", "%b %Y"]
+SYSTEMS = ("indices", "values", "timestamps")
+
+
+def instant(text: object) -> str:
+    """An ISO text without zone, in UTC, of a date or time written in a request."""
+    s = " ".join(str(text).split())
+    try:
+        t = datetime.fromisoformat(s)
+    except ValueError:
+        for form in DATES:
+            try:
+                t = datetime.strptime(s, form)
+                break
+            except ValueError:
+                continue
+        else:
+            raise ValueError(f"no time: {text}") from None
+    if t.tzinfo:
+        t = t.astimezone(timezone.utc).replace(tzinfo=None)
+    return t.isoformat(sep=" ")
+
+
+@dataclass(frozen=True)
+class Domain:
+    """The spans of a domain, the name of its mask, and whatever else it states."""
+
+    spans: list[Span] = field(default_factory=list)
+    mask: str | None = None
+    more: dict = field(default_factory=dict)
 
 
 def spans(domain: dict) -> list[Span]:
-    """The spans of a domain object; ``crs`` stands for ``system``, a bare number for a single value, ``filter`` for a season."""
+    """The spans of a domain object; ``crs`` stands for ``system``, a bare number or time for a single value, ``filter`` for a season."""
     out = []
     for k, v in domain.items():
         axis = next((a for a, p in AXES if re.match(p, k)), None)
         if axis is None:
             continue
         if not isinstance(v, dict):
-            out.append(Span(axis, v if axis == "t" else float(v), None, "values"))
+            out.append(Span(axis, instant(v) if axis == "t" else float(v), None, "values"))
             continue
+        if unknown := set(v) - {"start", "end", "system", "crs", "bounds", "filter"}:
+            raise ValueError(f"no part of an axis: {', '.join(sorted(unknown))}")
         system = str(v.get("system", v.get("crs", "values"))).lower()
-        out.append(Span(axis, v.get("start"), v.get("end"), system, v.get("filter")))
+        if system not in SYSTEMS:
+            raise ValueError(f"no coordinate system: {system}")
+        start, end = v.get("start"), v.get("end")
+        if axis == "t" and system != "indices":
+            start, end = (None if x is None else instant(x) for x in (start, end))
+            if start is not None and end is not None and start == end:
+                end = None
+        out.append(Span(axis, start, end, system, v.get("filter")))
     return out
 
 
@@ -131,21 +168,43 @@ class Request:
 
     variables: dict[str, tuple[str, str]]
     variable_domain: dict[str, str]
-    domains: dict[str, list[Span]]
+    domains: dict[str, Domain]
     operations: list[Operation] = field(default_factory=list)
 
 
+#: Kinds of places that a variable's uri may name; anything else is an error.
+SCHEMES = ("collection", "file", "parquet", "fragment")
+
+
+def collection_of(variable: dict) -> str:
+    """The place that a variable names: the id of a collection, or ``scheme:path``."""
+    text = str(variable.get("uri", variable.get("collection", variable.get("path", ""))))
+    scheme, colon, rest = text.partition(":")
+    if not colon:
+        return f"file:{text}" if "path" in variable and not set(variable) & {"uri", "collection"} else text.strip("/")
+    if scheme.lower() not in SCHEMES:
+        raise ValueError(f"no source of inputs: {scheme}")
+    return rest.strip("/") if scheme.lower() == "collection" else f"{scheme.lower()}:/{rest.lstrip('/')}"
+
+
 def bind(parsed: dict[str, list[dict]]) -> Request:
     """Resolve ids, give a request without operations a subset, infer domains both ways, order operations by their inputs."""
-    domains = {str(d.get("name", d.get("id"))).lower(): spans(d) for d in parsed.get("domain", [])}
+    if unknown := set(parsed) - {"domain", "variable", "operation"}:
+        raise ValueError(f"no declaration: {', '.join(sorted(unknown))}")
+    domains = {}
+    for d in parsed.get("domain", []):
+        more = {k: v for k, v in d.items() if k not in ("name", "id", "mask") and not any(re.match(p, k) for _, p in AXES)}
+        domains[str(d.get("name", d.get("id"))).lower()] = Domain(spans(d), str(d["mask"]).lstrip("#").lower() if "mask" in d else None, more)
     variables: dict[str, tuple[str, str]] = {}
     vdom: dict[str, str] = {}
     for v in parsed.get("variable", []):
-        collection = str(v.get("uri", v.get("collection", ""))).removeprefix("collection:/").removeprefix("collection://").strip("/")
-        for item in str(v["name"]).split(","):
-            name, _, uid = item.partition(":")
-            uid = (uid or name).lower()
-            variables[uid] = (collection, name)
+        place = collection_of(v)
+        for item in str(v.get("name", "*")).split(","):
+            name, _, uid = item.strip().partition(":")
+            uid = (uid or str(v.get("id", name))).lower()
+            if uid in variables:
+                raise ValueError(f"two inputs are called {uid}")
+            variables[uid] = (place, name)
             if "domain" in v:
                 vdom[uid] = str(v["domain"]).lower()
     ops = []
@@ -155,9 +214,11 @@ def bind(parsed: dict[str, list[dict]]) -> Request:
         known = {"name", "input", "id", "result", "domain"}
         ops.append(Operation(str(o["name"]).lower(), inputs, str(o.get("id", o.get("result", f"op{k}"))).lower(), str(o["domain"]).lower() if "domain" in o else None, {a: b for a, b in o.items() if a not in known}))
     by_id = {o.id: o for o in ops}
+    if len(by_id) < len(ops):
+        raise ValueError("two operations have one id")
     for o in ops:
         for i in o.inputs:
-            if i not in variables and i not in by_id:
+            if i not in variables and i.partition(".")[0] not in by_id:
                 raise ValueError(f"no input {i}")
         for dom in [o.domain, *vdom.values()]:
             if dom and dom not in domains:
@@ -169,130 +230,7 @@ def bind(parsed: dict[str, list[dict]]) -> Request:
             if o.domain is None and len(seen) == 1:
                 o.domain = seen.pop()
     try:
-        order = list(TopologicalSorter({o.id: [i for i in o.inputs if i in by_id] for o in ops}).static_order())
+        order = list(TopologicalSorter({o.id: [i.partition(".")[0] for i in o.inputs if i.partition(".")[0] in by_id] for o in ops}).static_order())
     except CycleError as e:
         raise ValueError("operations depend on each other in a circle") from e
     return Request(variables, vdom, domains, [by_id[i] for i in order])
-
-
-@dataclass(frozen=True)
-class Kernel:
-    """A registered operator: ``run(inputs, config)`` on cubes."""
-
-    name: str
-    title: str
-    inputs: str
-    visibility: str
-    run: Callable[[list[Cube], dict], Cube]
-
-
-REGISTRY: dict[str, Kernel] = {}
-
-
-def kernel(name: str, title: str, inputs: str = "1", visibility: str = "public"):
-    """Register a function of cubes and configuration as an operator for requests."""
-
-    def add(f: Callable[[list[Cube], dict], Cube]):
-        REGISTRY[name.lower()] = Kernel(name, title, inputs, visibility, f)
-        return f
-
-    return add
-
-
-def _reducer(op: str):
-    def run(cubes: list[Cube], cfg: dict) -> Cube:
-        return C.reduced(cubes[0], op, str(cfg.get("axes", "")), cfg.get("weights"), cfg.get("groupby"))
-
-    return run
-
-
-for _op, _title in {"max": "Maximum", "min": "Minimum", "sum": "Sum", "ave": "Mean, optionally weighted", "rms": "Root mean square over n-1", "rmsum": "Root of the sum over n-1", "std": "Population deviation", "var": "Population variance", "ptp": "Range", "stddev": "Sample deviation", "maxmag": "Value of greatest magnitude", "minmag": "Value of least magnitude"}.items():
-    kernel(f"cube.{_op}", _title, "1", "developmental" if _op == "rmsum" else "public")(_reducer(_op))
-for _op in C.ELEMENTWISE:
-    kernel(f"cube.e{_op}", f"Cell by cell {_op}", "2+")(lambda cubes, cfg, op=_op: C.combined(op, cubes))
-
-
-@kernel("cube.noop", "Subset to the domain")
-@kernel("cube.subset", "Subset to the domain")
-def _noop(cubes: list[Cube], cfg: dict) -> Cube:
-    return cubes[0]
-
-
-@kernel("cube.eave", "Mean over inputs, cell by cell", "2+")
-def _eave(cubes: list[Cube], cfg: dict) -> Cube:
-    return replace(cubes[0], df=C.ensemble(cubes, ("ave",)).withColumnRenamed("ave", "value"), coords=(), value="value")
-
-
-@kernel("cube.anomaly", "Departure from the mean or from the calendar bin's mean")
-def _anomaly(cubes: list[Cube], cfg: dict) -> Cube:
-    return C.anomaly(cubes[0], str(cfg.get("axes", "t")), cfg.get("groupby"), cfg.get("weights"))
-
-
-@kernel("cube.lowpass", "Means of calendar bins joined by lines")
-def _lowpass(cubes: list[Cube], cfg: dict) -> Cube:
-    return C.lowpass(cubes[0], _steps(cfg))
-
-
-@kernel("cube.highpass", "Departure from the lowpass")
-def _highpass(cubes: list[Cube], cfg: dict) -> Cube:
-    return C.highpass(cubes[0], _steps(cfg))
-
-
-@kernel("cube.rescale", "Standard scores per cell", "1", "restricted")
-@kernel("cube.norm", "Standard scores per cell", "1", "developmental")
-def _rescale(cubes: list[Cube], cfg: dict) -> Cube:
-    return C.rescaled(cubes[0], str(cfg.get("axes", "t")))
-
-
-def _steps(cfg: dict) -> int:
-    text = str(cfg.get("groupby", "")).lower()
-    if m := re.fullmatch(r"(?:(\d+)-)?(month|year)", text):
-        return int(m[1] or 1) * (12 if m[2] == "year" else 1)
-    raise ValueError("lowpass and highpass need groupBy, N-month or N-year")
-
-
-#: Names of older clients.
-ALIASES = {"binave": "ave", "average": "ave", "multiaverage": "eave", "diff2": "ediff"}
-
-
-def find(name: str) -> Kernel:
-    """The kernel of a name under any module prefix."""
-    last = name.lower().rpartition(".")[2]
-    last = ALIASES.get(last, last)
-    if f"cube.{last}" not in REGISTRY and name.lower() not in REGISTRY:
-        raise ValueError(f"no kernel {name}")
-    return REGISTRY.get(name.lower()) or REGISTRY[f"cube.{last}"]
-
-
-def capabilities(least: str = "experimental") -> list[tuple[str, str, str, str]]:
-    """``(name, title, inputs, visibility)`` of the kernels of at least that status."""
-    levels = ["experimental", "developmental", "restricted", "public"]
-    return sorted((k.name, k.title, k.inputs, k.visibility) for k in REGISTRY.values() if levels.index(k.visibility) >= levels.index(least))
-
-
-def describe(name: str) -> dict:
-    k = find(name)
-    return {"name": k.name, "title": k.title, "inputs": k.inputs, "visibility": k.visibility}
-
-
-def execute(text: str, load: Callable[[str, str], Cube]) -> dict[str, DataFrame]:
-    """The results of a request by operation id, for operations that no other consumes; ``load(collection, variable)`` gives a lazy cube.
-
-    Every node is planned once, whoever uses it; nothing runs before a result is written or collected.
-    """
-    req = bind(parse(text))
-    nodes: dict[str, Cube] = {}
-    for uid, (collection, name) in req.variables.items():
-        cube = load(collection, name)
-        nodes[uid] = C.subset(cube, req.domains[req.variable_domain[uid]]) if uid in req.variable_domain else cube
-    used = set()
-    for o in req.operations:
-        inputs = []
-        for i in o.inputs:
-            used.add(i)
-            cube = nodes[i]
-            if o.domain and i in req.variables and req.variable_domain.get(i) != o.domain:
-                cube = C.subset(cube, [s for s in req.domains[o.domain] if s.axis in cube.axes])
-            inputs.append(cube)
-        nodes[o.id] = find(o.name).run(inputs, o.config)
-    return {o.id: nodes[o.id].cells() for o in req.operations if o.id not in used}

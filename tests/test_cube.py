@@ -17,7 +17,9 @@ from gridloom.operators import cube as C
 from gridloom.operators import regrid
 from gridloom.operators.cube import Cube, Span
 from gridloom.operators.linalg import Eof
+from gridloom.plans import kernels as K
 from gridloom.plans import request as R
+from gridloom.plans.execute import execute
 from gridloom.sources.catalog import Catalog, Jobs, aggregation_rows, collection_list
 from gridloom.streaming.windows import drained, windowed
 
@@ -74,7 +76,7 @@ def test_a_single_cell_is_broadcast_in_either_order(spark):
     assert values(C.combined("diff", [mean, c])) == {(0, 0, 0): 3.0, (0, 0, 1): None, (1, 0, 0): 0.0, (1, 1, 0): -3.0}
     assert values(C.combined("diff", [c, mean])) == {(0, 0, 0): -3.0, (0, 0, 1): None, (1, 0, 0): 0.0, (1, 1, 0): 3.0}
     assert values(C.combined("div", [mean, mean])) == {(): 1.0}
-    got = R.execute('[variable=[{uri:"collection:/g",name:"q:v1"}],operation=[{name:"c.ave",input:"v1",axes:"txy",id:"v1ave"},{name:"c.eDiff",input:"v1ave,v1",id:"out"}]]', lambda coll, name: c)
+    got = execute('[variable=[{uri:"collection:/g",name:"q:v1"}],operation=[{name:"c.ave",input:"v1",axes:"txy",id:"v1ave"},{name:"c.eDiff",input:"v1ave,v1",id:"out"}]]', lambda coll, name: c)
     assert sorted((r.t, r.y, r.x, r.value) for r in got["out"].where("value is not null").collect()) == [(0, 0, 0, 3.0), (1, 0, 0, 0.0), (1, 1, 0, -3.0)]
 
 
@@ -164,7 +166,10 @@ def test_eof_against_numpy(spark):
     e = Eof.fit(df, "t", ["y"], "value", modes=5)
     a = x - x.mean(0)
     u, s, v = np.linalg.svd(a, full_matrices=False)
-    assert np.allclose(e.values, s**2 / 19) and np.allclose(np.abs(e.loadings @ v.T), np.eye(5), atol=1e-6)
+    loadings = np.zeros((5, 5))
+    for r in e.maps().collect():
+        loadings[r.mode, r.y] = r.eof
+    assert np.allclose(e.values, s**2 / 19) and np.allclose(np.abs(loadings @ v.T), np.eye(5), atol=1e-6)
     assert e.variance_fractions().sum() == pytest.approx(1) and e.total_variance() == pytest.approx(a.var(0, ddof=1).sum())
     back = {(r.t, r.y): r.value for r in e.reconstructed(5).collect()}
     assert all(back[t, y] == pytest.approx(x[t, y]) for t in range(20) for y in range(5))
@@ -198,16 +203,41 @@ def test_operations_in_a_circle():
 def test_request_equals_direct_calls(spark):
     c = cube(spark, [(t, y, 0, float(t * y)) for t in range(4) for y in range(3)])
     text = '[domain=[{name:"d",lat:{start:1,end:2,system:"indices"}}],variable=[{uri:"collection:/g",name:"q:v"}],operation=[{name:"Module.ave",input:"v",axes:"t",id:"m",domain:"d"},{name:"x.diff2",input:"v,m",id:"out",domain:"d"}]]'
-    got = R.execute(text, lambda coll, name: c)
+    got = execute(text, lambda coll, name: c)
     part = C.subset(c, [Span("y", 1, 2)])
     assert list(got) == ["out"] and sorted(got["out"].select("t", "y", "value").collect()) == sorted(C.combined("diff", [part, C.reduced(part, "ave", "t")]).df.select("t", "y", "value").collect())
-    assert R.describe("python.max")["name"] == "cube.max" and any(k[0] == "cube.rmsum" for k in R.capabilities()) and not any(k[0] == "cube.rmsum" for k in R.capabilities("public"))
+    assert K.describe("python.max")["name"] == "cube.max" and any(k[0] == "cube.rmsum" for k in K.capabilities()) and not any(k[0] == "cube.rmsum" for k in K.capabilities("public"))
 
 
-def test_anomaly_is_one_exchange_without_python(spark):
+@pytest.mark.parametrize("axes,group", [("t", "monthOfYear"), ("tyx", None), ("yx", None)])
+def test_groups_are_aggregated_before_they_are_shuffled(spark, axes, group):
     c = cube(spark, SOME)
-    plan = C.anomaly(c, "t", "monthOfYear").df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Join" not in plan
+    plan = C.anomaly(c, axes, group).df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Python" not in plan and "Window" not in plan and "partial_avg" in plan
+
+
+@pytest.mark.parametrize("shape,whole", [((12, 60), 2048), ((60, 12), 2048), ((12, 60), 4), ((60, 12), 4)])
+def test_eof_of_either_side_and_by_iteration(spark, shape, whole):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(shape[0], 6)) * [9, 7, 5, 3, 2, 1] @ rng.normal(size=(6, shape[1])) + rng.normal(size=shape) * 0.01
+    df = spark.createDataFrame([(t, y, float(x[t, y])) for t in range(shape[0]) for y in range(shape[1])], "t int, y int, value double")
+    e = Eof.fit(df, "t", ["y"], "value", modes=3, weights=F.sqrt(F.col("y") + 1.0), whole=whole)
+    a = (x - x.mean(0)) * np.sqrt(np.arange(shape[1]) + 1.0)
+    u, s, v = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(e.values[:3], s[:3] ** 2 / (shape[0] - 1)) and e.total_variance() == pytest.approx((s**2).sum() / (shape[0] - 1))
+    got = {(r.mode, r.y): r.eof for r in e.maps().collect()}
+    sign = [np.sign(v[m, np.abs(v[m]).argmax()]) for m in range(3)]
+    assert all(got[m, y] == pytest.approx(v[m, y] * sign[m], abs=1e-5) for m in range(3) for y in range(shape[1]))
+    pcs = {(r.mode, r.t): r.pc for r in e.components().collect()}
+    assert all(pcs[m, t] == pytest.approx(u[t, m] * s[m] * sign[m], abs=1e-3) for m in range(3) for t in range(shape[0]))
+    again = {(r.mode, r.t): r.pc for r in e.components(df.where("t > 3")).collect()}
+    assert all(again[k] == pytest.approx(pcs[k]) for k in again) and len(again) == 3 * (shape[0] - 4)
+
+
+def test_eof_of_a_globe_of_ten_thousand_cells(spark):
+    df = spark.range(8).select(F.col("id").cast("int").alias("t")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(10_367)))).withColumn("value", F.sin(F.col("t") * 1.3) * F.cos(F.col("c") / 50) + F.col("t") * 0.01)
+    e = Eof.fit(df, "t", ["c"], "value", modes=2)
+    assert e.maps().count() == 2 * 10_368 and e.variance_fractions().sum() == pytest.approx(1)
 
 
 def test_spans_are_pushed_to_the_scan(spark, tmp_path):
@@ -271,3 +301,95 @@ def test_netcdf_round_trip(spark, tmp_path):
     (tmp_path / "bad.nc").write_bytes(b"HDF5")
     with pytest.raises(ValueError):
         netcdf3.read_header(str(tmp_path / "bad.nc"))
+
+
+def test_settings_that_nothing_reads_are_errors(spark):
+    c = cube(spark, SOME)
+    ask = lambda op, **run: execute('[variable=[{uri:"collection:/g",name:"q:v1"}],operation=[' + op + "]]", lambda coll, name: c, **run)
+    for bad in ('{name:"c.max",input:"v1",axes:"t",colour:"red"}', '{name:"c.max",input:"v1",axes:"t",crs:"wgs"}', '{name:"c.max",input:"v1"}', '{name:"c.eDiff",input:"v1"}', '{name:"c.lowpass",input:"v1"}', '{name:"c.lowpass",input:"v1",groupBy:"monthofyear"}', '{name:"c.none",input:"v1"}', '{name:"c.write",input:"v1"}', '{name:"c.max",input:"v1",axes:"t",grid:"hexagonal"}'):
+        with pytest.raises(ValueError):
+            ask(bad)
+    with pytest.raises(ValueError):
+        execute('[variable=[{uri:"http://x/y",name:"q:v1"}]]', lambda coll, name: c)
+    with pytest.raises(ValueError):
+        execute('[domain=[{name:"d",lat:{start:1,end:2,system:"indices"}}],variable=[{uri:"collection:/g",name:"q:v1"},{uri:"collection:/h",name:"q:v2"}],operation=[{name:"c.eSum",input:"v1,v2",domain:"d"}]]', lambda coll, name: c)
+
+
+def test_several_outputs_and_their_names(spark):
+    c = cube(spark, [(t, y, 0, float((t * 7 + y * 3) % 5)) for t in range(8) for y in range(3)])
+    out = execute('[variable=[{uri:"collection:/g",name:"q:v1"}],operation=[{name:"ml.svd",input:"v1",modes:"2",id:"s"}]]', lambda coll, name: c)
+    assert set(out) == {"s.maps", "s.components", "s.fractions"} and out["s.maps"].count() == 6 and out["s.components"].count() == 16
+    stats = execute('[variable=[{uri:"collection:/g",name:"q:v1,q:v2"}],operation=[{name:"x.ensembleStats",input:"v1,v2",target:"v1",id:"e"},{name:"c.max",input:"e.std",axes:"tyx",id:"top"}]]', lambda coll, name: c)
+    assert stats["top"].first().value == 0.0
+
+
+def test_kernels_are_discovered(spark, tmp_path, monkeypatch):
+    (tmp_path / "ownkernels").mkdir()
+    (tmp_path / "ownkernels" / "__init__.py").write_text("")
+    (tmp_path / "ownkernels" / "more.py").write_text("from pyspark.sql import functions as F\nfrom gridloom.plans import kernels as K\nK.reducing('own.spread', 'Spread', lambda v: F.max(v) - F.min(v))\nK.combining('own.eHypot', 'Hypotenuse', F.hypot)\nK.macro('own.shifted', 'Shifted', lambda c, cfg: __import__('gridloom.operators.cube', fromlist=['x']).with_scalar(c, 'sum', float(cfg['by'])), ('by',))\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setenv("GRIDLOOM_KERNELS", "ownkernels")
+    try:
+        assert K.discovered() == ["own.ehypot", "own.shifted", "own.spread"]
+        c = cube(spark, [(0, 0, 0, 3.0), (1, 0, 0, 7.0)])
+        ask = lambda op: [r.value for r in next(iter(execute('[variable=[{uri:"collection:/g",name:"q:v1"}],operation=[' + op + "]]", lambda coll, name: c).values())).collect()]
+        assert ask('{name:"own.spread",input:"v1",axes:"t"}') == [4.0] and sorted(ask('{name:"own.shifted",input:"v1",by:1}')) == [4.0, 8.0]
+        assert K.describe("own.shifted")["settings"] == ["by"] and ("own", 3) in K.modules()
+    finally:
+        for name in ("own.ehypot", "own.shifted", "own.spread"):
+            K.REGISTRY.pop(name, None)
+
+
+@pytest.mark.parametrize("text,want", [("1996", "1996-01-01 00:00:00"), ("1996-03", "1996-03-01 00:00:00"), ("1850-01-30T00:00:00Z", "1850-01-30 00:00:00"), ("1990-01-01T02:00:00+02:00", "1990-01-01 00:00:00"), ("5 January 1990", "1990-01-05 00:00:00"), ("Jan 1990", "1990-01-01 00:00:00")])
+def test_times_of_requests(text, want):
+    assert R.instant(text) == want
+
+
+def test_time_instants(spark):
+    df = spark.createDataFrame([("m", k, datetime(2000, k + 1, 1), datetime(2000, k + 2, 1), float(k)) for k in range(4)], "member string, t int, time timestamp_ntz, time_end timestamp_ntz, value double")
+    c = Cube(df, ("t",), ("member",), ("time",))
+    at = lambda cube, *span: sorted(r.t for r in C.subset(cube, [Span("t", *span, "values")]).df.collect())
+    assert at(c, "2000-02-20", None) == [1] and at(c, "1999-01-01", None) == [0] and at(c, "2000-02-01", "2000-04-01") == [1, 2]
+    ended = Cube(df, ("t",), ("member",), ("time", "time_end"))
+    assert at(ended, "2000-02-20", None) == [1] and at(ended, "1999-01-01", None) == []
+
+
+def test_calendars(spark):
+    day = 86_400_000
+    df = spark.createDataFrame([(59 * day,), (-1,)], "ms bigint")
+    bins = lambda name, cal: [r[0] for r in df.select(calendar_bin(name, F.col("ms"), calendar=cal)).collect()]
+    assert bins("monthOfYear", "360_day") == [2, 12] and bins("monthOfYear", "noleap") == [3, 12] and bins("year", "noleap") == [1970, 1969] and bins("dayOfYear", "360_day") == [60, 360]
+    with pytest.raises(ValueError):
+        calendar_bin("year", F.col("ms"), calendar="martian")
+
+
+def test_long_series_take_the_time_of_short_ones(spark):
+    import time
+
+    df = spark.range(16_000).select(F.lit("m").alias("member"), F.col("id").cast("int").alias("t"), F.sin("id").alias("value"))
+    began = time.time()
+    assert C.lowpass(Cube(df, ("t",), ("member",)), 6).df.agg(F.count("value")).first()[0] == 16_000
+    points = df.select("member", F.col("t").cast("double").alias("p"), F.col("value").alias("v"))
+    assert C.converted(points.where("p % 7 = 0"), points, ["member"], "p", "v", width=1000.0).count() == 16_000
+    assert time.time() - began < 20
+
+
+def test_records(spark):
+    from gridloom.operators import records
+
+    df = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3, "c": 4}), (None, {"x": 1})], "l map<string,int>, r map<string,int>")
+    assert [r[0] for r in df.select(records.elements_merged(F.col("l"), F.col("r"))).collect()] == [{"a": 1, "b": 3, "c": 4}, {"x": 1}]
+    assert df.select(records.elements_renamed(F.col("l"), {"a": "b"})).first()[0] == {"b": 2}
+    a, b = records.Section.parse("Section{0,2:4,4}"), records.Section((2, 0), (5, 3))
+    assert str(a.union(b)) == "Section{0,0:7,6}" and a.intersection(b) == records.Section((2, 2), (2, 1)) and a.intersection(records.Section((9, 9), (1, 1))) is None
+    assert records.merge_metadata("sum", [{"n": "x", "roi": str(a), "k": "1"}, {"n": "y", "roi": str(b)}]) == {"n": "sum(x,y)", "roi": "Section{0,0:7,6}", "k": "1"}
+    m = spark.createDataFrame([({"n": "x", "roi": str(a)}, {"n": "y", "roi": str(b)})], "l map<string,string>, r map<string,string>")
+    assert m.select(records.metadata_merged("sum", F.col("l"), F.col("r"))).first()[0] == {"n": "sum(x,y)", "roi": "Section{0,0:7,6}"}
+
+
+def test_small_texts():
+    from gridloom.functions.calendar import duration_millis
+    from gridloom.functions.text import parse_size, uid, unquoted
+
+    assert parse_size("200M") == 200 << 20 and parse_size("1.5kb") == 1536 and unquoted(' "\'a\'" ') == "a" and uid("Tas:", "V 1", "") == "tas-v1"
+    assert duration_millis("6 hours") == 21_600_000 and duration_millis("day") == 86_400_000 and duration_millis("2 months") == pytest.approx(2 * 365.2425 / 12 * 86_400_000)
