@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from datetime import datetime, timezone
+from functools import lru_cache, reduce
+from zoneinfo import ZoneInfo, available_timezones
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.blocks import join_same
+
 #: Abbreviations and their usual offsets in minutes.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "Z": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180,
@@ -121,22 +128,83 @@ def zones_known(df: DataFrame) -> list[str]:
     return sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
 
 
-def estimated_zones(df: DataFrame, group: str, candidates: list[str], expected: str, received: str, slack_ms: int = 1000) -> DataFrame:
-    """``(group, zone, violations, rows)``: for each group the offset history that its zoneless texts violate least.
-
-    ``df`` is the output of ``parsed`` with ``expected``, the instant (ms) that the row's place in its sequence asks for, and
-    ``received``, when it arrived (ms). A text read in a zone violates if it misses the expected instant by more than ``slack_ms``,
-    names no instant there, or lies after the arrival. Rows are pre-aggregated per group and zone, so a hot group is no hot key.
-    Ties go to the alphabetically first zone. Groups without zoneless texts do not appear.
+#: Years in which offset histories are compared, and the share that the violations of a group's siblings have beside its own.
+YEARS, SIBLINGS = (1990, 2036), 0.1
+
+
+@lru_cache(maxsize=1)
+def offset_histories() -> tuple[tuple[tuple[str, ...], np.ndarray, np.ndarray], ...]:
+    """``(zone names, from when (UTC ms), offset in minutes)``: the distinct histories of offsets of all zones in ``YEARS``, some 240. Changes are found by halving four weeks to a quarter of an hour."""
+    first, last = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in YEARS)
+    found: dict[tuple, list[str]] = {}
+    for name in sorted(available_timezones()):
+        zone = ZoneInfo(name)
+        offset = lambda t: round(datetime.fromtimestamp(t, zone).utcoffset().total_seconds() / 60)  # noqa: B023, E731
+        since, offsets, t = [first], [offset(first)], first
+        while t < last:
+            end = min(t + 28 * 86_400, last)
+            while offset(end) != offsets[-1]:
+                low, high = t, end
+                while high - low > 900:
+                    middle = (low + high) // 1800 * 900
+                    low, high = (middle, high) if offset(middle) == offsets[-1] else (low, middle)
+                since.append(high)
+                offsets.append(offset(high))
+                t = high
+            t = end
+        found.setdefault((tuple(since), tuple(offsets)), []).append(name)
+    return tuple((tuple(names), np.array(since, np.int64) * 1000, np.array(offsets)) for (since, offsets), names in found.items())
+
+
+def history_of_zones(spark: SparkSession) -> DataFrame:
+    """``(zone, history)``: the number of each zone's offset history."""
+    return spark.createDataFrame([(z, k) for k, (names, _, _) in enumerate(offset_histories()) for z in names], "zone string, history int")
+
+
+def estimated_zones(df: DataFrame, group: str, sibling: str, preferred: list[str], expected: str, slack_ms: int = 1000) -> DataFrame:
+    """``(group, zone, history, violations, rows)``: for each group the offset history that its zoneless texts violate least.
+
+    ``df`` is the output of ``parsed`` with ``expected``, the instant (ms) that the row's place in its sequence, or another delivery of
+    its content, asks for. A zoneless text violates a history if the clock it shows isn't that history's at the expected instant, give or
+    take ``slack_ms``. All offset histories of the zone database compete. Groups with the same ``sibling`` (collections of a site)
+    lend each other a share of their violations, so one with few texts, or none, gets the history of its siblings. Ties go to
+    histories of zones in ``preferred``, then to the alphabetically first. Rows are counted per quarter of an hour and implied offset
+    first, so a hot group is no hot key. A null group or sibling is one of its own; siblings without any such text do not appear.
     """
-    known = zones_known(df)
-    bare = df.where("_local is not null and _offset is null and _zone is null").withColumn("_try", F.explode(F.array(*[F.lit(z) for z in sorted(candidates)])))
-    bare = _held(bare, _at=unambiguous(F.col("_local"), F.col("_try"), known))
-    at = F.col("_at")
-    wrong = at.isNull() | F.coalesce(F.abs(at - F.col(expected)) > slack_ms, F.lit(False)) | F.coalesce(at > F.col(received), F.lit(False))
-    votes = bare.groupBy(group, "_try").agg(F.sum(wrong.cast("long")).alias("violations"), F.count(F.lit(1)).alias("rows"))
-    best = votes.groupBy(group).agg(F.min(F.struct("violations", F.col("_try").alias("zone"), "rows")).alias("b"))
-    return best.select(group, "b.zone", "b.violations", "b.rows")
+    gap = F.col("_local") - F.col(expected)
+    minutes = F.round(gap / 60_000)
+    bare = df.where(F.col("_local").isNotNull() & F.col("_offset").isNull() & F.col("_zone").isNull() & F.col(expected).isNotNull())
+    bare = bare.select(F.col(group).alias("_g"), F.col(sibling).alias("_s"), (F.floor(F.col(expected) / 900_000) * 900_000).alias("at"), F.when(F.abs(gap - minutes * 60_000) <= slack_ms, minutes).otherwise(10**6).cast("int").alias("offset"))
+    votes = bare.groupBy("_g", "_s", "at", "offset").agg(F.count(F.lit(1)).alias("n"))
+    sent = df.sparkSession.sparkContext.broadcast([(since, offsets) for _, since, offsets in offset_histories()])
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = pa.array(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), pa.list_(pa.string())).to_pylist()
+            names = sorted({tuple(k) for k in keys}, key=repr)
+            place = {k: i for i, k in enumerate(names)}
+            own = np.array([place[tuple(k)] for k in keys])
+            at, offset, n = (b.column(k).to_numpy() for k in (2, 3, 4))
+            total = np.bincount(own, n, len(names))
+            for h, (since, offsets) in enumerate(sent.value):
+                shown = offsets[np.clip(np.searchsorted(since, at, "right") - 1, 0, None)]
+                bad = np.bincount(own, np.where(shown != offset, n, 0), len(names))
+                yield pa.RecordBatch.from_pydict({"_g": pa.array([k[0] for k in names], pa.string()), "_s": pa.array([k[1] for k in names], pa.string()), "history": pa.array([h] * len(names), pa.int32()), "bad": pa.array(bad.astype(np.int64)), "n": pa.array(total.astype(np.int64))})
+
+    part = votes.select(F.col("_g").cast("string"), F.col("_s").cast("string"), "at", "offset", "n").mapInArrow(tried, "_g string, _s string, history int, bad bigint, n bigint")
+    cost = part.groupBy("_g", "_s", "history").agg(F.sum("bad").alias("violations"), F.sum("n").alias("rows")).checkpoint()
+    shared = cost.groupBy("_s", "history").agg(F.sum("violations").alias("_bad"))
+    groups = df.select(F.col(group).cast("string").alias("_g"), F.col(sibling).cast("string").alias("_s")).distinct()
+    every = join_same(groups, shared, ["_s"])
+    every = join_same(every, cost.select("_g", "_s", "history", "violations", "rows"), ["_g", "_s", "history"], "left").fillna(0, ["violations", "rows"])
+    wanted = set(preferred)
+    names = [(k, min([z for z in zones if z in wanted] or zones), not wanted & set(zones)) for k, (zones, _, _) in enumerate(offset_histories())]
+    known = df.sparkSession.createDataFrame(names, "history int, zone string, other boolean")
+    order = F.struct((F.col("violations") + SIBLINGS * F.col("_bad")).alias("cost"), "other", "zone", "history", "violations", "rows")
+    best = every.join(F.broadcast(known), "history").groupBy("_g").agg(F.min(order).alias("b"))
+    return best.select(F.col("_g").alias(group), "b.zone", "b.history", "b.violations", "b.rows")
 
 
 def resolved(df: DataFrame, site_zone: str, name: str) -> DataFrame:

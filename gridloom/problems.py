@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.drift import change_log, changes, header_items, numbered, union_schema
 from gridloom.operators.harmonise import converted_named, harmonised
 from gridloom.operators.intervals import periods_and_gaps
 from gridloom.operators.spikes import bad_readings
-from gridloom.operators.times import estimated_zones, parsed, resolved
-from gridloom.sources.tables import epoch_millis, table
+from gridloom.operators.times import estimated_zones, history_of_zones, parsed, resolved
+from gridloom.sources.tables import epoch_millis, shared_checkpoints, table, written
+
+
+#: Collections up to which the table of their zones is sent to all tasks.
+FEW_ZONES = 50_000
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -104,30 +108,55 @@ from log join o on o.agg_id = log.agg_id and o.k = log.k"""
 
 
 def _stamps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The parsed texts of both tables, with the instant that a file's place in its aggregation asks for; and the estimated zone of each collection."""
-    sites = table(spark, d, "archive_sites").groupBy("collection_id").agg(F.max("time_zone").alias("site_zone"), F.max("day_first").alias("site_first"))
-    files = table(spark, d, "file_inputs").select(F.lit("file_inputs").alias("src_table"), F.col("input_id").alias("rec_id"), "collection_id", F.col("start_time").alias("stamp"), "calendar_name", "agg_id", (F.col("first_row_index").cast("long") * F.col("time_step_ms")).alias("_ahead"), epoch_millis(F.col("received_at")).alias("received"))
-    records = table(spark, d, "variable_records").select(F.lit("variable_records").alias("src_table"), F.col("record_no").alias("rec_id"), "collection_id", F.col("time_stamp").alias("stamp"))
+    """The parsed texts of both tables; and for each collection the zone estimated, the one stated, and whether their clocks agree.
+
+    What a zoneless text should say is known where a file's place in its aggregation gives its instant, and where the content of a
+    record was delivered again under a text with a zone.
+    """
+    shared_checkpoints(spark)
+    sites = table(spark, d, "archive_sites").groupBy("collection_id").agg(F.max("time_zone").alias("site_zone"), F.max("day_first").alias("site_first"), F.max("site_name").alias("site_name"))
+    files = table(spark, d, "file_inputs").select(F.lit("file_inputs").alias("src_table"), F.col("input_id").alias("rec_id"), "collection_id", F.col("start_time").alias("stamp"), "calendar_name", F.col("agg_id").alias("series"), (F.col("first_row_index").cast("long") * F.col("time_step_ms")).alias("_ahead"))
+    content = F.hex(F.xxhash64("collection_id", "var_name", "grid_file_path", "readings"))
+    records = table(spark, d, "variable_records").select(F.lit("variable_records").alias("src_table"), F.col("record_no").alias("rec_id"), "collection_id", F.col("time_stamp").alias("stamp"), content.alias("series"), F.lit(0).cast("long").alias("_ahead"))
     texts = files.unionByName(records, allowMissingColumns=True).join(sites, "collection_id", "left")
-    stamps = parsed(texts, "stamp", "calendar_name", "site_first")
-    sure = F.coalesce("_fixed", F.when(F.col("_offset").isNotNull(), F.col("_local") - F.col("_offset") * 60_000))
-    anchors = stamps.where("agg_id is not null").groupBy("agg_id").agg(F.percentile_approx(sure - F.col("_ahead"), 0.5, 1000).alias("_anchor"))
-    placed = stamps.where("agg_id is not null").join(anchors, "agg_id", "left").withColumn("expected", F.col("_anchor") + F.col("_ahead"))
-    candidates = [r.time_zone for r in table(spark, d, "archive_sites").select("time_zone").distinct().collect() if r.time_zone]
-    return stamps, estimated_zones(placed, "collection_id", candidates, "expected", "received").withColumnRenamed("zone", "estimated_zone")
+    stamps = written(parsed(texts, "stamp", "calendar_name", "site_first"))
+    sure = F.coalesce("_fixed", F.when(F.col("_offset").isNotNull(), F.col("_local") - F.col("_offset") * 60_000)) - F.col("_ahead")
+    placed = stamps.where("series is not null")
+    anchors = placed.groupBy("src_table", "series").agg(F.percentile_approx(sure, 0.5, 1000).alias("_anchor"), (F.min(sure) == F.max(sure)).alias("_one"))
+    anchors = anchors.where("_anchor is not null and (src_table = 'file_inputs' or _one)")
+    placed = placed.join(anchors, ["src_table", "series"], "left").withColumn("expected", F.col("_anchor") + F.col("_ahead"))
+    named = [r.time_zone for r in table(spark, d, "archive_sites").select("time_zone").distinct().collect() if r.time_zone]
+    found = estimated_zones(placed, "collection_id", "site_name", named, "expected").withColumnRenamed("zone", "estimated_zone")
+    stated = sites.select("collection_id", "site_zone").join(F.broadcast(history_of_zones(spark)), F.col("site_zone") == F.col("zone"), "left").select("collection_id", "site_zone", F.col("history").alias("_stated"))
+    zones = stated.join(found, "collection_id", "full").withColumn("differs", F.col("history") != F.col("_stated")).checkpoint()
+    return stamps, zones
+
+
+def _instants(stamps: DataFrame, zones: DataFrame, zone: Column) -> DataFrame:
+    homes = zones.select("collection_id", zone.alias("_home"))
+    return resolved(stamps.drop("site_zone").join(F.broadcast(homes) if homes.count() <= FEW_ZONES else homes, "collection_id", "left"), "_home", "utc_ms").where("utc_ms is not null").select("src_table", "rec_id", "utc_ms").distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The UTC instant of each text that determines one. A text without zone is read in the home zone that archive_sites states for its collection; the estimated zone serves only collections without a stated one."""
+    """The UTC instant of each text that determines one.
+
+    A text without zone is read in the zone estimated for its collection. The zone that archive_sites states is the check after it:
+    where the clocks of the two differ, or there is no estimate, the stated one counts, and p2_zones shows the difference.
+    """
+    stamps, zones = _stamps(spark, d)
+    return _instants(stamps, zones, F.when(~F.col("differs"), F.col("estimated_zone")).otherwise(F.coalesce("site_zone", "estimated_zone")))
+
+
+def p2_alone(spark: SparkSession, d: str) -> DataFrame:
+    """As p2_found by the estimated zones alone, without a look at the stated ones."""
     stamps, zones = _stamps(spark, d)
-    joined = stamps.join(zones.select("collection_id", "estimated_zone"), "collection_id", "left").withColumn("_home", F.coalesce("site_zone", "estimated_zone"))
-    return resolved(joined, "_home", "utc_ms").where("utc_ms is not null").select("src_table", "rec_id", "utc_ms").distinct()
+    return _instants(stamps, zones, F.col("estimated_zone"))
 
 
 def p2_zones(spark: SparkSession, d: str) -> DataFrame:
-    """The zone estimated for each collection from its files' order and arrival, beside the one stated, and whether they differ; null where there is no estimate."""
+    """The zone estimated for each collection, beside the one stated, how many texts it was tried on and how many violate it, and whether the clocks of the two ever differ; null where there is no estimate."""
     _, zones = _stamps(spark, d)
-    return table(spark, d, "archive_sites").select("collection_id", "time_zone").join(zones, "collection_id", "left").withColumn("differs", F.col("estimated_zone") != F.col("time_zone"))
+    return table(spark, d, "archive_sites").select("collection_id", "time_zone").join(zones.drop("site_zone", "_stated", "history"), "collection_id", "left")
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:

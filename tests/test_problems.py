@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime
 
@@ -117,15 +118,38 @@ def test_zone_is_found_from_order_and_arrival(spark):
     for k in range(40):
         t = datetime(2018, 1 + k // 4, 3 + k % 4, 5)
         data.append((k, "g", t.strftime("%Y-%m-%d %H:%M"), None, False, int((t - datetime(1970, 1, 1)).total_seconds() * 1000) - 9 * 3_600_000))
-    df = spark.createDataFrame(data, "i int, g string, s string, c string, f boolean, expected bigint").withColumn("received", F.lit(4_000_000_000_000))
-    out = times.estimated_zones(times.parsed(df, "s", "c", "f"), "g", ["Europe/Berlin", "Asia/Tokyo", "UTC"], "expected", "received").collect()
-    assert [(r.zone, r.violations, r.rows) for r in out] == [("Asia/Tokyo", 0, 40)]
-    assert times.estimated_zones(times.parsed(df.limit(0), "s", "c", "f"), "g", ["UTC"], "expected", "received").count() == 0
+    data += [(100 + k, g, "2018-01-01 00:00", None, False, None) for k, g in enumerate(("few", None))]
+    df = spark.createDataFrame(data, "i int, g string, s string, c string, f boolean, expected bigint").withColumn("site", F.lit("x"))
+    out = {r.g: r for r in times.estimated_zones(times.parsed(df, "s", "c", "f"), "g", "site", ["Europe/Berlin", "Asia/Tokyo", "UTC"], "expected").collect()}
+    assert (out["g"].zone, out["g"].violations, out["g"].rows) == ("Asia/Tokyo", 0, 40)
+    # no texts of their own: the siblings' history
+    assert (out["few"].zone, out["few"].rows) == ("Asia/Tokyo", 0) and out[None].zone == "Asia/Tokyo"
+    assert times.estimated_zones(times.parsed(df.limit(0), "s", "c", "f"), "g", "site", ["UTC"], "expected").count() == 0
+
+
+def test_offset_histories():
+    names = {z: k for k, (zones, _, _) in enumerate(times.offset_histories()) for z in zones}
+    assert names["Europe/Berlin"] == names["Europe/Paris"] != names["Europe/Lisbon"] and names["America/New_York"] != names["America/Chicago"]
+    _, since, offsets = times.offset_histories()[names["Europe/Berlin"]]
+    at = int(datetime(2024, 3, 31, 1).timestamp() * 1000)
+    assert at in since and offsets[list(since).index(at)] == 120
 
 
 def test_zones_flag_where_the_estimate_differs(spark):
     out = problems.p2_zones(spark, "/root/testdata/sf0.001").collect()
-    assert len(out) == 24 and all(r.differs == (None if r.estimated_zone is None else r.estimated_zone != r.time_zone) for r in out)
+    assert len(out) == 24 and all((r.differs is None) == (r.estimated_zone is None) for r in out)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_the_estimate_alone_gives_the_instants(spark):
+    found, alone = ({tuple(r) for r in f(spark, "/root/testdata/sf0.01").collect()} for f in (problems.p2_found, problems.p2_alone))
+    assert len(found & alone) >= 0.97 * len(found) and len(found & alone) >= 0.97 * len(alone)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_units_of_hidden_names_are_predicted(spark):
+    r = problems.p4_hidden(spark, "/root/testdata/sf0.01").first()
+    assert r.hidden == r.converted + r.review and r.converted > 0.5 * r.hidden and r.right > 0.97 * r.converted
 
 
 # 3 spikes
