@@ -15,13 +15,19 @@ from gridloom.functions.units import parse_unit
 from gridloom.sources.tables import shared_checkpoints
 
 #: Rows of one source and element per block, and readings of each cell that a block sees before and after its own.
-BLOCK_ROWS, HALO_ROWS = 4096, 160
+BLOCK_ROWS, HALO_ROWS = 4096, 400
 #: Parts that a block too large is cut into at once, and tables of cuts up to which they are broadcast.
 CUTS, FEW = 64, 50_000
+#: Readings around each one whose deviations give the noise.
+WINDOW = 161
 #: Half width of the rolling median, equal readings that make a run stuck, and the scores beyond which a reading is a jump.
-HALF, STUCK, NEAR, FAR, RAIN = 4, 10, 5.0, 11.3, 180.0
+HALF, STUCK, NEAR, FAR, RAIN = 4, 10, 3.0, 11.3, 180.0
 #: A reading this far from the rolling median is a jump already at the second distance from the line, as at the ends of a series.
 CLEAR = (14.0, 8.5)
+#: A marginal candidate, one no further than the second number from the median, that is this near one of two levels belongs to it.
+LEVEL, MARGINAL = 5.0, 8.0
+#: Readings beside its own that a block must see for its medians and deviations to be those of the uncut series.
+REACH = 2 * WINDOW + 4 * HALF
 #: The variables' kinds; a kind sets the physical bounds.
 TEMPERATURE, PRESSURE, POSITIVE, SHARE, RESTING, BURSTS = ["tas", "tos"], ["ps"], ["huss", "pr"], ["hur", "siconc"], ["pr", "siconc"], ["pr"]
 
@@ -60,13 +66,33 @@ def _run_lengths(x: np.ndarray, seg: np.ndarray) -> np.ndarray:
     return np.repeat(np.diff(edge), np.diff(edge))
 
 
+def _rolling(values: np.ndarray, use: np.ndarray, seg: np.ndarray, n: int, least: int) -> np.ndarray:
+    """For each reading the median of the ``WINDOW`` used values of its segment around it; at the ends of a segment the first or last ones; NaN where a segment has fewer than ``least``."""
+    v, own = values[use].astype(np.float32), seg[use]
+    count = np.bincount(own, minlength=n)
+    first = np.cumsum(count) - count
+    out = _middle(v.astype(np.float64), own, n, least)[seg]
+    long = (count > WINDOW)[seg]
+    if long.any():
+        here = np.cumsum(use)[long] - 1 - WINDOW // 2
+        at = np.clip(here, first[seg[long]], (first + count)[seg[long]] - WINDOW)
+        starts, place = np.unique(at, return_inverse=True)
+        view = np.lib.stride_tricks.sliding_window_view(v, WINDOW)
+        middles = np.empty(len(starts))
+        for lo in range(0, len(starts), 8192):
+            middles[lo : lo + 8192] = np.partition(view[starts[lo : lo + 8192]], WINDOW // 2, axis=1)[:, WINDOW // 2]
+        out[long] = middles[place]
+    return out
+
+
 def jumps(x: np.ndarray, seg: np.ndarray, n: int, still: np.ndarray, bursts: np.ndarray) -> np.ndarray:
     """Which readings, in order of time within ``n`` segments, are jumps.
 
-    A Hampel filter: the distance from the rolling median of nine readings, in units of the median absolute difference of successive
-    readings. Candidates beyond ``NEAR`` must also lie beyond ``FAR`` noise deviations from the line between their nearest readings
-    that are no candidates (less if clear of the median), so that season, swells and changes of level pass; of ``bursts`` (rain) only those beyond ``RAIN`` are
-    jumps. ``still`` marks stuck readings, which say nothing about noise.
+    A Hampel filter: the distance of a reading from the rolling median of nine readings, in units of the rolling median of such
+    distances, the absolute deviations of the ``WINDOW`` readings around it. Candidates beyond ``NEAR`` deviations must also lie beyond
+    ``FAR`` of the deviations that the readings around have from their neighbours' line, measured from the line between the nearest
+    readings that are no candidates (less if clear of the median), so that season, swells and changes of level pass; of ``bursts``
+    (rain) only candidates beyond ``RAIN`` are jumps. ``still`` marks stuck readings, which like distances of zero say nothing about noise.
     """
     if not len(x):
         return np.zeros(0, bool)
@@ -79,11 +105,9 @@ def jumps(x: np.ndarray, seg: np.ndarray, n: int, still: np.ndarray, bursts: np.
     wide.sort(axis=1)
     seen = (~np.isnan(wide)).sum(1)
     distance = np.abs(x - (wide[idx, (seen - 1) // 2] + wide[idx, seen // 2]) / 2)
-    step = np.abs(np.diff(x))
-    use = (seg[1:] == seg[:-1]) & (step > 0) & ~still[1:] & ~still[:-1]
-    noise = 1.4826 / np.sqrt(2) * _middle(step[use], seg[1:][use], n, 8)
+    noise = 1.4826 * _rolling(distance, (distance > 0) & ~still, seg, n, 8)
     with np.errstate(divide="ignore", invalid="ignore"):
-        near = np.nan_to_num(distance / noise[seg])
+        near = np.nan_to_num(distance / noise)
     good = near < NEAR
     before = np.r_[-1, np.maximum.accumulate(np.where(good, idx, -1))[:-1]]
     after = np.r_[np.minimum.accumulate(np.where(good, idx, len(x))[::-1])[::-1][1:], len(x)]
@@ -92,12 +116,16 @@ def jumps(x: np.ndarray, seg: np.ndarray, n: int, still: np.ndarray, bursts: np.
     lv, rv = x[left], x[right]
     line = np.where(left < 0, rv, np.where(right < 0, lv, lv + (rv - lv) * (idx - left) / np.maximum(right - left, 1)))
     line = np.where((left < 0) & (right < 0), x, line)
-    bend = np.abs(x[1:-1] - (x[:-2] + x[2:]) / 2)
-    use = (seg[2:] == seg[:-2]) & good[1:-1] & good[:-2] & good[2:] & (bend > 0) & ~still[1:-1]
-    fine = 1.4826 * _middle(bend[use], seg[1:-1][use], n, 8)
+    bend = np.r_[0.0, np.abs(x[1:-1] - (x[:-2] + x[2:]) / 2), 0.0] if len(x) > 2 else np.zeros(len(x))
+    use = np.zeros(len(x), bool)
+    use[1:-1] = (seg[2:] == seg[:-2]) & good[1:-1] & good[:-2] & good[2:] & (bend[1:-1] > 0) & ~still[1:-1]
+    fine = 1.4826 * _rolling(bend, use, seg, n, 8)
     fine = np.where(np.isnan(fine), noise, fine)
     with np.errstate(divide="ignore", invalid="ignore"):
-        far = np.nan_to_num(np.abs(x - line) / fine[seg])
+        # between two levels a reading that is near one of them is no jump
+        at_level = (near < MARGINAL) & (np.minimum(np.abs(x - lv), np.abs(x - rv)) < LEVEL * fine) & (left >= 0) & (right >= 0) & (np.abs(rv - lv) > FAR * fine)
+        away = np.where(at_level, 0.0, np.abs(x - line))
+        far = np.nan_to_num(away / fine)
     return np.where(bursts[seg], near > RAIN, ~good & ((far > FAR) | (near > CLEAR[0]) & (far > CLEAR[1])))
 
 
@@ -294,12 +322,13 @@ def bad_readings(df: DataFrame, unit: Column, block_rows: int = BLOCK_ROWS, halo
     """``(record_id, element_key, cell_no, reason)`` of each bad reading of ``df`` (record_id, source_id, t in ms, element_key, spec struct<missing, data>, and what ``unit`` needs).
 
     Each element of a source is cut into blocks of about ``block_rows`` rows along time, so a source with a third of all rows spreads
-    over the cluster. A block also sees, of each cell, the ``halo_rows`` plausible readings and the nine readings of any kind next to it
+    over the cluster. A block also sees, of each cell, the ``halo_rows`` (at least ``REACH``) plausible readings and the nine readings of any kind next to it
     on either side, however far off they lie and whatever number of blocks lies between: runs of equal readings, medians and lines are
-    those of the uncut series, and the noise is that of the block and what it sees. Readings that are null, NaN or the declared missing value are never
+    those of the uncut series, and so is the noise, which comes from the readings around each one. Readings that are null, NaN or the declared missing value are never
     bad. Rows with a null time or source form a series of their own, in order of record_id for a null time. Reasons: impossible, stuck, jump.
     """
     shared_checkpoints(df.sparkSession)
+    halo_rows = max(halo_rows, REACH)
     rows = df.select("record_id", F.coalesce("source_id", F.lit("")).alias("source"), F.coalesce("t", F.lit(-(1 << 52))).alias("t"), F.coalesce("element_key", F.lit("")).alias("element"), unit.alias("unit"), F.coalesce("spec.missing", F.lit(float("nan"))).cast("float").alias("missing"), F.coalesce("spec.data", F.array().cast("array<float>")).alias("data"))
     placed = _blocks(rows, block_rows)
     own = (rows.withColumn("block", F.lit(0).cast("long")) if placed is None else placed.drop("split")).withColumn("core", F.lit(True))
