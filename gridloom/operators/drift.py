@@ -11,6 +11,7 @@ from itertools import zip_longest
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.operators.blocks import ranked
 from gridloom.sources.tables import shared_checkpoints, written
@@ -394,39 +395,141 @@ def union_schema(files: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-#: Arrow type names and the lattice's names.
-ARROW = {"bool": "bool", "int8": "byte", "int16": "short", "int32": "int", "int64": "long", "float": "float", "double": "double"}
-SQL = {"bool": "boolean", "byte": "tinyint", "short": "smallint", "int": "int", "long": "bigint", "float": "float", "double": "double", "string": "string"}
+#: Integer types from narrow to wide, with the digits of their decimal form.
+INTEGERS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
+
+
+def spark_type(t: pa.DataType) -> T.DataType:
+    """The type under which Spark reads an Arrow or Parquet type; unsigned integers get the next wider signed one."""
+    plain = {
+        "null": T.NullType(), "bool": T.BooleanType(), "int8": T.ByteType(), "int16": T.ShortType(), "int32": T.IntegerType(), "int64": T.LongType(), "uint8": T.ShortType(), "uint16": T.IntegerType(), "uint32": T.LongType(), "uint64": T.DecimalType(20, 0),
+        "halffloat": T.FloatType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "large_string": T.StringType(), "binary": T.BinaryType(), "large_binary": T.BinaryType(), "date32[day]": T.DateType(), "date64[ms]": T.DateType(),
+    }
+    if str(t) in plain:
+        return plain[str(t)]
+    if pa.types.is_decimal(t):
+        return T.DecimalType(t.precision, t.scale)
+    if pa.types.is_timestamp(t):
+        return T.TimestampType() if t.tz else T.TimestampNTZType()
+    if pa.types.is_dictionary(t):
+        return spark_type(t.value_type)
+    if pa.types.is_fixed_size_binary(t):
+        return T.BinaryType()
+    if pa.types.is_list(t) or pa.types.is_large_list(t) or pa.types.is_fixed_size_list(t):
+        return T.ArrayType(spark_type(t.value_type))
+    if pa.types.is_map(t):
+        return T.MapType(spark_type(t.key_type), spark_type(t.item_type))
+    if pa.types.is_struct(t):
+        return T.StructType([T.StructField(f.name, spark_type(f.type)) for f in t])
+    return T.StringType()
+
+
+def joined(a: T.DataType | None, b: T.DataType | None) -> T.DataType:
+    """The join of two types in the promotion lattice, in which no value is lost.
+
+    Null lies below all. Booleans lie below integers, these below each other by width and below decimals with as many digits; long and
+    int meet float in double, decimals and floating point numbers meet in double, dates lie below timestamps, strings below binary.
+    Lists and maps join their parts, structs their fields by name. What has no other join meets in string.
+    """
+    a, b = (T.NullType() if x is None else x for x in (a, b))
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    kinds = {type(a), type(b)}
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(joined(a.elementType, b.elementType))
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        return T.MapType(joined(a.keyType, b.keyType), joined(a.valueType, b.valueType))
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        names = [*a.names, *[n for n in b.names if n not in a.names]]
+        return T.StructType([T.StructField(n, joined(a[n].dataType if n in a.names else None, b[n].dataType if n in b.names else None)) for n in names])
+    if kinds <= {T.BooleanType, *INTEGERS}:
+        order = [T.BooleanType, *INTEGERS]
+        return max((a, b), key=lambda t: order.index(type(t)))
+    if T.DecimalType in kinds and kinds <= {T.DecimalType, *INTEGERS}:
+        parts = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (INTEGERS[type(t)], 0) for t in (a, b)]
+        whole, scale = max(p[0] for p in parts), max(p[1] for p in parts)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
+    if kinds <= {T.BooleanType, T.ByteType, T.ShortType, T.FloatType}:
+        return T.FloatType()
+    if kinds <= {T.BooleanType, *INTEGERS, T.FloatType, T.DoubleType, T.DecimalType}:
+        return T.DoubleType()
+    if kinds <= {T.DateType, T.TimestampNTZType, T.TimestampType}:
+        return T.TimestampType() if T.TimestampType in kinds else T.TimestampNTZType()
+    if kinds == {T.StringType, T.BinaryType}:
+        return T.BinaryType()
+    return T.StringType()
+
+
+def _cast(c: Column, own: T.DataType, to: T.DataType) -> Column:
+    """``c`` as a value of a wider type of the lattice; fields of structs go by their names."""
+    if own == to:
+        return c
+    if isinstance(to, T.StructType) and isinstance(own, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[(_cast(c[f.name], own[f.name].dataType, f.dataType) if f.name in own.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in to.fields]))
+    if isinstance(to, T.ArrayType) and isinstance(own, T.ArrayType):
+        return F.transform(c, lambda x: _cast(x, own.elementType, to.elementType))
+    if isinstance(to, T.MapType) and isinstance(own, T.MapType):
+        pairs = F.transform(F.map_entries(c), lambda e: F.struct(_cast(e["key"], own.keyType, to.keyType).alias("key"), _cast(e["value"], own.valueType, to.valueType).alias("value")))
+        return F.map_from_entries(pairs)
+    return c.cast(to)
+
+
+def _footer(path: str) -> pa.Schema:
+    """The schema in a file's footer; paths with a scheme go to the file system that it names."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    if "://" not in path:
+        return pq.read_schema(path.removeprefix("file:"))
+    system, inner = fs.FileSystem.from_uri(path)
+    return pq.read_schema(inner, filesystem=system)
 
 
 def file_schemas(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """``(path, position, names, types)`` of Parquet files, whose footers are read in parallel by the executors; ``position`` is the place in ``paths``."""
+    """``(path, position, names, header)`` of Parquet files, whose footers are read in parallel by the executors; ``position`` is the place in ``paths``, ``header`` the schema as Spark reads it, in JSON."""
 
     def read(batches: Iterator) -> Iterator:
-        import pyarrow.parquet as pq
-
         for pdf in batches:
-            heads = [pq.read_schema(p) for p in pdf["path"]]
-            yield pdf.assign(names=[h.names for h in heads], types=[[ARROW.get(str(h.field(n).type), "string") for n in h.names] for h in heads])
+            heads = [_footer(p) for p in pdf["path"]]
+            yield pdf.assign(names=[h.names for h in heads], header=[T.StructType([T.StructField(f.name, spark_type(f.type)) for f in h]).json() for h in heads])
 
-    listed = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, position int")
-    return listed.repartition(max(1, min(len(list(paths)), spark.sparkContext.defaultParallelism * 4)), "path").mapInPandas(read, "path string, position int, names array<string>, types array<string>")
+    rows = [(p, i) for i, p in enumerate(paths)]
+    schema = "path string, position int, names array<string>, header string"
+    if not rows:
+        return spark.createDataFrame([], schema)
+    listed = spark.createDataFrame(rows, "path string, position int").repartition(min(len(rows), spark.sparkContext.defaultParallelism * 4), "path")
+    return listed.mapInPandas(read, schema)
 
 
-def read_union(spark: SparkSession, paths: list[str], renamed: dict[str, str] | None = None) -> DataFrame:
-    """All files as one table under the union of their schemas: a column missing from a file is null there, each value is cast to the joined type. ``renamed`` maps old column names to new ones. Distinct headers, not files, go to the driver."""
-    renamed = renamed or {}
-    heads = file_schemas(spark, paths).groupBy("names", "types").agg(F.collect_list("path").alias("paths")).collect()
-    if not heads:
+def read_union(spark: SparkSession, paths: Iterable[str], renamed: dict[str, str] | None = None) -> DataFrame:
+    """All files as one table under the union of their schemas, in order of first appearance: a column missing from a file is null there, each value is cast to the joined type. ``renamed`` maps old column names to new ones.
+
+    To the driver come the distinct headers, and for each of the paths that it gave the number of its header. Two columns of a file that
+    get one name are an error.
+    """
+    shared_checkpoints(spark)
+    renamed, paths = renamed or {}, list(paths)
+    heads = file_schemas(spark, paths).select("position", "header", F.xxhash64("header").alias("key")).checkpoint() if paths else None
+    if heads is None:
         raise ValueError("no files")
-    union: dict[str, str | None] = {}
-    for h in sorted(heads, key=lambda h: json.dumps([h.names, h.types])):
-        for n, t in zip(h.names, h.types):
-            n = renamed.get(n, n)
-            union[n] = promote(union.get(n), t)
+    texts = {r.key: r.header for r in heads.groupBy("key").agg(F.max("header").alias("header")).collect()}
+    files: dict[int, list[int]] = {}
+    for r in heads.select("position", "key").collect():
+        files.setdefault(r.key, []).append(r.position)
+    groups = sorted((sorted(positions), T.StructType.fromJson(json.loads(texts[key]))) for key, positions in files.items())
+    union: dict[str, T.DataType] = {}
+    for _, header in groups:
+        names = [renamed.get(n, n) for n in header.names]
+        if len(set(names)) < len(names):
+            raise ValueError("two columns of a file have one name")
+        for n, f in zip(names, header.fields):
+            union[n] = joined(union.get(n), f.dataType)
     parts = []
-    for h in heads:
-        part = spark.read.parquet(*h.paths)
-        own = {renamed.get(n, n): n for n in h.names}
-        parts.append(part.select(*[(F.col(f"`{own[n]}`") if n in own else F.lit(None)).cast(SQL[t]).alias(n) for n, t in union.items()]))
+    for positions, header in groups:
+        part = spark.read.parquet(*[paths[k] for k in positions])
+        own = {renamed.get(n, n): n for n in header.names}
+        values = {n: _cast(F.col(f"`{own[n]}`"), part.schema[own[n]].dataType, t) if n in own else F.lit(None).cast(t) for n, t in union.items()}
+        parts.append(part.select(*[c.alias(n) for n, c in values.items()]))
     return reduce(DataFrame.unionByName, parts)

@@ -269,15 +269,17 @@ def _zonal(cubes: list[Cube], cfg: dict, ctx: Context) -> Cube:
     return C.reduced(C.subset(stacked(cubes, ctx.inputs), [Span("t", season=str(cfg.get("season", "DJF")))]), "ave", "tx")
 
 
-@kernel("cube.write", "Write the input as a collection and pass it on", "1+", "restricted", ("name", "groupby"))
+@kernel("cube.write", "Write the input as a collection and pass it on", "1+", "restricted", ("collection", "groupby"))
 def _write(cubes: list[Cube], cfg: dict, ctx: Context) -> Cube:
+    """The collection is called by the setting ``collection``, or like the first input; with ``groupBy`` it has a folder for each calendar bin."""
     cube = stacked(cubes, ctx.inputs)
-    if ctx.catalog is None or "name" not in cfg:
-        raise ValueError("write needs a catalog and a name")
+    if ctx.catalog is None:
+        raise ValueError("write needs a catalog")
+    name = str(cfg.get("collection", ctx.inputs[0]))
     if group := cfg.get("groupby"):
-        ctx.catalog.save(str(cfg["name"]), replace(cube, df=cube.df.withColumn("bin", cube.bin_of(str(group))), tags=(*cube.tags, "bin")), "bin")
+        ctx.catalog.save(name, replace(cube, df=cube.df.withColumn("bin", cube.bin_of(str(group))), tags=(*cube.tags, "bin"), bins=str(group)), "bin")
     else:
-        ctx.catalog.save(str(cfg["name"]), cube)
+        ctx.catalog.save(name, cube)
     return cube
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.drift import change_log, changes, header_items, numbered, union_schema
+from gridloom.operators.drift import change_log, changes, header_items, numbered, read_union, union_schema
 from gridloom.operators.harmonise import converted_named, harmonised
 from gridloom.operators.intervals import periods_and_gaps
 from gridloom.operators.spikes import bad_readings
@@ -60,6 +60,21 @@ def p1_union(spark: SparkSession, d: str) -> DataFrame:
     return union_schema(table(spark, d, "file_inputs").select("agg_id", "file_index", "file_id"), _headers(spark, d))
 
 
+def p1_read_union(spark: SparkSession, d: str) -> DataFrame:
+    """The header tables as files whose schemas drifted: ids and names under names of their own, a shape that is text in some and a list in others, and columns that only some have, in one table."""
+    renamed = {"variable_id": "row_id", "coordinate_id": "row_id", "axis_id": "row_id", "metadata_id": "row_id", "var_name": "item_name", "coord_name": "item_name", "axis_name": "item_name", "name_and_dimensions": "item_name"}
+    names = ("file_variables", "file_coordinates", "file_axes", "variable_metadata")
+    return read_union(spark, [f"{d}/{n}.parquet" for n in names], renamed).select("row_id", "file_id", "collection_id", "item_name", "units", "shape", "dims", "dtype", "valid_max", "minval", "missing")
+
+
+P1_READ_SQL = """
+select variable_id as row_id, file_id, collection_id, var_name as item_name, units, shape, dims, dtype, valid_max, cast(null as double) as minval, cast(null as float) as missing from file_variables
+union all select coordinate_id, file_id, collection_id, coord_name, units, shape, dims, null, null, null, null from file_coordinates
+union all select axis_id, file_id, collection_id, axis_name, units, case when shape is not null then '[' || array_to_string(shape, ', ') || ']' end, null, null, null, minval, null from file_axes
+union all select metadata_id, file_id, collection_id, name_and_dimensions, units, case when shape is not null then '[' || array_to_string(shape, ', ') || ']' end, null, null, valid_max, null, missing from variable_metadata
+"""
+
+
 #: The step by step fold of headers as a recursive query.
 _P1_STEPS = r"""
 with recursive f as (select agg_id, file_id, min(file_index) as file_index from file_inputs where agg_id is not null and file_id is not null group by 1, 2),
@@ -206,8 +221,8 @@ def p4_hidden(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_log": p1_log, "p1_union": p1_union, "p2_found": p2_found, "p2_zones": p2_zones, "p3_found": p3_found, "p4_found": p4_found, "p4_units": p4_units, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_log": p1_log, "p1_read_union": p1_read_union, "p1_union": p1_union, "p2_found": p2_found, "p2_zones": p2_zones, "p3_found": p3_found, "p4_found": p4_found, "p4_units": p4_units, "p5_found": p5_found}
 
 
 def oracle_sql():
-    return {"p1_found": P1_SQL, "p1_log": P1_LOG_SQL, "p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p1_log": P1_LOG_SQL, "p1_read_union": P1_READ_SQL, "p5_found": P5_SQL}

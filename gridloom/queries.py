@@ -722,6 +722,16 @@ def _workflow_zonal(s, d):
     return _asked(s, d, '[variable=[{"uri":"collection:/lines","name":"q:v1"}],operation=[{"name":"ext.zaDemo","input":"v1","season":"JJA"}]]')
 
 
+@query("workflow_write_kernel", "select member, y, x, lat, lon, cast(year(time) as integer) as bin, round(max(value), 6) as value from cube where year(time) between 1996 and 1998 group by all")
+def _write_kernel(s, d):
+    """The write kernel, in a folder for each year, and a request over some of the folders."""
+    catalog = Catalog(shared_folder(s))
+    execute('[variable=[{"uri":"collection:/lines","name":"q:v1"}],operation=[{"name":"Cube.write","input":"v1","groupBy":"year","collection":"byyear"}]]', lambda collection, name: cells(s, d), catalog)
+    kept = catalog.load(s, "byyear")
+    years = replace(kept, df=kept.df.where(F.col("bin").between(1996, 1998)))
+    return _asked(s, d, '[variable=[{"uri":"collection:/byyear","name":"*:v1"}],operation=[{"name":"Cube.max","input":"v1","axes":"t"}]]', lambda collection, name: years)
+
+
 @query("workflow_write_collection", "select member, bin, y, x, lat, lon, round(min(value), 6) as value from (select *, cast(year(time) as integer) as bin from cube) group by all")
 def _workflow_write(s, d):
     catalog = Catalog(shared_folder(s))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from contextlib import suppress
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,14 +34,42 @@ def shared_checkpoints(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+#: Folders made by this process, which nothing reads once it ends.
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that all executors share (``spark.checkpoint.dir``); a temporary one only in a single process."""
+    """A new folder under the one that all executors share (``spark.checkpoint.dir``); a temporary one only in a single process. It is removed when this process ends, or by ``removed``."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/gridloom-{uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="gridloom-")
+    folder = f"{named.rstrip('/')}/gridloom-{uuid4().hex}" if named else tempfile.mkdtemp(prefix="gridloom-")
+    if not _MADE:
+        atexit.register(_end)
+    _MADE.append(folder)
+    return folder
+
+
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Delete folders, by default all that this process made; what was read from them can't be computed again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders or list(_MADE):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        if folder in _MADE:
+            _MADE.remove(folder)
+
+
+def _end() -> None:
+    """At the end of the process: while the session still runs it deletes the folders."""
+    with suppress(Exception):
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            removed(spark)
+    import shutil
+
+    for folder in _MADE:
+        shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
@@ -393,3 +394,66 @@ def test_small_texts():
 
     assert parse_size("200M") == 200 << 20 and parse_size("1.5kb") == 1536 and unquoted(' "\'a\'" ') == "a" and uid("Tas:", "V 1", "") == "tas-v1"
     assert duration_millis("6 hours") == 21_600_000 and duration_millis("day") == 86_400_000 and duration_millis("2 months") == pytest.approx(2 * 365.2425 / 12 * 86_400_000)
+
+
+def _files(tmp_path, calendar=None):
+    from gridloom.sources import netcdf3
+
+    paths = []
+    for k, first in enumerate((30, 0)):  # the later file comes first
+        x = np.arange(3 * 2 * 4, dtype=float).reshape(3, 2, 4) + 100 * first
+        x[0, 0, 0] = -1.0
+        at = np.arange(first, first + 30, 10.0)
+        attrs = {"units": "days since 2000-01-01", "bounds": "tb", **({"calendar": calendar} if calendar else {})}
+        path = str(tmp_path / f"f{k}.nc")
+        netcdf3.write_file(path, {"time": 0, "lat": 2, "lon": 4, "two": 2}, {"lat": (["lat"], np.array([10.0, 20.0]), {}), "lon": (["lon"], np.arange(4) * 90.0, {}), "time": (["time"], at, attrs), "tb": (["time", "two"], np.c_[at, at + 10], {}), "tas": (["time", "lat", "lon"], x, {"missing_value": -1.0, "scale_factor": 0.5, "add_offset": 1.0})})
+        paths.append(path)
+    return paths
+
+
+def test_files_as_a_cube_and_back(spark, tmp_path):
+    from gridloom.sources import netcdf3
+
+    paths = _files(tmp_path)
+    c = netcdf3.cube_of(spark, paths, "tas", steps=2)
+    got = {(r.t, r.lat, r.lon): (r.time, r.time_end, r.value) for r in c.cells().collect()}
+    assert len(got) == 48 and got[0, 10.0, 0.0][2] is None and got[5, 20.0, 270.0] == (datetime(2000, 2, 20), datetime(2000, 3, 1), (3000 + 23) * 0.5 + 1)
+    files = netcdf3.write_cube(c, str(tmp_path / "out"), "tas", steps=4).collect()
+    assert sorted((r.first, r.n) for r in files) == [(0, 4), (4, 2)]
+    again = netcdf3.cube_of(spark, [r.path for r in files], "tas")
+    assert {(r.t, r.lat, r.lon): (r.time, r.value) for r in again.cells().collect()} == {k: (v[0], v[2]) for k, v in got.items()}
+
+
+def test_files_in_a_model_calendar(spark, tmp_path):
+    from gridloom.sources import netcdf3
+
+    c = netcdf3.cube_of(spark, _files(tmp_path, "360_day"), "tas")
+    out = {(r.bin, r.y, r.x): r.value for r in C.reduced(c, "count", "t", group="month").df.collect()}
+    assert {k[0] for k in out} == {361, 362} and out[362, 1, 1] == 3
+    assert netcdf3.epoch_of("days since 2001-03-01", "noleap") == (86_400_000, (31 * 365 + 59) * 86_400_000.0)
+
+
+def test_a_catalogue_outlives_its_process(spark, tmp_path):
+    c = replace(cube(spark, SOME), calendar="noleap", axis_values={"y": [0.0, 10.0]})
+    catalog = Catalog(str(tmp_path / "store"))
+    catalog.save("some", c, title="Some cells")
+    catalog.store(spark)
+    other = Catalog.open(spark, str(tmp_path / "store"))
+    back = other.load(spark, "some")
+    assert values(back) == values(c) and back.calendar == "noleap" and back.axis_values == {"y": {0: 0.0, 1: 10.0}}
+    part = other.fragment(spark, "some", "v", C.subset(back, [Span("y", 0, 0)]))
+    assert other.fragment(spark, "some", "v", C.subset(back, [Span("y", 0, 0)])).df.count() == part.df.count() and other.metadata(spark, "frag").count() == 1
+    assert other.metadata(spark, "col").count() == 2 and other.metadata(spark, "var:some").first().name == "value" and other.metadata(spark, "ker").count() >= 40 and other.metadata(spark, "op").count() >= 1
+    other.clear(spark, "fragment")
+    assert other.metadata(spark, "frag").count() == 0 and not list((tmp_path / "store").glob("v-some*"))
+    assert spark.read.parquet(other.save_grid("some", C.subset(back, []))).where("axis = 'y'").count() == 2
+
+
+def test_requests_over_files_and_kept_results(spark, tmp_path):
+    paths = _files(tmp_path)
+    catalog = Catalog(str(tmp_path / "store"))
+    ask = lambda text, **run: execute(text, catalog.loader(spark), catalog, run=run)
+    text = '[domain=[{name:"d",lat:20,time:{start:"2000-01-01",end:"2000-02-01"}}],variable=[{uri:"file:' + paths[1] + '",name:"tas:v1",domain:"d"}],operation=[{name:"c.max",input:"v1",axes:"tx",id:"top"}]]'
+    assert next(iter(ask(text, saveLocalFile="true").values())).first().value == 23 * 0.5 + 1
+    assert [r.value for r in ask('[variable=[{uri:"collection:/top",name:"*:v1"}]]')["op0"].collect()] == [23 * 0.5 + 1]
+    assert catalog.ingest(spark, paths) == {"tas-tb": sorted(paths)}

@@ -93,6 +93,27 @@ def test_union_follows_renames(spark, tmp_path):
     assert dict(whole.dtypes) == {"cldfrac": "double"} and rows(whole) == [(float(i),) for i in names]
 
 
+def test_union_of_all_kinds_of_columns(spark, tmp_path):
+    from decimal import Decimal
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import types as T
+
+    day, moment = datetime(2020, 1, 2).date(), datetime(2020, 1, 2, 3, 4, 5, 6)
+    a = {"ts": pa.array([moment], pa.timestamp("us")), "d": pa.array([day]), "dec": pa.array([Decimal("1.25")], pa.decimal128(5, 2)), "l": pa.array([[1, None]], pa.list_(pa.int32())), "u": pa.array([4_000_000_000], pa.uint32()), "s": pa.array([{"x": 1, "y": "b"}]), "raw": pa.array([b"z"]), "same": pa.array([moment], pa.timestamp("us", "UTC"))}
+    b = {"ts": pa.array([day]), "d": pa.array([moment], pa.timestamp("us")), "dec": pa.array([7], pa.int32()), "l": pa.array([[2.5]], pa.list_(pa.float64())), "u": pa.array([3], pa.uint64()), "s": pa.array([{"y": "c", "w": 2.0}]), "raw": pa.array(["text"]), "same": pa.array([moment], pa.timestamp("us", "UTC"))}
+    for k, columns in enumerate((a, b)):
+        pq.write_table(pa.table(columns), tmp_path / f"{k}.parquet")
+    out = drift.read_union(spark, iter([str(tmp_path / "0.parquet"), f"file://{tmp_path}/1.parquet"]))
+    kinds = {f.name: f.dataType for f in out.schema.fields}
+    assert kinds == {"ts": T.TimestampNTZType(), "d": T.TimestampNTZType(), "dec": T.DecimalType(12, 2), "l": T.ArrayType(T.DoubleType()), "u": T.DecimalType(20, 0), "s": T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.StringType()), T.StructField("w", T.DoubleType())]), "raw": T.BinaryType(), "same": T.TimestampType()}
+    one, two = sorted(out.collect(), key=lambda r: r.u, reverse=True)
+    assert (one.ts, one.d, one.dec, one.l, int(one.u), bytes(one.raw)) == (moment, datetime(2020, 1, 2), Decimal("1.25"), [1.0, None], 4_000_000_000, b"z") and one.s.asDict() == {"x": 1, "y": "b", "w": None}
+    assert (two.ts, two.d, two.dec, two.l, int(two.u), bytes(two.raw)) == (datetime(2020, 1, 2), moment, Decimal("7.00"), [2.5], 3, b"text") and two.s.asDict() == {"x": None, "y": "c", "w": 2.0}
+    with pytest.raises(ValueError):
+        drift.read_union(spark, [])
+
+
 # 2 times
 STAMPS = [
     ("2018-03-25 02:30", None), ("2018-10-28 02:30", None), ("2018-10-28T02:30:00Z", None), ("2018-07-01", None), ("03/04/2018 05:06", None), ("11/03/2018 12:00 AM", None), ("11/03/2018 12:05 PM", None),
