@@ -8,6 +8,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,15 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 REMEMBERED, LONGEST = 250_000, 48
 
 
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """The ranks of a vocabulary with one base64 token and its rank a line."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
-    """The ranks of a vocabulary file with one base64 token and its rank a line."""
+    """The ranks of a vocabulary file."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return read_ranks(f.read())
 
 
 class RankQueue:
@@ -163,14 +169,21 @@ class Encoder:
 
 _ODD = re.compile(r"\s | \s").search
 _CUT = re.compile(r"(?<=\S)(?= \S)").split
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder(data: bytes) -> Encoder:
+    """The encoder of a vocabulary, kept for the life of the process."""
+    key = crc32(data)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(read_ranks(data))
+    return _ENCODERS[key]
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file, kept for the life of the process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(load_ranks(path))
-    return _ENCODERS[path]
+def _sent(df: DataFrame, path: str | None):
+    """The vocabulary file, read by the driver and sent to the workers (about a megabyte), so that only the driver must see it."""
+    with open(path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
@@ -179,10 +192,10 @@ def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> Da
     Null and empty texts give an empty list; strings that name special tokens are ordinary text. Rows are encoded where they lie,
     without a shuffle; a text of any length is encoded whole. Other columns are dropped.
     """
-    path = path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    sent = _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(sent.value)
         for b in batches:
             texts = b.column(1)
             for lo in range(0, b.num_rows, 1000):
@@ -199,10 +212,10 @@ def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> Da
 
 def token_counts(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """``(key, n_tokens bigint)``: how many ids ``token_ids`` gives each row."""
-    path = path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    sent = _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(sent.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(own.encode(t.as_py())) for t in b.column(1)], pa.int64())], ["key", "n_tokens"])
 

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = ["en", "de", "fr", "es", "pt", "it", "nl"]
-#: Names and codes of languages in labels; any other two-letter code of a real language names that language.
+#: Names and codes of languages in labels; a label that is not among them names no language.
 LABELS = {
     "en": "en", "eng": "en", "english": "en", "de": "de", "deu": "de", "ger": "de", "german": "de", "deutsch": "de", "fr": "fr", "fra": "fr", "fre": "fr", "french": "fr", "français": "fr", "francais": "fr",
     "es": "es", "spa": "es", "spanish": "es", "español": "es", "espanol": "es", "castellano": "es", "pt": "pt", "por": "pt", "portuguese": "pt", "português": "pt", "portugues": "pt",
     "it": "it", "ita": "it", "italian": "it", "italiano": "it", "nl": "nl", "nld": "nl", "dut": "nl", "dutch": "nl", "nederlands": "nl",
     "sv": "sv", "swe": "sv", "swedish": "sv", "da": "da", "dan": "da", "danish": "da", "no": "no", "nor": "no", "norwegian": "no", "fi": "fi", "fin": "fi", "finnish": "fi", "pl": "pl", "pol": "pl", "polish": "pl", "cs": "cs", "ces": "cs", "cze": "cs", "czech": "cs", "ru": "ru", "rus": "ru", "russian": "ru", "ca": "ca", "cat": "ca", "catalan": "ca", "ro": "ro", "ron": "ro", "rum": "ro", "romanian": "ro", "la": "la", "lat": "la", "latin": "la",
 }
-#: Expected documents per language that the model is fitted on, and the longest taken, in characters.
+#: The bound of the sample that the model is fitted on: expected documents per language, and the longest taken, in characters. Every document is scored, whatever its length.
 FIT_DOCUMENTS, FIT_LENGTH = 60, 12_000
 #: n-grams of the blended spectrum, hashed dimensions, landmarks per language, ridge.
 SPECTRUM, DIMENSIONS, LANDMARKS, RIDGE = (1, 2, 3, 4, 5), 1 << 16, 40, 1e-3
@@ -103,7 +103,8 @@ def _means(word_rows: np.ndarray, lines: list[list[int]]) -> np.ndarray:
 def fit(texts: list[str], labels: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """``(weights, intercept)``: what each n-gram adds to the score of each language.
 
-    Lines are compared by a presence kernel: the share of n-grams of their words that they have in common. Landmarks from all
+    Lines are compared by a presence kernel: n-grams count once per word that has them, each word of a line having the same weight, so
+    long lines and short ones compare alike; the kernel with a landmark is then the mean over a line's words. Landmarks from all
     languages span a Nyström space, in which one ridge regression per language tells it from the rest. As labels are partly wrong
     and texts partly mixed, a second fit leaves out the lines that the first finds in another language than their label.
     """
@@ -276,8 +277,9 @@ def training_sample(df: DataFrame, key: str, text: str, label: str, per_language
     count = {r.code: r.n for r in usable.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not count:
         return [], []
-    grid = 1_000_000
-    limits = F.create_map(*[F.lit(x) for c, n in count.items() for x in (c, min(grid, int(grid * per_language / n) + 1))])
+    # so fine that the expected number stays the same for any number of documents
+    grid = 1 << 50
+    limits = F.create_map(*[F.lit(x) for c, n in count.items() for x in (c, min(grid, grid * per_language // n + 1))])
     rows = usable.where(F.pmod(F.xxhash64("k"), F.lit(grid)) < F.element_at(limits, F.col("code"))).collect()
     rows.sort(key=lambda r: (r.code, r.k))
     return [r.t for r in rows], [r.code for r in rows]
