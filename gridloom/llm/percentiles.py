@@ -59,9 +59,9 @@ def located(counts: DataFrame, keys: list[str], percents: list[int]) -> DataFram
     return asked.select(*keys, "pct", F.col("total").alias("n"), "bucket", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi")
 
 
-def _within(df: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``df`` whose keys are among ``intervals``, which is sent to all tasks if its count allows."""
-    return join_same(df, F.broadcast(intervals) if intervals.count() <= SENT else intervals, keys, "left_semi")
+def _few(intervals: DataFrame) -> DataFrame:
+    """``intervals``, counted, and sent to all tasks if their number allows."""
+    return F.broadcast(intervals) if intervals.count() <= SENT else intervals
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], fine: list[str] | None = None, regroup: Callable[[DataFrame], DataFrame] | None = None, grid: int = GRID) -> DataFrame:
@@ -78,21 +78,29 @@ def percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int],
     shared_checkpoints(df.sparkSession)
     fine, regroup = fine or keys, regroup or (lambda x: x)
     base = written(summary(df, fine, value, grid))
-    found = located(merge([regroup(base)], keys), keys, percents).checkpoint()
+    # groups go by a number while they are counted: their hash, if no two have the same, else their keys
+    names = regroup(base.select(*fine).distinct()).select(*keys).distinct().withColumn("_group", F.xxhash64(*keys)).checkpoint()
+    asked, whole = keys, regroup
+    if names.count() == names.select("_group").distinct().count():
+        keys, regroup = ["_group"], lambda x: whole(x).withColumn("_group", F.xxhash64(*asked)).drop(*asked)
+    # one exchange by group serves the sums and the ranks; a group has at most as many rows as the grid has intervals
+    together = regroup(base).select(*keys, "bucket", "n", "lo", "hi").repartition(*keys)
+    found = located(merge([together], keys), keys, percents).checkpoint()
     done, open_ = [found.where("lo = hi")], found.where("lo < hi")
     if open_.limit(1).count():
-        wanted = open_.select(*keys, "bucket").distinct()
-        named = base.withColumn("_fine", F.struct(*fine))
-        counted = _within(regroup(named.where("lo = hi")), wanted, [*keys, "bucket"]).select(*keys, "bucket", F.col("lo").alias("_x"), F.col("n").alias("_w"))
-        mixed = _within(regroup(named.where("lo < hi")), wanted, [*keys, "bucket"]).select("_fine.*", "bucket").distinct()
+        wanted = _few(open_.select(*keys, "bucket").distinct().checkpoint())
+        # the summary's rows in open intervals: those of one value are counted already, the others' readings are read again
+        hits = join_same(regroup(base.withColumn("_fine", F.struct(*fine))), wanted, [*keys, "bucket"], "left_semi").checkpoint()
+        counted = hits.where("lo = hi").select(*keys, "bucket", F.col("lo").alias("_x"), F.col("n").alias("_w"))
+        mixed = _few(hits.where("lo < hi").select("_fine.*", "bucket").distinct().checkpoint())
         raw = df.select(*fine, F.col(value).cast("double").alias("_x")).where(_finite(F.col("_x"))).withColumn("bucket", interval_of(F.col("_x"), grid))
-        raw = _within(raw, mixed, ["bucket", *fine]).groupBy(*fine, "bucket", "_x").agg(F.count(F.lit(1)).alias("_w"))
-        rows = written(counted.unionByName(_within(regroup(raw), wanted, [*keys, "bucket"]).select(*keys, "bucket", "_x", "_w")))
+        raw = join_same(raw, mixed, ["bucket", *fine], "left_semi").groupBy(*fine, "bucket", "_x").agg(F.count(F.lit(1)).alias("_w"))
+        rows = written(counted.unionByName(join_same(regroup(raw), wanted, [*keys, "bucket"], "left_semi").select(*keys, "bucket", "_x", "_w")))
         # from here on an interval is known by its bounds; those of one bucket overlap no others
         rows, open_ = rows.withColumn("_at", F.col("bucket")), open_.withColumn("_at", F.col("bucket"))
     while open_.limit(1).count():
-        spans = open_.select(*keys, "_at", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
-        inside = join_same(rows, F.broadcast(spans) if spans.count() <= SENT else spans, [*keys, "_at"]).where("_x >= _lo and _x <= _hi")
+        spans = _few(open_.select(*keys, "_at", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct())
+        inside = join_same(rows, spans, [*keys, "_at"]).where("_x >= _lo and _x <= _hi")
         # an interval has one sign, so its width is a double, and not 0
         part = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS), F.lit(PARTS - 1))
         part = F.when(F.col("_x") >= F.col("_hi"), PARTS).otherwise(part)
@@ -102,4 +110,5 @@ def percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int],
         hit = hit.select(*keys, "pct", "n", "bucket", "_at", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("p_lo").alias("lo"), F.col("p_hi").alias("hi")).checkpoint()
         done.append(hit.where("lo = hi").drop("_at"))
         open_ = hit.where("lo < hi")
-    return reduce(DataFrame.unionByName, [x.select(*keys, "pct", "n", "lo") for x in done]).withColumnRenamed("lo", "value")
+    out = reduce(DataFrame.unionByName, [x.select(*keys, "pct", "n", "lo") for x in done]).withColumnRenamed("lo", "value")
+    return out if keys == asked else join_same(out, names, keys).select(*asked, "pct", "n", "value")
