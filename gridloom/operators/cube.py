@@ -539,10 +539,10 @@ def correlations(cube: Cube) -> DataFrame:
     return both.groupBy("a", "b").agg(F.corr("_x", "_y").alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
-def appended(cubes: list[Cube], steps: list[int]) -> Cube:
-    """The cubes one after the other along time; ``steps`` are the numbers of time steps of all but the last."""
+def appended(cubes: list[Cube], steps: list[int], axis: str = "t") -> Cube:
+    """The cubes one after the other along an axis; ``steps`` are the lengths of all but the last."""
     start, parts = 0, []
     for c, n in zip(cubes, [*steps, 0]):
-        parts.append(c.df.withColumn("t", F.col("t") + start))
+        parts.append(c.df.withColumn(axis, F.col(axis) + start))
         start += n
-    return replace(cubes[0], df=fold(DataFrame.unionByName, parts))
+    return replace(cubes[0], df=fold(DataFrame.unionByName, parts), axis_values={a: v for a, v in cubes[0].axis_values.items() if a != axis})

@@ -16,9 +16,10 @@ from gridloom.operators.linalg import Eof, rescaled_vectors
 from gridloom.operators.regrid import axis_table, gaussian_axis, regridded, uniform_axis
 from gridloom.plans.execute import execute
 from gridloom.plans.kernels import capabilities, record_udf, reduce_udf
-from gridloom.sources.catalog import Catalog
+from gridloom.sources.catalog import Catalog, aggregation_rows
+from gridloom.sources.netcdf3 import cube_of, write_cube
 from gridloom.sources.tables import epoch_millis, shared_folder, table
-from gridloom.streaming.windows import drained, windowed
+from gridloom.streaming.windows import drained, sessions, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -788,15 +789,77 @@ def _record(s, d):
     return _asked(s, d, '[variable=[{"uri":"collection:/lines","name":"q:v1"}],operation=[{"name":"demo.doubled","input":"v1"}]]')
 
 
+def _event_stream(s: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of what the folder has now."""
+    path = f"{d}/events.parquet"
+    return s.readStream.schema(s.read.parquet(path).schema).parquet(path.replace("events.parquet", "events.parque*")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("stream_event_windows", "select event_type, time_bucket(interval '6 hours', ts) as start, count(value) as count, round(sum(value), 4) as sum, max(value) as max from events group by 1, 2", base=False)
 def _stream(s, d):
-    path = f"{d}/events.parquet"
-    schema = s.read.parquet(path).schema
-    stream = s.readStream.schema(schema).parquet(path.replace("events.parquet", "events.parque*")).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = drained(s, windowed(stream, "ts", ["event_type"], "value", "6 hours", ("count", "sum", "max")), shared_folder(s))
+    out = drained(s, windowed(_event_stream(s, d), "ts", ["event_type"], "value", "6 hours", ("count", "sum", "max")), shared_folder(s))
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "count", F.round("sum", 4).alias("sum"), "max")
 
 
+@query("stream_sliding_windows", """with w as (select event_type, unnest([time_bucket(interval '6 hours', ts), time_bucket(interval '6 hours', ts) - interval 6 hours]) as start, value from events)
+select event_type, start, count(value) as count, round(sum(value), 4) as sum from w group by 1, 2""", base=False)
+def _stream_sliding(s, d):
+    """Windows of twelve hours that begin every six."""
+    out = drained(s, windowed(_event_stream(s, d), "ts", ["event_type"], "value", "12 hours", ("count", "sum"), slide="6 hours"), shared_folder(s))
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "count", F.round("sum", 4).alias("sum"))
+
+
+@query("stream_sessions", """with o as (select event_type, ts, case when ts < lag(ts) over (partition by event_type order by ts) + interval 5 minutes then 0 else 1 end as fresh from events),
+g as (select *, sum(fresh) over (partition by event_type order by ts rows unbounded preceding) as k from o)
+select event_type, min(ts) as start, max(ts) + interval 5 minutes as end_, count(*) as n from g group by event_type, k""", base=False)
+def _stream_sessions(s, d):
+    """Runs of events without a pause of five minutes."""
+    out = drained(s, sessions(_event_stream(s, d), "ts", ["event_type"], "5 minutes"), shared_folder(s))
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end_"), "n")
+
+
+@query("workflow_legacy_names", "select member, t, y, x, time, lat, lon, round(value - avg(value) over (partition by member, y, x), 6) as value from cube")
+def _legacy(s, d):
+    return _asked(s, d, '[variable=[{"uri":"collection:/lines","name":"q:v1"}],operation=[{"name":"Old.average","input":"v1","axes":"t","id":"m"},{"name":"Old.diff2","input":"v1,m"}]]')
+
+
+@query("netcdf_roundtrip", "select cast(t - (select min(t) from cube where member = 'N') as integer) as t, y, x, time, lat, lon, round(value, 6) as value from cube where member = 'N' and value is not null")
+def _netcdf(s, d):
+    """A member written as files of some months each, and read back as a cube in order of time."""
+    folder = shared_folder(s)
+    one = C.member(cells(s, d), "N")
+    paths = [r.path for r in write_cube(one, folder, "q", steps=24).select("path").collect()]
+    return shown(cube_of(s, paths, "q").df.where("value is not null").select("t", "y", "x", "time", "lat", "lon", "value"))
+
+
+@query("aggregation_texts", """select 'V' as kind, trim(var_name) as name, nullif(trim(shape), '') as shape, nullif(trim(dims), '') as dims from file_variables
+where var_name is not null and coalesce(full_name, dods_name, description, shape, resolution, dims, units) is not null""", base=False)
+def _aggregations(s, d):
+    """The rows of variables of an aggregation text that is made of the header table."""
+    folder = f"{shared_folder(s)}/texts"
+    v = table(s, d, "file_variables").where(F.col("var_name").isNotNull() & F.coalesce("full_name", "dods_name", "description", "shape", "resolution", "dims", "units").isNotNull())
+    safe = [F.translate(F.coalesce(c, F.lit("")), ";\n", "\u0001 ") for c in ("var_name", "full_name", "dods_name", "description", "shape", "resolution", "dims", "units")]
+    v.select(F.concat_ws("; ", F.lit("V"), *safe).alias("value")).write.text(folder)
+    out = aggregation_rows(s, [folder], "V")
+    return out.select(F.lit("V").alias("kind"), "name", *[F.translate(c, "\u0001", ";").alias(c) for c in ("shape", "dims")])
+
+
+@query("collections_listed", "select * from (values ('daily', 'Daily', 't y x'), ('means', 'Means', 'y x')) as c(id, title, axes)", base=False)
+def _listed(s, d):
+    catalog = Catalog(shared_folder(s))
+    c = cells(s, d)
+    catalog.save("Daily", c, title="Daily")
+    catalog.save("Means", C.reduced(c, "ave", "t"), title="Means")
+    catalog.store(s)
+    return Catalog.open(s, catalog.folder).metadata(s, "collections").select("id", "title", "axes")
+
+
+@query("append_longitude", "select member, t, y, cast(x as integer) as x, time, lat, lon, round(value, 6) as value from cube where x < 2 union all select member, t, y, cast(x as integer), time, lat, lon, round(value, 6) from cube where x >= 2")
+def _append_x(s, d):
+    low, high = C.split(cells(s, d), "x", 2)
+    return shown(C.appended([low, high], [2], "x").cells())
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

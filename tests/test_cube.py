@@ -457,3 +457,33 @@ def test_requests_over_files_and_kept_results(spark, tmp_path):
     assert next(iter(ask(text, saveLocalFile="true").values())).first().value == 23 * 0.5 + 1
     assert [r.value for r in ask('[variable=[{uri:"collection:/top",name:"*:v1"}]]')["op0"].collect()] == [23 * 0.5 + 1]
     assert catalog.ingest(spark, paths) == {"tas-tb": sorted(paths)}
+
+
+def test_client(spark, tmp_path):
+    from gridloom.plans.client import Client
+
+    client = Client(spark, Catalog(str(tmp_path / "c")), most=2)
+    client.catalog.save("some", cube(spark, SOME))
+    job = client.execute('[variable=[{uri:"collection:/some",name:"value:v1"}],operation=[{name:"c.max",input:"v1",axes:"tyx",id:"m"}]]')
+    assert client.status(job) == "planned" and client.result(job)["m"].count() == 1
+    bad = client.execute("[nonsense")
+    assert client.status(bad) == "failed" and client.capabilities("jobs").count() == 2
+    assert client.describe("max")["outputs"] == ["value"] and "axes" in client.describe("max")["settings"]
+    client.util(f"dres|{job}")
+    client.util("util.dcol|some")
+    assert client.status(job) == "unknown" and client.capabilities("collections").count() == 0 and not (tmp_path / "c" / "some").exists()
+    client.util("clearCache")
+    with pytest.raises(ValueError):
+        client.util("explode")
+
+
+def test_folders_of_the_process_go(spark):
+    import os
+
+    from gridloom.sources.tables import removed, written
+
+    out = written(spark.range(3))
+    folder = os.path.dirname(out.inputFiles()[0].removeprefix("file://")).rpartition("/")[0]
+    assert os.path.isdir(folder)
+    removed(spark, folder)
+    assert not os.path.exists(folder)
