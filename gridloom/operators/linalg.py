@@ -117,7 +117,8 @@ class Eof:
         """
         spark = df.sparkSession
         shared_checkpoints(spark)
-        named = df.select(row, *cells, F.col(value).cast("double").alias("value"))
+        # computed once, as counting, centring and each pass of the fit read it
+        named = written(df.select(row, *cells, F.col(value).cast("double").alias("value")))
         n = named.select(row).distinct().count()
         v = F.col("value")
         full = named.where(v.isNotNull()).groupBy(*cells).agg(F.count_distinct(row).alias("_n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("_dev"))
@@ -217,6 +218,17 @@ class Eof:
         return join_same(parts, self.stats, self.cells).select(self.row, *self.cells, back.alias("value"))
 
 
+def row_vectors(df: DataFrame, row: str, cells: list[str], value: str) -> DataFrame:
+    """``(row, vec)``: the values of each record as one array in order of its cells, missing ones as nulls. Records have as many entries as cells occur in them."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*cells, F.col(value).cast("double").alias("_v")))), lambda s: s._v)
+    return df.groupBy(row).agg(ordered.alias("vec"))
+
+
+def vector_cells(df: DataFrame, row: str, vector: str) -> DataFrame:
+    """``(row, pos, value)``: the entries of array records as cells."""
+    return df.select(row, F.posexplode(vector).alias("pos", "value"))
+
+
 def rescaled_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``(key, pos, value)``: each component of array records less its mean over the records, divided by its sample deviation (0 for a constant one)."""
     cells = df.select(key, F.posexplode(vector).alias("pos", "v")).withColumn("v", F.col("v").cast("double"))

@@ -110,13 +110,13 @@ def _list(v: object) -> list[float]:
 
 
 def target_grid(config: dict, own: Grid, grids: dict) -> tuple[list[float], list[float]]:
-    """The grid that settings ask for: ``grid`` gaussian (``shape`` gives the latitudes) or uniform (``shape`` or ``res``, ``origin``), or the one of an input (``target``, or ``crs`` ~name).
+    """The grid that settings ask for: ``grid`` gaussian (``shape`` gives the latitudes) or uniform (``shape`` or ``res``, ``origin``), or the one of an input (``target``, or ``crs`` ~name) or of a table of axes (``gridspec``, a path).
 
     A uniform grid begins at the first cell of ``own`` unless an origin is given; without ``res`` it reaches from there to 90 north and
     once around; if its first cell straddles the edge of the input's first cell, it is shifted to that edge.
     """
     kind = str(config.get("grid", "")).lower()
-    name = str(config.get("target", "")).lower() or str(config.get("crs", "")).removeprefix("~").lower() or str(config.get("gridspec", "")).lower()
+    name = str(config.get("target", "")).lower() or str(config.get("crs", "")).removeprefix("~").lower() or str(config.get("gridspec", ""))
     shape, res, origin = [int(x) for x in _list(config.get("shape"))], _list(config.get("res")), _list(config.get("origin"))
     if "gaussian" in kind:
         if not shape:

@@ -12,7 +12,7 @@ from gridloom.functions.calendar import calendar_bin, cycle_bin
 from gridloom.operators import cube as C
 from gridloom.operators import records as R
 from gridloom.operators.cube import Cube, Span
-from gridloom.operators.linalg import Eof, rescaled_vectors
+from gridloom.operators.linalg import Eof, rescaled_vectors, row_vectors
 from gridloom.operators.regrid import axis_table, gaussian_axis, regridded, uniform_axis
 from gridloom.plans.execute import execute
 from gridloom.plans.kernels import capabilities, record_udf, reduce_udf
@@ -529,6 +529,15 @@ def _rescale(s, d):
     return shown(rescaled_vectors(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding"), 4)
 
 
+@query("row_matrix", "select member, t, array_to_string([coalesce(cast(round(x, 3) as varchar), 'none') for x in list(value order by y, x)], ' ') as cells from cube group by member, t")
+def _rows(s, d):
+    """Each month of each member as one vector of its cells."""
+    c = cells(s, d)
+    vec = row_vectors(c.df.withColumn("row", F.struct("member", "t")), "row", ["y", "x"], "value")
+    text = F.transform("vec", lambda v: F.coalesce(F.round(v, 3).cast("string"), F.lit("none")))
+    return vec.select("row.member", "row.t", F.array_join(text, " ").alias("cells"))
+
+
 def _zonal_eof(s: SparkSession, d: str, scale: bool = False) -> Eof:
     """The EOFs of the nations' monthly means, over the months in which every nation of the data has a value; incomplete months are left out."""
     means = C.reduced(cells(s, d), "ave", "x").df.groupBy("t", "y").agg(F.avg("value").alias("value"))
@@ -758,6 +767,15 @@ def _workflow_regrid_to(s, d):
     return shown(next(iter(execute(text, load).values())).select("member", "y", "lat", "x", "lon", "value"), 5)
 
 
+@query("workflow_regrid_to_table", _GRID_SQL.format(lats="select cast(i as integer) as y, -60.0 + i * 24 as lat from range(6) r(i)", lons="select cast(i as integer) as x, i * 72.0 as lon from range(5) r(i)"))
+def _workflow_regrid_table(s, d):
+    """The mean over time on a grid whose axes a catalogue holds."""
+    c = C.reduced(cells(s, d), "ave", "t")
+    path = Catalog(shared_folder(s)).save_grid("coarse", regridded(c, LATS, LONS, uniform_axis(-60.0, 24.0, 6), uniform_axis(0.0, 72.0, 5)))
+    text = '[variable=[{"uri":"collection:/lines","name":"q:v1"}],operation=[{"name":"cdms.regrid","input":"v1","gridSpec":"' + path + '"}]]'
+    return shown(next(iter(execute(text, lambda collection, name: c).values())).select("member", "y", "lat", "x", "lon", "value"), 5)
+
+
 @query("workflow_const", "select member, t, y, x, time, lat, lon, case when value is not null then 3.5 end as value from cube")
 def _workflow_const(s, d):
     return _asked(s, d, '[variable=[{"uri":"collection:/lines","name":"q:v1"}],operation=[{"name":"Cube.const","input":"v1","value":3.5}]]')
