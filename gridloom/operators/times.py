@@ -85,28 +85,33 @@ def parsed(df: DataFrame, text: str, calendar: str, day_first: str) -> DataFrame
     """
     clean = F.trim(F.col(text))
     form = reduce(lambda rest, f: F.when(clean.rlike(f[0]), F.regexp_replace(clean, f[0], f[1])).otherwise(rest), reversed(FORMS), F.lit(None).cast("string"))
+    # step by step, as one method with all of this would be too long for the JVM to compile
+    kept = df.columns
     df = _held(df, _f=F.split(form, r"\|"))
     part = lambda i: F.col("_f")[i]
     num = lambda c: c.try_cast("int")
     one, two = (num(F.split(part(10), "#")[i]) for i in (0, 1))
     slashed, first = part(10).contains("#"), F.coalesce(F.col(day_first), F.lit(False))
-    named = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.lower(F.substring(part(1), 1, 3))).cast("int")
-    month = F.when(slashed, F.when(first, two).otherwise(one)).when(part(1).rlike(r"^\d+$"), num(part(1))).otherwise(F.when(named > 0, named))
+    names = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS) for x in (m, k + 1)])
+    month = F.when(slashed, F.when(first, two).otherwise(one)).when(part(1).rlike(r"^\d+$"), num(part(1))).when(part(1) != "", F.try_element_at(names, F.lower(F.substring(part(1), 1, 3))))
     day = F.when(slashed, F.when(first, one).otherwise(two)).otherwise(num(part(2)))
-    year = num(part(0))
-    ordinal = F.when(num(part(3)).between(1, 366), _days(year, F.lit(1), F.lit(1)) + num(part(3)) - 1)
-    ordinal = F.when(F.year(F.date_add(F.lit("1970-01-01").cast("date"), ordinal.cast("int"))) == year, ordinal)
-    days = F.when(part(3) != "", ordinal).otherwise(_days(year, month, day))
-    hour, minute, second = (F.when(part(i) == "", F.lit(0)).otherwise(num(part(i))) for i in (4, 5, 6))
-    half = F.lower(part(8))
-    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    fraction = F.rpad(F.substring(part(7), 1, 3), 3, "0").try_cast("int")
-    clock = F.when(hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59), (hour.cast("long") * 3600 + minute * 60 + second) * 1000 + fraction)
-    written = F.regexp_replace(part(9), r"[\[\]]", "")
+    df = _held(df, _year=num(part(0)), _month=month, _day=day)
+    ordinal = F.when(num(part(3)).between(1, 366), _days(F.col("_year"), F.lit(1), F.lit(1)) + num(part(3)) - 1)
+    ordinal = F.when(F.year(F.date_add(F.lit("1970-01-01").cast("date"), ordinal.cast("int"))) == F.col("_year"), ordinal)
+    df = _held(df, _days=F.when(part(3) != "", ordinal).otherwise(_days(F.col("_year"), F.col("_month"), F.col("_day"))))
+    df = _held(df, **{f"_c{i}": F.when(part(i) == "", F.lit(0)).otherwise(num(part(i))) for i in (4, 5, 6)})
+    hour, minute, second = (F.col(f"_c{i}") for i in (4, 5, 6))
+    hour = F.when(part(8) == "", hour).when(hour.between(1, 12), hour % 12 + F.when(part(8).isin("PM", "pm", "Pm", "pM"), 12).otherwise(0))
+    fraction = F.when(part(7) == "", F.lit(0)).otherwise(F.rpad(F.substring(part(7), 1, 3), 3, "0").try_cast("int"))
+    df = _held(df, _clock=F.when(hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59), (hour.cast("long") * 3600 + minute * 60 + second) * 1000 + fraction), _written=F.regexp_replace(part(9), r"[\[\]]", ""))
+    written = F.col("_written")
     abbreviations = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
     digits = F.regexp_replace(F.substring(written, 2, 9), ":", "")
-    offset = F.when(F.substring(written, 1, 1).isin("+", "-"), F.when(F.substring(written, 1, 1) == "-", -1).otherwise(1) * (num(F.substring(digits, 1, 2)) * 60 + F.coalesce(num(F.substring(digits, 3, 2)), F.lit(0)))).otherwise(F.try_element_at(abbreviations, F.upper(written)))
-    return _held(df, _fixed=F.coalesce(_bare(clean), _counted(clean, F.col(calendar))), _local=days * 86_400_000 + clock, _offset=offset.cast("int"), _zone=F.when((written != "") & offset.isNull(), written)).drop("_f")
+    signed = F.when(F.substring(written, 1, 1) == "-", -1).otherwise(1) * (num(F.substring(digits, 1, 2)) * 60 + F.coalesce(num(F.substring(digits, 3, 2)), F.lit(0)))
+    offset = F.when(written == "", F.lit(None).cast("int")).when(F.substring(written, 1, 1).isin("+", "-"), signed).otherwise(F.coalesce(F.try_element_at(abbreviations, written), F.try_element_at(abbreviations, F.upper(written))))
+    df = _held(df, _offset=offset.cast("int"))
+    df = _held(df, _fixed=F.coalesce(_bare(clean), _counted(clean, F.col(calendar))))
+    return df.select(*kept, "_fixed", (F.col("_days") * 86_400_000 + F.col("_clock")).alias("_local"), "_offset", F.when((written != "") & F.col("_offset").isNull(), written).alias("_zone"))
 
 
 def _wall(ms: Column, zone: Column) -> Column:
@@ -182,16 +187,14 @@ def estimated_zones(df: DataFrame, group: str, sibling: str, preferred: list[str
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = pa.array(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), pa.list_(pa.string())).to_pylist()
-            names = sorted({tuple(k) for k in keys}, key=repr)
-            place = {k: i for i, k in enumerate(names)}
-            own = np.array([place[tuple(k)] for k in keys])
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            place: dict[tuple, int] = {}
+            own = np.array([place.setdefault(k, len(place)) for k in keys])
             at, offset, n = (b.column(k).to_numpy() for k in (2, 3, 4))
-            total = np.bincount(own, n, len(names))
-            for h, (since, offsets) in enumerate(sent.value):
-                shown = offsets[np.clip(np.searchsorted(since, at, "right") - 1, 0, None)]
-                bad = np.bincount(own, np.where(shown != offset, n, 0), len(names))
-                yield pa.RecordBatch.from_pydict({"_g": pa.array([k[0] for k in names], pa.string()), "_s": pa.array([k[1] for k in names], pa.string()), "history": pa.array([h] * len(names), pa.int32()), "bad": pa.array(bad.astype(np.int64)), "n": pa.array(total.astype(np.int64))})
+            total = np.bincount(own, n, len(place)).astype(np.int64)
+            bad = [np.bincount(own, np.where(offsets[np.clip(np.searchsorted(since, at, "right") - 1, 0, None)] != offset, n, 0), len(place)) for since, offsets in sent.value]
+            groups, siblings = ([k[c] for k in place] * len(bad) for c in (0, 1))
+            yield pa.RecordBatch.from_pydict({"_g": pa.array(groups, pa.string()), "_s": pa.array(siblings, pa.string()), "history": pa.array(np.repeat(np.arange(len(bad), dtype=np.int32), len(place))), "bad": pa.array(np.concatenate(bad).astype(np.int64)), "n": pa.array(np.tile(total, len(bad)))})
 
     part = votes.select(F.col("_g").cast("string"), F.col("_s").cast("string"), "at", "offset", "n").mapInArrow(tried, "_g string, _s string, history int, bad bigint, n bigint")
     cost = part.groupBy("_g", "_s", "history").agg(F.sum("bad").alias("violations"), F.sum("n").alias("rows")).checkpoint()

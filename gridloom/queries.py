@@ -772,7 +772,7 @@ def _workflow_regrid_table(s, d):
     """The mean over time on a grid whose axes a catalogue holds."""
     c = C.reduced(cells(s, d), "ave", "t")
     path = Catalog(shared_folder(s)).save_grid("coarse", regridded(c, LATS, LONS, uniform_axis(-60.0, 24.0, 6), uniform_axis(0.0, 72.0, 5)))
-    text = '[variable=[{"uri":"collection:/lines","name":"q:v1"}],operation=[{"name":"cdms.regrid","input":"v1","gridSpec":"' + path + '"}]]'
+    text = '[variable=[{"uri":"collection:/lines","name":"q:v1"}],operation=[{"name":"Cube.regrid","input":"v1","gridSpec":"' + path + '"}]]'
     return shown(next(iter(execute(text, lambda collection, name: c).values())).select("member", "y", "lat", "x", "lon", "value"), 5)
 
 
