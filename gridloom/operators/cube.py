@@ -290,29 +290,14 @@ def scaled_difference(a: Cube, b: Cube) -> DataFrame:
     return both.agg(F.avg("_a").alias("mean"), _ratio(F.max(F.abs(F.col("_a") - F.col("_b"))), F.avg("_a")).alias("max_scaled_diff"))
 
 
-def zipped(left: DataFrame, right: DataFrame, on: str, prefix: str = "right_") -> DataFrame:
-    """The rows of two tables side by side, the k-th by ``on`` with the k-th; what one has more drops out. Columns of the right get a prefix."""
-    place = lambda df: ranked(df, [], on, F.lit(0), "_k")
-    b = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
-    return place(left).join(ranked(b, [], prefix + on, F.lit(0), "_k"), "_k").drop("_k")
-
-
-def member(cube: Cube, name: str) -> Cube:
-    """One member of an ensemble, without the member key."""
-    return replace(cube, df=cube.df.where(F.col("member") == name).drop("member"), tags=tuple(t for t in cube.tags if t != "member"))
-
-
-def ensemble(cubes: list[Cube], stats: tuple[str, ...] = ("ave", "sum", "count")) -> DataFrame:
-    """Per cell over all inputs, missing ones skipped: one column per statistic."""
-    first = cubes[0]
-    cells = fold(DataFrame.unionByName, [c.df.select(*first.keys, F.col(c.value).alias("value")) for c in cubes])
-    return cells.groupBy(*first.keys).agg(*[REDUCTIONS[s](F.col("value")).alias(s) for s in stats])
+def zipped(left: DataFrame, right: DataFrame, on: str, prefix: str = "right_", width: float | None = None) -> DataFrame:
+    """The rows of two tables side by side, the k-th by ``on`` with the k-th; what one has more drops out. Columns of the right get a prefix.
 
-
-def over_members(cube: Cube, stats: tuple[str, ...]) -> DataFrame:
-    """As ``ensemble`` for the members of one cube."""
-    keys = [k for k in cube.keys if k != "member"]
-    return cube.df.groupBy(*keys).agg(*[REDUCTIONS[s](F.col(cube.value)).alias(s) for s in stats])
+    With ``width`` a numeric ``on`` is cut into blocks of that width, so that no task orders a whole table.
+    """
+    place = lambda df, c: ranked(df, [], c, F.floor(F.col(c) / F.lit(width)) if width else F.lit(0), "_k")
+    b = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
+    return place(left, on).join(place(b, prefix + on), "_k").drop("_k")
 
 
 @dataclass(frozen=True)

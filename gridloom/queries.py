@@ -423,7 +423,7 @@ select l.event_id, l.value, r.event_id as right_event_id, r.value as right_value
 def _zip(s, d):
     e = table(s, d, "events").select("event_id", "value", "event_type")
     part = lambda kind: e.where(F.col("event_type") == kind).select("event_id", "value")
-    return C.zipped(part("purchase"), part("click"), "event_id")
+    return C.zipped(part("purchase"), part("click"), "event_id", width=10_000)
 
 
 @query("apply_mask", "select member, t, y, x, time, lat, lon, round(case when n_regionkey in (1, 3) then value end, 6) as value from cube left join nation on y = n_nationkey")
@@ -794,7 +794,7 @@ def _roundtrip(s, d):
 
 
 record_udf("demo.doubled", "Twice the value and one", lambda pdf: pdf.assign(value=pdf["value"] * 2 + 1))
-reduce_udf("demo.largest", "Largest value by parts", lambda v: float(v.max()))
+reduce_udf("demo.largest", "Largest value by parts", lambda v: float(v.max()), merge=lambda v: float(v.max()))
 
 
 @query("udf_reduce_kernel", "select member, y, lat, round(max(value), 6) as value from cube group by member, y, lat having count(value) > 0")
