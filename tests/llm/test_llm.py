@@ -168,3 +168,16 @@ def test_lines_without_language(line, out):
 @pytest.mark.parametrize("label,code", [(None, None), ("", None), ("??", None), ("und", None), ("xx", None), ("n/a", None), ("en_US", "en"), ("de-AT", "de"), ("GER", "de"), ("Dutch", "nl"), ("spa", "es"), ("sv", "sv")])
 def test_labels(label, code):
     assert langid.label_code(label) == code
+
+
+def test_packing_depends_on_keys_and_sizes_only(spark):
+    rng = random.Random(4)
+    data = [(k, rng.choice([0, 3, 7, 40, 99, 100, 101, 250])) for k in range(120)] + [(5, 40), (5, 40), (5, 3), (None, 7), (7, None)]
+    df = spark.createDataFrame(data, "k bigint, n bigint").withColumn("item", packing.F.lit("clash"))
+    one, two = (sorted(map(tuple, packing.packed(df.repartition(p), "k", "n", 100).collect()), key=repr) for p in (1, 5))
+    assert one == two
+    fills: dict = {}
+    for _, _, _, n, container in one:
+        fills[container] = fills.get(container, 0) + n
+    assert max(fills.values()) <= 100 and sum(fills.values()) == sum(n or 0 for _, n in data)
+    assert len({r[:2] + (r[4],) for r in one if r[0] == 5}) >= 3 and sum(r[0] == 5 for r in one) >= 4

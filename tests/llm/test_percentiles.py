@@ -50,3 +50,10 @@ def test_sql(spark):
     con.sql(f"create view cdrecords as from '{folder}/cdrecords.parquet'")
     want = sorted(con.sql(queries.oracle_sql()["p6_percentiles"]).fetchall(), key=repr)
     assert sorted(map(tuple, queries.queries()["p6_percentiles"](spark, folder).collect()), key=repr) == want
+
+
+def test_groups_whose_numbers_collide_go_by_their_keys(spark, monkeypatch):
+    df = spark.createDataFrame([(k, float(v)) for k in "abc" for v in range(7)], "k string, v double")
+    want = sorted(map(tuple, percentiles.percentiles(df, ["k"], "v", [10, 50], grid=2).collect()))
+    monkeypatch.setattr(percentiles.F, "xxhash64", lambda *c: F.lit(1).cast("bigint"))
+    assert sorted(map(tuple, percentiles.percentiles(df, ["k"], "v", [10, 50], grid=2).collect())) == want == sorted((k, p, 7, v) for k in "abc" for p, v in ((10, 0.0), (50, 3.0)))
