@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 DATA = os.environ.get("GRIDLOOM_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-SOME = ["ave_xy_cosine", "reduce_stddev_t", "lowpass_6month", "season_filter_complete", "asof_events", "time_convert_linear", "regrid_uniform_bilinear", "workflow_request_anomaly", "group_season", "p5_found", "kernel_capabilities"]
+SOME = ["ave_xy_cosine", "reduce_stddev_t", "lowpass_6month", "season_filter_complete", "asof_events", "time_convert_linear", "regrid_uniform_bilinear", "workflow_request_anomaly", "group_season", "p5_found", "kernel_capabilities", "p1_log", "p1_read_union", "workflow_groupby_anomaly", "workflow_two_variables", "workflow_regrid_to_input", "lowpass_month_of_daily", "eof_reconstruct", "netcdf_roundtrip", "stream_sessions"]
 
 
 def normal(df):
