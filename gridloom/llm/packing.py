@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,13 @@ from pyspark.sql import functions as F
 from gridloom.sources.tables import shared_checkpoints
 
 #: Containers per block, islands per block, rounds between migrations, and each island's individuals and crossovers a round.
-BLOCK_BINS, ISLANDS, ROUNDS, POPULATION, CROSSOVERS = 64, 2, 2, 6, 10
+BLOCK_BINS, ISLANDS, ROUNDS, POPULATION, CROSSOVERS = 64, 2, 2, 12, 100
+#: Islands of blocks per task of the first round.
+TASK_BLOCKS = 32
 #: A container filled less than this goes to the next level, where those of many blocks are packed anew.
 FULL = 0.97
+#: Items without a bin, and items of one bin, that an exchange chooses among; of more, as many that are evenly spread.
+FREE, HELD = 64, 16
 
 
 class Packing:
@@ -25,52 +31,100 @@ class Packing:
 
     __slots__ = ("bins", "fills", "fitness")
 
-    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int, fills: list[int] | None = None):
         self.bins = bins
-        self.fills = [sum(sizes[i] for i in b) for b in bins]
-        self.fitness = sum((f / capacity) ** 2 for f in self.fills) / max(len(bins), 1)
+        self.fills = [sum(map(sizes.__getitem__, b)) for b in bins] if fills is None else fills
+        self.fitness = sum([f * f for f in self.fills]) / (capacity * capacity * max(len(bins), 1))
 
 
 def best_fit(bins: list[list[int]], fills: list[int], items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
-    """``bins`` with ``items`` put, largest first, each into the fullest bin that it fits; new bins where none does."""
+    """``bins`` with ``items`` put, largest first, each into the fullest bin that it fits; new bins where none does. ``fills`` follows."""
     room = sorted((capacity - f, b) for b, f in enumerate(fills))
     for i in sorted(items, key=lambda i: (-sizes[i], i)):
         at = bisect_left(room, (sizes[i], -1))
         if at < len(room):
             free, b = room.pop(at)
             bins[b].append(i)
+            fills[b] += sizes[i]
         else:
             free, b = capacity, len(bins)
             bins.append([i])
+            fills.append(sizes[i])
         insort(room, (free - sizes[i], b))
     return bins
 
 
+def _spread(n: int, most: int) -> list[int]:
+    return list(range(n)) if n <= most else [k * n // most for k in range(most)]
+
+
+_NOTHING = np.zeros(1, np.int64)
+
+
+@lru_cache(maxsize=256)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def exchanged(bins: list[list[int]], fills: list[int], free: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """What is free after each bin with room gave none, one or two of its items for one or two of ``free`` that come closest to filling it; ``bins`` and ``fills`` are changed."""
+    changed = True
+    for b, x in enumerate(bins):
+        room = capacity - fills[b]
+        if room <= 0 or not free:
+            continue
+        if changed:
+            near = _spread(len(free), FREE)
+            one = np.array([sizes[free[k]] for k in near], np.int64)
+            i, j = _pairs(len(near))
+            sums = np.concatenate([_NOTHING, one, one[i] + one[j]])
+            ordered, changed = sums.copy(), False
+            ordered.sort()
+        held = _spread(len(x), HELD)
+        own = [sizes[x[p]] for p in held]
+        less = np.array([0, *own, *map(sum, combinations(own, 2))], np.int64)
+        gain = ordered[ordered.searchsorted(less + room, "right") - 1] - less
+        best = int(gain.argmax())
+        if gain[best] <= 0:
+            continue
+        k = int((sums == gain[best] + less[best]).argmax()) - 1
+        taken = {near[k]} if k < len(near) else {near[i[k - len(near)]], near[j[k - len(near)]]}
+        out = [(), *((p,) for p in held), *combinations(held, 2)][best]
+        bins[b] = [y for p, y in enumerate(x) if p not in out] + [free[t] for t in sorted(taken)]
+        free = [y for t, y in enumerate(free) if t not in taken] + [x[p] for p in out]
+        fills[b] += int(gain[best])
+        changed = True
+    return free
+
+
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """A child of ``a`` with whole well-filled bins of ``b``: bins of ``a`` that hold any of their items go, and the items displaced by that are put back by best fit."""
+    """A child of ``a`` with whole well-filled bins of ``b``: bins of ``a`` that hold any of their items go, and so do the emptiest and two more that aren't full; bins with room exchange items with those displaced by that, and the rest are put back by best fit."""
     count = len(b.bins)
-    by_fill = np.argsort([-f for f in b.fills], kind="stable")[: max(1, count // 2)]
-    taken = rng.choice(by_fill, size=max(1, min(len(by_fill), count // 4)), replace=False)
+    by_fill = sorted(range(count), key=b.fills.__getitem__, reverse=True)[: max(1, count // 2)]
+    taken = rng.permutation(by_fill)[: max(1, count // 16)].tolist()
     injected = [list(b.bins[k]) for k in taken]
     present = {i for x in injected for i in x}
-    bins, displaced = injected, []
+    bins, fills, displaced = injected, [b.fills[k] for k in taken], []
     weak = min(a.fills) if a.fills else 0
-    for x, f in zip(a.bins, a.fills):
-        if any(i in present for i in x):
+    more = rng.integers(0, max(1, len(a.bins)), 2).tolist()
+    for k, (x, f) in enumerate(zip(a.bins, a.fills)):
+        if not present.isdisjoint(x):
             displaced += [i for i in x if i not in present]
-        elif f == weak and f < capacity:
-            displaced += x  # the emptiest bins dissolve too
+        elif f < capacity and (f == weak or k in more):
+            displaced += x
         else:
             bins.append(list(x))
-    return Packing(best_fit(bins, [sum(sizes[i] for i in x) for x in bins], displaced, sizes, capacity), sizes, capacity)
+            fills.append(f)
+    displaced = exchanged(bins, fills, displaced, sizes, capacity)
+    return Packing(best_fit(bins, fills, displaced, sizes, capacity), sizes, capacity, fills)
 
 
 def evolve(sizes: list[int], capacity: int, start: list[list[list[int]]], population: int, crossovers: int, seed: int) -> list[Packing]:
-    """The individuals, best first, after ``crossovers`` steps that each replace the worst individual by a better child; ``start`` holds immigrants."""
+    """The individuals, best first, after ``crossovers`` steps that each replace the worst individual by a better child that is like no other; ``start`` holds immigrants. Only a best individual that can't be bettered ends it before."""
     rng = np.random.default_rng(seed)
     items = list(range(len(sizes)))
     least = max(1, math.ceil(sum(sizes) / capacity))
-    people = [Packing([list(x) for x in s], sizes, capacity) for s in start]
+    people = list({p.fitness: p for p in (Packing([list(x) for x in s], sizes, capacity) for s in start)}.values())
     while len(people) < population:
         if not people:
             first = best_fit([], [], items, sizes, capacity)
@@ -86,11 +140,11 @@ def evolve(sizes: list[int], capacity: int, start: list[list[list[int]]], popula
         people.append(Packing(first, sizes, capacity))
     people.sort(key=lambda p: -p.fitness)
     for _ in range(crossovers):
-        if len(people[0].bins) <= least and min(people[0].fills, default=0) < FULL * capacity and sum(f >= FULL * capacity for f in people[0].fills) >= len(people[0].bins) - 1:
-            break  # as few bins as the sum allows, and all but one full
-        x, y = rng.choice(len(people), 2, replace=False) if len(people) > 1 else (0, 0)
+        if len(people[0].bins) <= least and people[0].fills.count(capacity) >= len(people[0].bins) - 1:
+            break  # as few bins as the sum allows, and all but one full to the last unit
+        x, y = rng.permutation(len(people))[:2] if len(people) > 1 else (0, 0)
         child = crossover(people[x], people[y], sizes, capacity, rng)
-        if child.fitness > people[-1].fitness:
+        if child.fitness > people[-1].fitness and all(child.fitness != p.fitness for p in people):
             people[-1] = child
             people.sort(key=lambda p: -p.fitness)
     return people[:population]
@@ -143,7 +197,8 @@ def _level(items: DataFrame, capacity: int, level: int, islands: int, rounds: in
     total = items.agg(F.sum("size"), F.count(F.lit(1))).first()
     blocks = max(1, math.ceil(max((total[0] or 0) / capacity / BLOCK_BINS, total[1] / (BLOCK_BINS * 64))))
     placed = items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks))).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-    state = placed.groupBy("block", "island").applyInArrow(_first(capacity, population, crossovers), _ISLAND)
+    # a block is little data but much work, so tasks are cut by the number of blocks
+    state = placed.repartition(math.ceil(blocks * islands / TASK_BLOCKS), "block", "island").groupBy("block", "island").applyInArrow(_first(capacity, population, crossovers), _ISLAND)
     for turn in range(1, rounds):
         state = state.checkpoint()
         elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("bins", 1, 2).alias("migrants"))

@@ -96,6 +96,37 @@ def test_crossover_keeps_every_item():
     assert people[0].fitness >= packing.Packing(packing.best_fit([], [], list(range(200)), sizes, 100), sizes, 100).fitness
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_search_goes_on_until_nothing_can_be_gained(seed):
+    sizes = [int(x) for x in np.minimum(np.random.default_rng(seed).lognormal(6.5, 0.7, 250), 4096)]
+    first, best = packing.evolve(sizes, 4096, [], 1, 0, seed)[0], packing.evolve(sizes, 4096, [], packing.POPULATION, packing.CROSSOVERS, seed)[0]
+    slack = [sum(4096 - f for f in sorted(p.fills)[1:]) for p in (first, best)]
+    assert len(best.bins) == -(-sum(sizes) // 4096) and slack[1] < 0.25 * slack[0]
+    assert sorted(i for b in best.bins for i in b) == list(range(250)) and best.fills == [sum(sizes[i] for i in b) for b in best.bins]
+    done = packing.evolve([5, 5, 4, 3, 3, 2], 10, [], 6, 50, seed)[0]
+    assert sorted(done.fills) == [2, 10, 10]
+
+
+def test_exchange_keeps_every_item():
+    rng = np.random.default_rng(1)
+    for n, held, free in ((40, 3, 10), (300, 30, 100), (6, 3, 0), (12, 3, 3)):
+        sizes = [int(x) for x in rng.integers(0, 900, n)]
+        items = list(range(n))
+        bins = [items[k : min(k + held, n - free)] for k in range(0, n - free, held)]
+        fills = [sum(sizes[i] for i in b) for b in bins]
+        capacity, before = max(fills) + 200, list(fills)
+        rest = packing.exchanged(bins, fills, items[n - free :], sizes, capacity)
+        assert sorted([i for b in bins for i in b] + rest) == items
+        assert fills == [sum(sizes[i] for i in b) for b in bins] and max(fills) <= capacity and all(f >= g for f, g in zip(fills, before))
+
+
+def test_packing_takes_no_more_containers_than_the_sum_asks_for(spark):
+    sizes = [int(x) for x in np.minimum(np.random.default_rng(8).lognormal(6.5, 0.7, 2000), 4095)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n bigint")
+    out = packing.packed(df, "doc_id", "n", 4096)
+    assert out.count() == 2000 and out.select("container").distinct().count() == -(-sum(sizes) // 4096)
+
+
 SENTENCES = {
     "en": ["The court holds that the tenant never accepted the notice.", "It follows that the claim must be rejected with costs.", "Neither party asked that the lease be reviewed in this matter."],
     "de": ["Das Gericht stellt fest, dass der Mieter die Kündigung nicht angenommen hat.", "Daraus folgt, dass die Klage mit Kosten abzuweisen ist.", "Keine der Parteien hat beantragt, den Vertrag zu prüfen."],
